@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,11 @@ def local_session(cores: int | str = "*", name: str = "incidentkit") -> SparkSes
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """New folder name for a stage table, below ``spark.checkpoint.dir`` where that is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp") + f"/{name}"
