@@ -62,8 +62,11 @@ def exact_quantiles(
     v = F.col("_v")
 
     # Per probability the two neighbouring zero-based ranks, counted from the bracket's start.
+    # In small groups a rank may be the direct neighbour of its bracket, so those values come along.
+    sides = [(F.count_if(v < lo), F.max(F.when(v < lo, v)), F.min(F.when(v > hi, v))) for lo, hi in zip(low, high)]
     below = bracketed.groupBy(*by).agg(
-        F.first("_s.n").alias("_n"), *[F.count_if(v < low[i]).alias(f"_b{i}") for i in range(len(probs))]
+        F.first("_s.n").alias("_n"),
+        *[c.alias(f"{name}{i}") for i, three in enumerate(sides) for c, name in zip(three, ("_b", "_prev", "_next"))],
     )
     exact = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
     wanted = below.select(
@@ -76,6 +79,8 @@ def exact_quantiles(
                         (h - F.floor(h)).alias("part"),
                         (F.floor(h) - F.col(f"_b{i}")).alias("lower_rank"),
                         (F.ceil(h) - F.col(f"_b{i}")).alias("upper_rank"),
+                        F.col(f"_prev{i}").alias("prev"),
+                        F.col(f"_next{i}").alias("next"),
                     )
                     for i, h in enumerate(exact)
                 ]
@@ -100,7 +105,8 @@ def exact_quantiles(
         return F.max(F.when(holds, v))
 
     pairs = placed.groupBy(*by, "q", "part").agg(
-        at("lower_rank").alias("low"), at("upper_rank").alias("high")
+        F.coalesce(at("lower_rank"), F.first("prev")).alias("low"),
+        F.coalesce(at("upper_rank"), F.first("next")).alias("high"),
     )
     value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
     in_order = F.array_sort(F.collect_list(F.struct("q", value.alias("value"))))
