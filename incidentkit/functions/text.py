@@ -159,24 +159,38 @@ def normalize(
     return replace_words(drop_numbers(tokens), replacements or {}, stopwords)
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value once: inside a lambda a plain expression would be evaluated per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(items: Column, n: int, sep: str) -> Column:
+    """Every n consecutive items, joined: n shifted copies of the array side by side."""
+    if n == 1:
+        return items
+    count = F.greatest(F.size(items) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(items, i + 1, count).alias(f"g{i}") for i in range(n)])
+    return F.transform(shifted, lambda g: F.concat_ws(sep, *[g[f"g{i}"] for i in range(n)]))
+
+
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
     """Runs of low..high tokens joined by a blank."""
-    runs = []
-    for n in range(low, high + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
-        runs.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return F.concat(*runs)
+    return _let(tokens, lambda t: F.concat(*[_runs(t, n, " ") for n in range(low, high + 1)]))
 
 
 def char_ngrams(c: Column, low: int, high: int) -> Column:
     """Runs of low..high characters."""
-    runs = []
-    for n in range(low, high + 1):
-        starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1)))
-        grams = F.transform(starts, lambda i, n=n: F.substr(c, i, F.lit(n)))
-        runs.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return F.concat(*runs)
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return _let(chars, lambda t: F.concat(*[_runs(t, n, "") for n in range(low, high + 1)]))
+
+
+def anchored(pattern: str) -> str:
+    r"""Pin a pattern that opens with ``[\s\S]*`` to the start of the text.
+
+    It matches the same texts with the same captures, but a text without a
+    match is given up after one attempt instead of one per position.
+    """
+    return r"\A" + pattern if pattern.startswith(r"[\s\S]*") else pattern
 
 
 def extract_first(c: Column, patterns: Sequence[str], group: int = 1) -> Column:
@@ -184,7 +198,7 @@ def extract_first(c: Column, patterns: Sequence[str], group: int = 1) -> Column:
     text = F.lower(c)
     hits = []
     for p in patterns:
-        q = "(?d)" + p
+        q = "(?d)" + anchored(p)
         hits.append(F.when(text.rlike(q), strip(F.regexp_extract(text, q, group))))
     return F.coalesce(*hits)
 
@@ -198,7 +212,7 @@ def extract_cascade(
     empty one leaves the text as it was. The chain is a fold over the pattern
     list, so the expression grows by one step per pattern.
     """
-    steps = F.array(*[F.lit(p) for p in patterns])
+    steps = F.array(*[F.lit(anchored(p)) for p in patterns])
 
     def narrow(text: Column, pattern: Column) -> Column:
         lowered = F.lower(text)
@@ -222,22 +236,24 @@ def template_to_regex(c: Column) -> Column:
     The first line that speaks of a description is followed by the capture;
     every other filled line by anything. Without such a line the capture leads.
     """
-    lines = template_lines(c)
-    hit = F.array_position(
-        F.transform(lines, lambda x: F.contains(F.lower(x), F.lit(DESCRIPTION_WORD))), True
-    )
     special = r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\f])"
+    marks = F.transform(
+        template_lines(c), lambda x: F.contains(F.lower(x), F.lit(DESCRIPTION_WORD))
+    )
+
+    def body(hit: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            text = F.regexp_replace(F.lower(strip(x)), special, r"\\$1")
+            return (
+                F.when(i + 1 == hit, F.concat(text, F.lit("(.+?)")))
+                .when(text != "", F.concat(text, F.lit(".*?")))
+                .otherwise(F.lit(""))
+            )
 
-    def part(x: Column, i: Column) -> Column:
-        text = F.regexp_replace(F.lower(strip(x)), special, r"\\$1")
-        here = i + 1 == hit
-        return F.when(here, F.concat(text, F.lit("(.+?)"))).when(
-            text != "", F.concat(text, F.lit(".*?"))
-        ).otherwise(F.lit(""))
+        lead = F.when(hit == 0, F.lit("(.+?)")).otherwise(F.lit(""))
+        return F.concat(F.lit("^"), lead, F.array_join(F.transform(template_lines(c), part), ""), F.lit("$"))
 
-    body = F.array_join(F.transform(lines, part), "")
-    lead = F.when(hit == 0, F.lit("(.+?)")).otherwise(F.lit(""))
-    return F.concat(F.lit("^"), lead, body, F.lit("$"))
+    return _let(F.array_position(marks, True), body)
 
 
 def text_stats(c: Column) -> dict[str, Column]:

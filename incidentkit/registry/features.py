@@ -1 +1,290 @@
-"""Queries."""
+"""Text features, clustering and classification over documents and embeddings."""
+
+
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from incidentkit.functions import text as T
+from incidentkit.operators import features as FE, models as M, similarity as S
+from incidentkit.operators.windows import split_random
+from incidentkit.registry.common import WORDS, query, r, rounded, table, words
+from incidentkit.registry.joins import NAMES, names
+
+
+@query("g1_count_vectors", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS term FROM ({WORDS})) GROUP BY 1, 2")
+def _(spark, d):
+    return FE.term_counts(words(spark, d), "doc_id", "tokens")
+
+
+def tfidf_sql(source, doc, cap=None, min_df=1, sublinear=False):
+    limit = f"ORDER BY sum(n) DESC, term LIMIT {cap}" if cap else ""
+    tf = "1 + ln(n)" if sublinear else "n"
+    return f"""WITH d AS ({source}), tf AS (SELECT {doc}, term, count(*) AS n FROM (SELECT {doc}, unnest(grams) AS term FROM d) GROUP BY 1, 2),
+      v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) >= {min_df} {limit}),
+      w AS (SELECT {doc}, tf.term, ({tf}) * idf AS w FROM tf JOIN v ON tf.term = v.term)
+      SELECT {doc}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {doc})) AS weight FROM w"""
+
+
+_WORD_GRAMS = f"SELECT doc_id, tokens AS grams FROM ({WORDS})"
+
+
+@query("g2_tfidf", f"SELECT doc_id, term, round(weight, 6) AS weight FROM ({tfidf_sql(_WORD_GRAMS, 'doc_id', 5000)})")
+def _(spark, d):
+    return rounded(FE.tfidf(words(spark, d), "doc_id", "tokens", 5000), "weight")
+
+
+_PAIR = "list_transform(generate_series(1, len(tokens) - {m}), lambda i: array_to_string(tokens[i:i + {m}], ' '))"
+_ONE_TWO = f"SELECT doc_id, list_concat(tokens, {_PAIR.format(m=1)}) AS grams FROM ({WORDS})"
+_TWO_THREE = f"SELECT doc_id, list_concat({_PAIR.format(m=1)}, {_PAIR.format(m=2)}) AS grams FROM ({WORDS})"
+
+
+def _sublinear(spark, d):
+    return FE.tfidf(words(spark, d), "doc_id", T.word_ngrams(F.col("tokens"), 1, 2), 300, 10, True)
+
+
+@query("g2_tfidf_sublinear", f"SELECT doc_id, term, round(weight, 6) AS weight FROM ({tfidf_sql(_ONE_TWO, 'doc_id', 300, 10, True)})")
+def _(spark, d):
+    return rounded(_sublinear(spark, d), "weight")
+
+
+@query("g3_tfidf_ngrams", f"SELECT doc_id, term, round(weight, 6) AS weight FROM ({tfidf_sql(_TWO_THREE, 'doc_id', 5000)})")
+def _(spark, d):
+    return rounded(FE.tfidf_ngrams(words(spark, d), "doc_id", "tokens"), "weight")
+
+
+_CHARS = f"SELECT name, list_concat(list_transform(generate_series(1, length(name) - 1), lambda i: substr(name, i, 2)), list_transform(generate_series(1, length(name) - 2), lambda i: substr(name, i, 3))) AS grams FROM ({NAMES})"
+
+
+@query("g3_tfidf_chars", f"SELECT name, term, round(weight, 6) AS weight FROM ({tfidf_sql(_CHARS, 'name', 5000)})")
+def _(spark, d):
+    return rounded(FE.tfidf_chars(names(spark, d).distinct(), "name", "name"), "weight")
+
+
+@query(
+    "g4_chi2_terms",
+    f"""WITH u AS ({tfidf_sql(_ONE_TWO, 'doc_id', 300, 10, True)}), c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1),
+         p AS (SELECT quality, n / (SELECT count(*) FROM labels) AS share FROM c),
+         o AS (SELECT quality, term, sum(weight) AS o FROM u JOIN labels ON labels.doc_id = u.doc_id GROUP BY 1, 2),
+         t AS (SELECT term, sum(o) AS total FROM o GROUP BY 1),
+         x AS (SELECT p.quality, t.term, len(string_split(t.term, ' ')) AS words, pow(coalesce(o, 0) - share * total, 2) / (share * total) + pow(coalesce(o, 0) - share * total, 2) / ((1 - share) * total) AS chi2
+               FROM p CROSS JOIN t LEFT JOIN o ON o.quality = p.quality AND o.term = t.term)
+        SELECT quality, CAST(words AS INTEGER) AS words, round(chi2, 4) AS chi2, CAST(row_number() OVER (PARTITION BY quality, words ORDER BY chi2 DESC, term) AS INTEGER) AS rank FROM x
+        WHERE words <= 2 QUALIFY rank <= CASE words WHEN 1 THEN 5 ELSE 2 END""",
+)
+def _(spark, d):
+    # With two classes both see the same scores, so tied terms are left out of the comparison.
+    found = FE.chi2_terms(_sublinear(spark, d), table(spark, d, "labels"), "doc_id", "quality")
+    return found.select("quality", "words", r("chi2", 4).alias("chi2"), "rank")
+
+
+@query("g5_label_index")
+def _(spark, d):
+    train, held = split_random(table(spark, d, "documents").select("doc_id", "source"), 0.25, "doc_id")
+    return M.label_index(train, "source").transform(held).groupBy("source", "label").count()
+
+
+def _counted(spark, d, vocab=300):
+    docs = words(spark, d).withColumn("tokens", T.remove_stopwords(F.col("tokens"), []))
+    model = FE.count_vectorizer(docs, "tokens", vocab, 2.0)
+    return model, model.transform(docs)
+
+
+@query("g6_topics")
+def _(spark, d):
+    model, docs = _counted(spark, d)
+    return M.topics(docs, model.vocabulary, k=5, iterations=5, words=10)[1]
+
+
+@query("g7_word_vectors")
+def _(spark, d):
+    model, _ = M.word_vectors(words(spark, d), "tokens", size=16, window=5, min_count=20)
+    probe = table(spark, d, "documents").select(F.explode(T.tokenize(F.lower("text"), r"\p{L}+")).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").first().w
+    return model.findSynonyms(probe, 10)
+
+
+_VECTOR_SQL = "SELECT DISTINCT word, length(word) AS a, unicode(word) AS b, length(word) - length(replace(word, 'e', '')) AS c FROM (SELECT unnest(tokens) AS word FROM w) WHERE length(word) > 2"
+
+
+def _toy_vectors(docs):
+    listed = docs.select(F.explode("tokens").alias("word")).where(F.length("word") > 2).distinct()
+    vector = F.array(F.length("word"), F.ascii("word"), F.length("word") - F.length(F.replace("word", F.lit("e"), F.lit("")))).cast("array<double>")
+    return listed.select("word", vector.alias("vector"))
+
+
+@query(
+    "g8_mean_embedding",
+    f"""WITH w AS ({WORDS}), v AS ({_VECTOR_SQL}), m AS (SELECT doc_id, avg(a) AS a, avg(b) AS b, avg(c) AS c
+           FROM (SELECT doc_id, unnest(tokens) AS word FROM w) t JOIN v ON v.word = t.word GROUP BY 1)
+        SELECT w.doc_id, round(coalesce(a, 0), 6) AS x1, round(coalesce(b, 0), 6) AS x2, round(coalesce(c, 0), 6) AS x3 FROM w LEFT JOIN m ON m.doc_id = w.doc_id""",
+)
+def _(spark, d):
+    docs = words(spark, d)
+    means = FE.mean_embedding(docs, "doc_id", "tokens", _toy_vectors(docs), 3)
+    return means.select("doc_id", *[r(F.get("embedding", F.lit(i))).alias(f"x{i + 1}") for i in range(3)])
+
+
+@query(
+    "g8_mean_embedding_idf",
+    f"""WITH w AS ({WORDS}), t AS (SELECT doc_id, unnest(tokens) AS word FROM w), v AS ({_VECTOR_SQL}),
+          i AS (SELECT word, ln((1.0 + (SELECT count(*) FROM w)) / (1.0 + count(DISTINCT doc_id))) + 1 AS idf FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+          s AS (SELECT v.word, a * coalesce(idf, top) AS a, b * coalesce(idf, top) AS b, c * coalesce(idf, top) AS c FROM v LEFT JOIN i ON i.word = v.word, (SELECT max(idf) AS top FROM i)),
+          m AS (SELECT doc_id, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM t JOIN s ON s.word = t.word GROUP BY 1)
+        SELECT w.doc_id, round(coalesce(a, 0), 5) AS x1, round(coalesce(b, 0), 5) AS x2, round(coalesce(c, 0), 5) AS x3 FROM w LEFT JOIN m ON m.doc_id = w.doc_id""",
+)
+def _(spark, d):
+    docs = words(spark, d)
+    total = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    df = FE.term_counts(docs, "doc_id", "tokens").groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 3")
+    idf = df.select(F.col("term").alias("word"), (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("weight"))
+    means = FE.mean_embedding(docs, "doc_id", "tokens", _toy_vectors(docs), 3, idf)
+    return means.select("doc_id", *[r(F.get("embedding", F.lit(i)), 5).alias(f"x{i + 1}") for i in range(3)])
+
+
+@query(
+    "g9_doc_similarity",
+    """SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+       FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+)
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    both = e.select("vec_id", "embedding").join(after, "vec_id")
+    score = S.cosine(F.col("embedding").cast("array<double>"), F.col("next").cast("array<double>"))
+    return both.select("vec_id", r(score).alias("score"))
+
+
+def _vectors(spark, d):
+    return M.as_vector(table(spark, d, "embeddings"), "embedding")
+
+
+@query("g10_pca")
+def _(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    df = _vectors(spark, d)
+    return M.pca(df, "features", 5).transform(df).select("vec_id", vector_to_array("reduced").alias("reduced"))
+
+
+@query("g11_kmeans")
+def _(spark, d):
+    df = _vectors(spark, d)
+    return M.kmeans(df, 10, 20).transform(df).groupBy("cluster", "label").count()
+
+
+@query("g12_elbow")
+def _(spark, d):
+    return M.elbow(_vectors(spark, d), [2, 6, 10])
+
+
+@query(
+    "g13_calinski_harabasz",
+    """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+          c AS (SELECT label, dim, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS w FROM x GROUP BY 1, 2),
+          g AS (SELECT dim, avg(x) AS gm FROM x GROUP BY 1)
+       SELECT count(DISTINCT label) AS clusters, CAST(sum(n) FILTER (c.dim = 1) AS BIGINT) AS rows,
+              round((sum(n * pow(m - gm, 2)) / (count(DISTINCT label) - 1)) / (sum(w) / (sum(n) FILTER (c.dim = 1) - count(DISTINCT label))), 5) AS score
+       FROM c JOIN g ON g.dim = c.dim""",
+)
+def _(spark, d):
+    return rounded(FE.calinski_harabasz(table(spark, d, "embeddings"), "label", "embedding"), "score", digits=5)
+
+
+@query("g14_cluster_terms")
+def _(spark, d):
+    docs = words(spark, d)
+    stages = FE.tfidf_model(docs, "tokens", 300, 10.0)
+    df = stages.transform(docs)
+    return M.cluster_terms(df, M.kmeans(df, 4, 20), stages.stages[0].vocabulary, 10)
+
+
+@query("g15_assign_cluster")
+def _(spark, d):
+    docs = words(spark, d)
+    stages = FE.tfidf_model(docs, "tokens", 300, 10.0)
+    model = M.kmeans(stages.transform(docs), 4, 20)
+    turns = table(spark, d, "conversations").select("conv_id", "turn", T.tokenize(F.lower("text"), r"\p{L}+").alias("tokens"))
+    return M.assign_cluster(stages.transform(turns), model).groupBy("cluster").count()
+
+
+def labelled(spark, d):
+    """(training, validation) documents with a quality label, and fitted features."""
+    docs = words(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
+    train, valid = split_random(docs, 0.25, "doc_id")
+    return train, valid, FE.tfidf_model(train, "tokens", 300, 5.0)
+
+
+def _scored(estimator):
+    def run(spark, d):
+        train, valid, stages = labelled(spark, d)
+        model = estimator.fit(stages.transform(train))
+        return M.accuracy(model.transform(stages.transform(valid)))
+
+    return run
+
+
+query("g16_naive_bayes")(lambda s, d: _scored(M.naive_bayes())(s, d))
+query("g17_logistic")(lambda s, d: _scored(M.logistic(max_iter=50))(s, d))
+query("g18_linear_svm")(lambda s, d: _scored(M.linear_svm(max_iter=20))(s, d))
+query("g19_random_forest")(lambda s, d: _scored(M.random_forest(trees=20))(s, d))
+query("g20_extra_trees")(lambda s, d: _scored(M.extra_trees(trees=20))(s, d))
+query("g21_boosted_trees")(lambda s, d: _scored(M.boosted_trees(max_iter=5, depth=3))(s, d))
+
+# A rule to compare with the labels: the longer half of the usual length is good.
+_RULE = "CASE WHEN n_chars > 600 THEN 1 ELSE 0 END"
+_RULED = f"SELECT quality AS label, {_RULE} AS prediction FROM documents JOIN labels ON labels.doc_id = documents.doc_id"
+
+
+def _ruled(spark, d):
+    both = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    return both.selectExpr("quality AS label", f"{_RULE} AS prediction")
+
+
+@query("g22_accuracy", f"SELECT count(*) AS n, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_RULED})")
+def _(spark, d):
+    return rounded(M.accuracy(_ruled(spark, d)), "accuracy")
+
+
+@query("g22_confusion", f"SELECT label, prediction, count(*) AS n FROM ({_RULED}) GROUP BY 1, 2")
+def _(spark, d):
+    return M.confusion(_ruled(spark, d))
+
+
+@query(
+    "g22_class_report",
+    f"""WITH x AS ({_RULED}), k AS (SELECT DISTINCT label AS class FROM x UNION SELECT DISTINCT prediction FROM x),
+          s AS (SELECT class, count(*) FILTER (label = class) AS support, count(*) FILTER (prediction = class) AS predicted, count(*) FILTER (label = class AND prediction = class) AS hit FROM k, x GROUP BY 1)
+        SELECT class, round(hit / predicted, 6) AS precision, round(hit / support, 6) AS recall, round(2 * hit / (support + predicted), 6) AS f1, support FROM s""",
+)
+def _(spark, d):
+    return rounded(M.class_report(_ruled(spark, d)), "precision", "recall", "f1")
+
+
+@query("g23_model_grid")
+def _(spark, d):
+    train, valid, tfidf = labelled(spark, d)
+    counts = FE.count_vectorizer(train, "tokens", 300, 5.0)
+    estimators = {"naive_bayes": M.naive_bayes(), "logistic": M.logistic(max_iter=20)}
+    return M.model_grid(train, valid, estimators, {"count": counts, "tfidf": tfidf})
+
+
+@query("g24_random_search")
+def _(spark, d):
+    train, _, stages = labelled(spark, d)
+    features = stages.transform(train).select("features", "label").persist()
+    return M.random_search(features, M.naive_bayes(), {"smoothing": [0.1, 0.5, 1.0, 2.0]}, n_iter=3, folds=3)[1]
+
+
+@query("g24_grid_search")
+def _(spark, d):
+    train, _, stages = labelled(spark, d)
+    features = stages.transform(train).select("features", "label").persist()
+    return M.grid_search(features, M.naive_bayes(), {"smoothing": [0.5, 1.0]}, seeds=(8, 9))
+
+
+@query("g25_prediction_table")
+def _(spark, d):
+    train, valid, stages = labelled(spark, d)
+    index = M.label_index(train, "lang", "lang_code")
+    model = Pipeline(stages=[M.naive_bayes(label="lang_code")]).fit(index.transform(stages.transform(train)))
+    scored = model.transform(index.transform(stages.transform(valid)))
+    return M.prediction_table(scored, index.labels, ["doc_id", "lang"], "lang_code")

@@ -1 +1,75 @@
-"""Queries."""
+"""Groups of similar names and hidden tickets."""
+
+from pyspark.sql import functions as F
+
+from incidentkit.functions import text as T
+from incidentkit.operators import grouping as G, similarity as S
+from incidentkit.operators.features import mean_embedding
+from incidentkit.operators.models import word_vectors
+from incidentkit.plans import tickets as P
+from incidentkit.registry.common import query, table, words
+from incidentkit.registry.joins import SIMILAR, names
+
+_LABELS = f"""
+  WITH RECURSIVE p AS MATERIALIZED ({SIMILAR}), e AS MATERIALIZED (SELECT id1 AS a, id2 AS b FROM p UNION SELECT id2, id1 FROM p),
+    reach(a, b) AS (SELECT a, a FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+  SELECT a AS name, min(b) AS "group" FROM reach GROUP BY 1
+"""
+
+
+@query("h1_connected_groups", _LABELS)
+def _(spark, d):
+    return G.connected_groups(S.cosine_self_join(names(spark, d).distinct(), "name", "name"))
+
+
+@query(
+    "h2_group_names",
+    f"""SELECT p_partkey, n AS name, coalesce("group", n) AS "group" FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS n FROM part)
+        LEFT JOIN ({_LABELS}) l ON l.name = n""",
+)
+def _(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
+    return G.group_names(part, "name")
+
+
+_PAIRS = """SELECT l_orderkey * 8 + l_linenumber AS pair_id, l_suppkey AS level2, l_partkey AS level3, l_discount AS score,
+    CASE WHEN l_returnflag = 'A' THEN l_orderkey END AS linked_to FROM lineitem"""
+_UNIQUE = "SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY level2, level3, score) AS k FROM (" + _PAIRS + ")"
+
+
+@query(
+    "h3_hidden_incidents",
+    f"""WITH p AS ({_PAIRS}), i AS (SELECT * FROM p WHERE level2 IN (SELECT level2 FROM p WHERE linked_to IS NULL GROUP BY 1 HAVING count(*) > 1)),
+          b AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY level3 ORDER BY score DESC, pair_id, level2) = 1)
+        SELECT level3, level2, score FROM b WHERE linked_to IS NULL""",
+)
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    pairs = li.select(
+        F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pair"), F.col("l_suppkey").alias("s")).alias("pair_id"),
+        F.col("l_suppkey").alias("level2"),
+        F.col("l_partkey").alias("level3"),
+        F.col("l_discount").alias("score"),
+        F.when(F.col("l_returnflag") == "A", F.col("l_orderkey")).alias("linked_to"),
+    )
+    return G.hidden_incidents(pairs).select("level3", "level2", "score")
+
+
+@query("h4_link_candidates")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    tokens = words(spark, d)
+    _, vectors = word_vectors(tokens, "tokens", size=16, window=5, min_count=5)
+    vectors = vectors.persist()
+    turns = table(spark, d, "conversations").where(F.col("role") == "user").select(
+        F.concat_ws("-", F.lit("I"), "conv_id", "turn").alias("incident_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_no"),
+        F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("P"), F.col("conv_id") % 5)).alias("problem_id"),
+        F.col("text").alias("short_text"),
+        F.col("text").alias("request"),
+    )
+    problems = docs.select(
+        F.concat(F.lit("P"), "doc_id").alias("problem_id"), F.col("doc_id").alias("row_no"), F.col("text").alias("short_text"), F.col("text").alias("request")
+    )
+    claims = P.link_candidates(problems, turns, vectors, vectors, 16, 16, threshold=0.9)
+    return claims.groupBy("phase").agg(F.count(F.lit(1)).alias("claimed"), F.countDistinct("problem_id").alias("problems"))

@@ -46,17 +46,17 @@ def _(spark, d):
     return persistence_forecast(backlog_series(tickets(spark, d), "opened", "closed", 199506, 200112))
 
 
-# Five form templates per language; the pattern with the most text wins.
+# Five form templates; the pattern with the most text wins.
 _TEMPLATES = [
     (1, "naam:.*?omschrijving storing:(.+?)telefoon:.*?"),
     (2, "naam:.*?omschrijving:(.+?)telefoon:.*?"),
     (3, "naam:.*?omschrijving storing:(.+?)"),
-    (4, "naam:.*?(.+?)telefoon:.*?"),
+    (4, "klant:.*?omschrijving melding:(.+?)telefoon:.*?"),
     (5, "(.+?)telefoon:.*?inlog:.*?"),
 ]
-_REQUEST = """CASE doc_id % 5 WHEN 0 THEN 'Naam: ' || source || ' Omschrijving storing: ' || t || ' Telefoon: 1'
+_REQUEST = """CASE doc_id % 6 WHEN 0 THEN 'Naam: ' || source || ' Omschrijving storing: ' || t || ' Telefoon: 1'
   WHEN 1 THEN 'Naam: ' || source || ' Omschrijving: ' || t || ' Telefoon: 2' WHEN 2 THEN 'Naam: ' || source || ' Omschrijving storing: ' || t
-  WHEN 3 THEN t || ' Telefoon: 3 Inlog: x' ELSE t END"""
+  WHEN 3 THEN 'Klant: a Omschrijving melding: ' || t || ' Telefoon: 3' WHEN 4 THEN t || ' Telefoon: 4 Inlog: x' ELSE t END"""
 _FLAT = "translate(text, chr(10) || chr(13) || chr(9), '   ')"
 _FORMS = f"SELECT doc_id AS incident_id, lang, {_REQUEST} AS request FROM (SELECT doc_id, lang, source, {_FLAT} AS t FROM documents)"
 _TEMPLATE_SQL = "(VALUES " + ", ".join(f"({i}, '^{x}$')" for i, x in _TEMPLATES) + ") v(template_id, regex)"
