@@ -115,12 +115,12 @@ def _toy_vectors(docs):
     "g8_mean_embedding",
     f"""WITH w AS ({WORDS}), v AS ({_VECTOR_SQL}), m AS (SELECT doc_id, avg(a) AS a, avg(b) AS b, avg(c) AS c
            FROM (SELECT doc_id, unnest(tokens) AS word FROM w) t JOIN v ON v.word = t.word GROUP BY 1)
-        SELECT w.doc_id, round(coalesce(a, 0), 6) AS x1, round(coalesce(b, 0), 6) AS x2, round(coalesce(c, 0), 6) AS x3 FROM w LEFT JOIN m ON m.doc_id = w.doc_id""",
+        SELECT w.doc_id, round(coalesce(a, 0), 9) AS x1, round(coalesce(b, 0), 9) AS x2, round(coalesce(c, 0), 9) AS x3 FROM w LEFT JOIN m ON m.doc_id = w.doc_id""",
 )
 def _(spark, d):
     docs = words(spark, d)
     means = FE.mean_embedding(docs, "doc_id", "tokens", _toy_vectors(docs), 3)
-    return means.select("doc_id", *[r(F.get("embedding", F.lit(i))).alias(f"x{i + 1}") for i in range(3)])
+    return means.select("doc_id", *[r(F.get("embedding", F.lit(i)), 9).alias(f"x{i + 1}") for i in range(3)])
 
 
 @query(
