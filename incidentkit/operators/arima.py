@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from incidentkit.operators import least_squares as ls
 from incidentkit.operators.aggregates import error_metrics
 from incidentkit.operators.windows import along
+from incidentkit.session import checkpoint
 
 KEYS = ("series_id",)
 ROWS_PER_COEFFICIENT = 3
@@ -184,7 +185,11 @@ def walk_forward_orders(
     coefficient, or a singular system, has no rows.
     """
     parts = []
-    for d, D, s in sorted({(o.d, o.D, o.s) for o in orders}):
+    groups = sorted({(o.d, o.D, o.s) for o in orders})
+    if len(groups) > 1:
+        # Every differencing reads the series; what lies behind it runs once.
+        df = checkpoint(df.select(*keys, ts, y))
+    for d, D, s in groups:
         group = [o for o in orders if (o.d, o.D, o.s) == (d, D, s)]
         ar = sorted({k for o in group for k in o.ar})
         ma = sorted({k for o in group for k in o.ma})
@@ -253,7 +258,11 @@ def seasonal_grid_aic(
 ) -> DataFrame:
     """AIC = n ln(rss / n) + 2k of every order on the whole series, and the best one."""
     parts = []
-    for d, D, s in sorted({(o.d, o.D, o.s) for o in orders}):
+    groups = sorted({(o.d, o.D, o.s) for o in orders})
+    if len(groups) > 1:
+        # Every differencing reads the series; what lies behind it runs once.
+        df = checkpoint(df.select(*keys, ts, y))
+    for d, D, s in groups:
         group = [o for o in orders if (o.d, o.D, o.s) == (d, D, s)]
         ar = sorted({k for o in group for k in o.ar})
         ma = sorted({k for o in group for k in o.ma})

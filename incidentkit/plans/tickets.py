@@ -11,6 +11,7 @@ from incidentkit.operators import arima, features, windows
 from incidentkit.operators.aggregates import error_metrics
 from incidentkit.operators.joins import first_claim, match_templates, open_backlog
 from incidentkit.operators.similarity import score_pairs
+from incidentkit.session import checkpoint
 
 
 def clean_requests(tickets: DataFrame, request: str = "request", tilde: bool = True) -> DataFrame:
@@ -72,7 +73,8 @@ def link_candidates(
     def embedded(df: DataFrame, key: str) -> DataFrame:
         s = embed(df, key, "short_text", short_vectors, short_size, "short_vector", stopwords, replacements)
         r = embed(df, key, "request", request_vectors, request_size, "request_vector", stopwords, replacements)
-        return df.join(s, key).join(r, key)
+        # Both similarity joins read the vectors several times; the texts are normalised once.
+        return checkpoint(df.drop("short_text", "request").join(s, key).join(r, key))
 
     with_vectors = embedded(tickets, "incident_id")
     free = with_vectors.where(F.col("problem_id").isNull()).drop("problem_id", "row_no")

@@ -65,26 +65,26 @@ def _(spark, d):
               CASE WHEN l_linenumber = 1 THEN 0.03 ELSE l_extendedprice END AS units FROM lineitem""",
 )
 def _(spark, d):
-    path = scratch(spark, "leave")
-    add = table(spark, d, "lineitem").where("l_returnflag = 'A'")
     units = F.when(F.col("l_linenumber") == 1, F.lit("3,00E-02")).otherwise(
         F.replace(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
     )
     day = F.col("l_shipdate").cast("date")
     first = F.col("l_returnflag") == "A"
     lines = table(spark, d, "lineitem").select(
-        F.concat_ws(
-            ";", F.lit("1"), F.lit("7"), F.col("l_orderkey"), F.lit("Testpersoon A."), F.date_format(day, "d-M-yyyy"),
-            F.date_format(F.date_add(day, 4), "d-M-yyyy"), F.when(first, "10").otherwise("15"), F.when(first, "1").otherwise("-1"), units, F.lit(""),
-        ).alias("value")
+        F.lit("1").alias("WerkgeverID"),
+        F.lit("7").alias("PersnrVerl"),
+        F.col("l_orderkey").alias("Persnr"),
+        F.lit("Testpersoon A.").alias("Naam"),
+        F.date_format(day, "d-M-yyyy").alias("Ingangsdatum"),
+        F.date_format(F.date_add(day, 4), "d-M-yyyy").alias("Einddatum"),
+        F.when(first, "10").otherwise("15").alias("Soort"),
+        F.when(first, "1").otherwise("-1").alias("Factor"),
+        units.alias("Eenheden"),
+        F.lit(None).cast("string").alias(" "),
     )
-    lines.write.text(path)
-    # The text writer puts no heading, so one file with only a heading line per part is not needed here.
-    raw = spark.read.text(path)
-    with_head = scratch(spark, "leave-head")
-    raw.write.option("header", True).csv(with_head, quote="", sep="\x01")
-    back = S.read_dutch_csv(spark, with_head)
-    return back.select("employer_id", "person_no", "start", "end", "kind", "factor", "units")
+    path = scratch(spark, "leave")
+    S.write_csv(lines, path, ";")
+    return S.read_dutch_csv(spark, path).select("employer_id", "person_no", "start", "end", "kind", "factor", "units")
 
 
 def _debits(spark, d):
