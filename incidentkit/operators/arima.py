@@ -98,7 +98,8 @@ def _solver(columns: Sequence[str]):
 
     @F.pandas_udf("array<double>")
     def coefficients(grams: pd.Series) -> pd.Series:
-        beta, _, _ = ls.solve(ls.square(grams, len(columns)), 0, used)
+        # A long autoregression may have more lags than the series has modes.
+        beta, _, _ = ls.solve(ls.square(grams, len(columns)), 0, used, minimum_norm=True)
         return pd.Series([None if not np.isfinite(b).all() else b for b in beta])
 
     return coefficients

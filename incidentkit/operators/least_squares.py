@@ -69,10 +69,13 @@ def square(grams: pd.Series, size: int) -> np.ndarray:
     return out
 
 
-def solve(gram: np.ndarray, target: int, used: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def solve(
+    gram: np.ndarray, target: int, used: Sequence[int], minimum_norm: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients, residual sum of squares and inverse diagonal per matrix.
 
-    Columns are scaled to length one first; a singular system gives nan.
+    Columns are scaled to length one first; a singular system gives nan, or the
+    shortest of its solutions.
     """
     yy = gram[:, target, target]
     if not used:
@@ -85,8 +88,11 @@ def solve(gram: np.ndarray, target: int, used: Sequence[int]) -> tuple[np.ndarra
     beta = np.full(b.shape, np.nan)
     inverse = np.full(b.shape, np.nan)
     for n in range(len(gram)):
-        if np.isfinite(unit[n]).all() and np.linalg.matrix_rank(unit[n], tol=1e-10) == len(used):
-            inv = np.linalg.inv(unit[n])
+        if not np.isfinite(unit[n]).all():
+            continue
+        full = np.linalg.matrix_rank(unit[n], tol=1e-10) == len(used)
+        if full or minimum_norm:
+            inv = np.linalg.inv(unit[n]) if full else np.linalg.pinv(unit[n], rcond=1e-10, hermitian=True)
             beta[n] = inv @ (b[n] / safe[n]) / safe[n]
             inverse[n] = np.diag(inv) / safe[n] ** 2
     return beta, yy - np.einsum("ni,ni->n", beta, b), inverse

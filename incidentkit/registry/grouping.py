@@ -59,7 +59,7 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents")
     tokens = words(spark, d)
-    _, vectors = word_vectors(tokens, "tokens", size=16, window=5, min_count=5)
+    _, vectors = word_vectors(tokens, "tokens", size=16, window=5, min_count=5, partitions=8)
     vectors = vectors.persist()
     turns = table(spark, d, "conversations").where(F.col("role") == "user").select(
         F.concat_ws("-", F.lit("I"), "conv_id", "turn").alias("incident_id"),
@@ -71,5 +71,5 @@ def _(spark, d):
     problems = docs.select(
         F.concat(F.lit("P"), "doc_id").alias("problem_id"), F.col("doc_id").alias("row_no"), F.col("text").alias("short_text"), F.col("text").alias("request")
     )
-    claims = P.link_candidates(problems, turns, vectors, vectors, 16, 16, threshold=0.9)
+    claims = P.link_candidates(problems, turns, vectors, vectors, 16, 16, threshold=0.99)
     return claims.groupBy("phase").agg(F.count(F.lit(1)).alias("claimed"), F.countDistinct("problem_id").alias("problems"))
