@@ -196,11 +196,12 @@ def anchored(pattern: str) -> str:
 def extract_first(c: Column, patterns: Sequence[str], group: int = 1) -> Column:
     """Trimmed capture of the first pattern that matches the lower-cased text, else null."""
     text = F.lower(c)
-    hits = []
-    for p in patterns:
-        q = "(?d)" + anchored(p)
-        hits.append(F.when(text.rlike(q), strip(F.regexp_extract(text, q, group))))
-    return F.coalesce(*hits)
+    return F.coalesce(*[_first_capture(text, F.lit("(?d)" + anchored(p)), group) for p in patterns])
+
+
+def _first_capture(text: Column, pattern: Column, group: int) -> Column:
+    """Trimmed capture, null without a match; one pass, and an empty capture counts as a match."""
+    return strip(F.get(F.call_function("regexp_extract_all", text, pattern, F.lit(group)), F.lit(0)))
 
 
 def extract_cascade(
@@ -215,12 +216,8 @@ def extract_cascade(
     steps = F.array(*[F.lit(anchored(p)) for p in patterns])
 
     def narrow(text: Column, pattern: Column) -> Column:
-        lowered = F.lower(text)
-        raw = capture(lowered, pattern, group)
-        # Matching is tested with the pattern itself: an empty capture also reads as ''.
-        matched = F.regexp_like(lowered, pattern)
-        usable = matched if group == 1 else matched & (raw != "")
-        return F.when(usable, strip(raw)).otherwise(text)
+        found = _first_capture(F.lower(text), pattern, group)
+        return _let(found if group == 1 else F.nullif(found, F.lit("")), lambda x: F.coalesce(x, text))
 
     return F.aggregate(steps, c, narrow)
 

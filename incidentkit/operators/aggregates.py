@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from incidentkit.functions import dates
 from incidentkit.operators.ranking import exact_quantiles
+from incidentkit.operators.rows import unfold
 
 
 def top_counts(df: DataFrame, key: str, n: int, count: str = "*") -> DataFrame:
@@ -99,7 +100,7 @@ def best_per_group(df: DataFrame, key: str, score: str, tie: Sequence[str]) -> D
 
 def word_counts(df: DataFrame, tokens: str, n: int) -> DataFrame:
     """The n most frequent lower-cased words over all documents."""
-    words = df.select(F.explode(tokens).alias("word")).select(F.lower("word").alias("word"))
+    words = unfold(df, tokens, "word").select(F.lower("word").alias("word"))
     return top_counts(words, "word", n)
 
 

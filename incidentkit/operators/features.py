@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from incidentkit.functions import text as T
 from incidentkit.operators.ranking import global_rank
+from incidentkit.operators.rows import unfold
+from incidentkit.session import checkpoint
 
 
 def term_counts(df: DataFrame, doc: str, tokens: str | Column) -> DataFrame:
     """Bag of words: (doc, term, n)."""
     return (
-        df.select(doc, F.explode(tokens).alias("term"))
+        unfold(df, tokens, "term", doc)
         .groupBy(doc, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -48,7 +50,13 @@ def tfidf(
     docs = df.agg(F.count(F.lit(1)).cast("double")).scalar()
     idf = terms.select("term", (F.log((docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     tf = 1 + F.log("n") if sublinear else F.col("n").cast("double")
-    raw = counts.join(idf, "term").select(doc, "term", (tf * F.col("idf")).alias("w"))
+    if max_features:
+        # A capped vocabulary is small by its limit, so other terms go before the second count.
+        kept = unfold(df, tokens, "term", doc).join(idf, "term")
+        weighed = kept.groupBy(doc, "term", "idf").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        weighed = counts.join(idf, "term")
+    raw = weighed.select(doc, "term", (tf * F.col("idf")).alias("w"))
     # The distinct terms of one document: bounded by its length.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return raw.select(doc, "term", (F.col("w") / length).alias("weight"))
@@ -88,12 +96,12 @@ def tfidf_model(
 
 def token_sequences(df: DataFrame, doc: str, tokens: str, maxlen: int = 300) -> DataFrame:
     """Words as frequency ranks (1 = most frequent), last ``maxlen`` kept, zeros in front."""
-    words = df.select(doc, F.explode(tokens).alias("word"))
+    words = unfold(df, tokens, "word", doc)
     vocabulary = global_rank(
         words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), F.col("n").desc(), F.col("word")
     ).select("word", "rank")
     tail = F.slice(tokens, F.greatest(F.size(tokens) - maxlen + 1, F.lit(1)), maxlen)
-    kept = df.select(doc, F.posexplode(tail).alias("pos", "word"))
+    kept = df.select(doc, F.posexplode_outer(tail).alias("pos", "word")).where(F.col("word").isNotNull())
     ranked = (
         kept.join(vocabulary, "word")
         .groupBy(doc)
@@ -117,7 +125,8 @@ def chi2_terms(
     classes are unfolded from one small array, then observed sums are joined in.
     """
     joined = weights.join(labels.select(doc, label), doc)
-    observed = joined.groupBy(label, "term").agg(F.sum("weight").alias("observed"))
+    # Classes times terms: small, and read twice.
+    observed = checkpoint(joined.groupBy(label, "term").agg(F.sum("weight").alias("observed")))
     totals = observed.groupBy("term").agg(F.sum("observed").alias("total"))
     classes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     shares = classes.agg(

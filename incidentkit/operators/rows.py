@@ -157,3 +157,13 @@ def unpivot_variants(
 
 def union_series(first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), others, first)
+
+
+def unfold(df: DataFrame, tokens: Column | str, name: str, *keep: str) -> DataFrame:
+    """One row per token, with the kept columns.
+
+    The outer form with a filter behind it gives the same rows as a plain
+    explode, but the optimiser does not derive a second evaluation of the
+    tokens, ``size(tokens) > 0``, to run below the last shuffle.
+    """
+    return df.select(*keep, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())

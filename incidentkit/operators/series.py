@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from incidentkit.operators import least_squares as ls
 from incidentkit.operators.aggregates import describe_numeric, histogram, kde
 from incidentkit.operators.windows import along
+from incidentkit.session import checkpoint
 
 KEYS = ("series_id",)
 
@@ -167,6 +168,9 @@ def adf_test(
         raise ValueError(trend)
     if max_lag is None:
         max_lag = ceil(12 * (length / 100) ** 0.25)
+    if choose == "aic":
+        # Read for the choice and again for the fit.
+        df = checkpoint(df.select(*keys, ts, y))
     w = along(keys, ts)
     diffs = df.withColumns(
         {

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from incidentkit.functions import text as T
 from incidentkit.operators.features import tfidf
 from incidentkit.operators.rows import stable_hash
+from incidentkit.session import checkpoint
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,7 +55,8 @@ def cosine_join(
     one bounded matrix product that yields only the pairs above the threshold.
     """
     lefts, rights = _unit(left, left_id, vector), _unit(right, right_id, vector)
-    # The pivots with their positions: a fixed, small number of rows.
+    # A left side of few blocks needs few cells. Pivots are a fixed, small number of rows.
+    pivots = max(1, min(pivots, math.ceil(lefts.count() / block)))
     chosen = lefts.orderBy(stable_hash(F.col("id")), "id").limit(pivots).select("v").collect()
     left_type = left.schema[left_id].dataType.simpleString()
     right_type = right.schema[right_id].dataType.simpleString()
@@ -76,7 +78,12 @@ def cosine_join(
             batch["angle"] = a.min(axis=1) if len(batch) else np.empty(0)
             yield batch
 
-    placed = lefts.mapInPandas(nearest, f"id {left_type}, v array<double>, cell int, angle double")
+    if pivots == 1:
+        # One cell that everything reaches.
+        placed = lefts.withColumns({"cell": F.lit(0), "angle": F.lit(math.pi)})
+        sent = rights.withColumn("cell", F.lit(0))
+    else:
+        placed = lefts.mapInPandas(nearest, f"id {left_type}, v array<double>, cell int, angle double")
     cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     radius = np.full(len(centers), -np.inf)
     left_blocks = {c: 1 for c in range(len(centers))}
@@ -91,7 +98,8 @@ def cosine_join(
                 {"id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row], "cell": cell.astype("int32")}
             )
 
-    sent = rights.mapInPandas(reachable, f"id {right_type}, v array<double>, cell int")
+    if pivots > 1:
+        sent = rights.mapInPandas(reachable, f"id {right_type}, v array<double>, cell int")
     counted = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     right_blocks = {c: math.ceil(counted.get(c, 1) / block) for c in range(len(centers))}
 
@@ -171,7 +179,8 @@ def cosine_self_join(
     are verified with the full vectors.
     """
     clean = F.translate(F.col(text), ",-./", "")
-    vectors = tfidf(df, key, T.char_ngrams(clean, n, n))
+    # Read four times below.
+    vectors = checkpoint(tfidf(df, key, T.char_ngrams(clean, n, n)))
     frequency = vectors.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Grams of one text, rare ones first: bounded by the length of the text.
     onward = Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)

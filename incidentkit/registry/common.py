@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from incidentkit.functions import dates
+from incidentkit.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,11 +105,15 @@ MONTHLY = f"""
 """
 
 
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
+
+
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their lower-cased words."""
     from incidentkit.functions import text as T
 
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder, "lang", "source", "text").select(
         "doc_id", "lang", "source", T.tokenize(F.lower("text"), WORD).alias("tokens")
     )
 

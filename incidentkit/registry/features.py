@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from incidentkit.functions import text as T
 from incidentkit.operators import features as FE, models as M, similarity as S
+from incidentkit.operators.aggregates import word_counts
+from incidentkit.operators.rows import unfold
 from incidentkit.operators.windows import split_random
 from incidentkit.registry.common import WORDS, query, r, rounded, table, words
 from incidentkit.registry.joins import NAMES, names
@@ -98,7 +100,7 @@ def _(spark, d):
 @query("g7_word_vectors")
 def _(spark, d):
     model, _ = M.word_vectors(words(spark, d), "tokens", size=16, window=5, min_count=20)
-    probe = table(spark, d, "documents").select(F.explode(T.tokenize(F.lower("text"), r"\p{L}+")).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").first().w
+    probe = word_counts(words(spark, d), "tokens", 1).first().word
     return model.findSynonyms(probe, 10)
 
 
@@ -106,7 +108,7 @@ _VECTOR_SQL = "SELECT DISTINCT word, length(word) AS a, unicode(word) AS b, leng
 
 
 def _toy_vectors(docs):
-    listed = docs.select(F.explode("tokens").alias("word")).where(F.length("word") > 2).distinct()
+    listed = unfold(docs, "tokens", "word").where(F.length("word") > 2).distinct()
     vector = F.array(F.length("word"), F.ascii("word"), F.length("word") - F.length(F.replace("word", F.lit("e"), F.lit("")))).cast("array<double>")
     return listed.select("word", vector.alias("vector"))
 
@@ -208,7 +210,7 @@ def _(spark, d):
 
 def labelled(spark, d):
     """(training, validation) documents with a quality label, and fitted features."""
-    docs = words(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
+    docs = words(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double")).persist()
     train, valid = split_random(docs, 0.25, "doc_id")
     return train, valid, FE.tfidf_model(train, "tokens", 300, 5.0)
 

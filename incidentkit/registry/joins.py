@@ -6,7 +6,7 @@ from incidentkit.functions import text as T
 from incidentkit.operators import joins as J, similarity as S
 from incidentkit.operators.windows import persistence_forecast
 from incidentkit.plans.tickets import backlog_series
-from incidentkit.registry.common import TICKETS, money, query, r, table, tickets
+from incidentkit.registry.common import TICKETS, documents, money, query, r, table, tickets
 
 
 @query(
@@ -63,7 +63,7 @@ _TEMPLATE_SQL = "(VALUES " + ", ".join(f"({i}, '^{x}$')" for i, x in _TEMPLATES)
 
 
 def _forms(spark, d):
-    flat = table(spark, d, "documents").withColumn("t", F.translate("text", "\n\r\t", "   "))
+    flat = documents(spark, d, "lang", "source", "text").withColumn("t", F.translate("text", "\n\r\t", "   "))
     return flat.selectExpr("doc_id AS incident_id", "lang", f"{_REQUEST} AS request")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from incidentkit.operators import models as M
-from incidentkit.operators.aggregates import word_counts
+from incidentkit.operators.rows import unfold
 from incidentkit.registry.common import WORDS, money, query, table, words
 from incidentkit.session import scratch
 from incidentkit.sources import direct_debit as X, files as S, tables as B
@@ -170,7 +170,7 @@ def _(spark, d):
 def _(spark, d):
     from pyspark.sql import Window
 
-    counts = words(spark, d).select("lang", F.explode("tokens").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = unfold(words(spark, d), "tokens", "term", "lang").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("rank <= 10")
     path = scratch(spark, "terms")
     S.write_cluster_terms(top.select(F.col("lang").alias("cluster"), "rank", "term"), path)

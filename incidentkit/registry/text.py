@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from incidentkit.functions import text as T
 from incidentkit.operators import features as FE
-from incidentkit.registry.common import WORD, WORDS, money, query, r, table, words
+from incidentkit.registry.common import WORD, WORDS, documents, money, query, r, table, words
 
 # Small word lists made for the test texts.
 STOP = ["the", "and", "de", "la", "en", "der", "die", "und", "el", "le"]
@@ -14,7 +14,7 @@ _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return documents(spark, d, "text")
 
 
 @query(
@@ -42,7 +42,7 @@ _ENTRY = "CASE WHEN doc_id % 2 = 0 THEN '02-03-2020 08:15 Test, Afdeling: ' ELSE
          FROM (SELECT doc_id, {_ENTRY} AS t FROM documents)""",
 )
 def _(spark, d):
-    df = table(spark, d, "documents").selectExpr("doc_id", f"{_ENTRY} AS text")
+    df = documents(spark, d, "text").selectExpr("doc_id", f"{_ENTRY} AS text")
     return df.withColumn("text", T.strip_entry_header(F.col("text")))
 
 
@@ -76,7 +76,7 @@ _MIXED = rf"SELECT doc_id, regexp_extract_all(text, '[0-9]+|{WORD}') AS tokens F
 
 @query("f6_drop_numbers", rf"SELECT doc_id, list_filter(tokens, lambda x: NOT regexp_matches(x, '^[0-9]+$')) AS tokens FROM ({_MIXED})")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.drop_numbers(T.tokenize(F.col("text"), rf"[0-9]+|{WORD}")).alias("tokens"))
+    return documents(spark, d, "text").select("doc_id", T.drop_numbers(T.tokenize(F.col("text"), rf"[0-9]+|{WORD}")).alias("tokens"))
 
 
 @query(
@@ -139,7 +139,7 @@ _TRIM = r"regexp_replace({0}, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
 
 
 def _forms(spark, d):
-    return table(spark, d, "documents").selectExpr("doc_id", f"{_FORM} AS request")
+    return documents(spark, d, "text").selectExpr("doc_id", f"{_FORM} AS request")
 
 
 def _hit(p):
@@ -181,7 +181,7 @@ def _cascade2_sql():
 
 @query("f14_extract_cascade_tickets", _cascade2_sql())
 def _(spark, d):
-    df = table(spark, d, "documents").selectExpr("doc_id", f"{_TICKET} AS request")
+    df = documents(spark, d, "text").selectExpr("doc_id", f"{_TICKET} AS request")
     return df.select("doc_id", T.extract_cascade(F.col("request"), T.PROBLEM_PATTERNS, 2).alias("description"))
 
 

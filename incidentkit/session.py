@@ -38,6 +38,17 @@ def local_session(cores: int | str = "*", name: str = "incidentkit") -> SparkSes
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a small table over all cores before heavy work per row.
+
+    A scan cuts a file into byte ranges, but only ranges that hold the start of
+    a row group carry rows, so a few ranges per core may still mean one busy
+    task. An input of many pieces, as any large table is, stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 4 * cores else df.repartition(cores, key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder name for a stage table, below ``spark.checkpoint.dir`` where that is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
