@@ -25,13 +25,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0))
 
 
-def _unit(df: DataFrame, key: str, vector: str) -> DataFrame:
+def _unit(df: DataFrame, key: str, vector: str, order: str | None = None) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     size = F.sqrt(dot(v, v))
+    rank = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
     return (
-        df.select(F.col(key).alias("id"), v.alias("v"), size.alias("size"))
+        df.select(F.col(key).alias("id"), v.alias("v"), size.alias("size"), rank.alias("o"))
         .where(F.col("size") > 0)
-        .select("id", F.transform("v", lambda x: x / F.col("size")).alias("v"))
+        .select("id", F.transform("v", lambda x: x / F.col("size")).alias("v"), "o")
     )
 
 
@@ -44,9 +45,14 @@ def cosine_join(
     threshold: float,
     pivots: int = 16,
     block: int = 2048,
+    first: str | None = None,
 ) -> DataFrame:
     """All pairs (left_id, right_id, score) with cosine above the threshold, exactly.
 
+    ``first`` names an integer column of the left side for callers that only want
+    the first left row (then lowest id) per right row: a block pair then yields
+    at most one pair per right vector, however many copies a group has.
+
     Angles obey the triangle inequality. Every left vector belongs to the cell
     of its nearest pivot; a right vector is sent to the cells it can reach, that
     is where its angle to the pivot is at most the cell's radius plus the
@@ -54,7 +60,7 @@ def cosine_join(
     twice. Cells of any size are cut into blocks on both sides; a block pair is
     one bounded matrix product that yields only the pairs above the threshold.
     """
-    lefts, rights = _unit(left, left_id, vector), _unit(right, right_id, vector)
+    lefts, rights = _unit(left, left_id, vector, first), _unit(right, right_id, vector)
     # A left side of few blocks needs few cells. Pivots are a fixed, small number of rows.
     pivots = max(1, min(pivots, math.ceil(lefts.count() / block)))
     chosen = lefts.orderBy(stable_hash(F.col("id")), "id").limit(pivots).select("v").collect()
@@ -83,7 +89,7 @@ def cosine_join(
         placed = lefts.withColumns({"cell": F.lit(0), "angle": F.lit(math.pi)})
         sent = rights.withColumn("cell", F.lit(0))
     else:
-        placed = lefts.mapInPandas(nearest, f"id {left_type}, v array<double>, cell int, angle double")
+        placed = lefts.mapInPandas(nearest, f"id {left_type}, v array<double>, o bigint, cell int, angle double")
     cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     radius = np.full(len(centers), -np.inf)
     left_blocks = {c: 1 for c in range(len(centers))}
@@ -95,11 +101,16 @@ def cosine_join(
         for batch in batches:
             row, cell = np.nonzero(angles(batch["v"]) <= radius + reach)
             yield pd.DataFrame(
-                {"id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row], "cell": cell.astype("int32")}
+                {
+                    "id": batch["id"].to_numpy()[row],
+                    "v": batch["v"].to_numpy()[row],
+                    "o": batch["o"].to_numpy()[row],
+                    "cell": cell.astype("int32"),
+                }
             )
 
     if pivots > 1:
-        sent = rights.mapInPandas(reachable, f"id {right_type}, v array<double>, cell int")
+        sent = rights.mapInPandas(reachable, f"id {right_type}, v array<double>, o bigint, cell int")
     counted = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     right_blocks = {c: math.ceil(counted.get(c, 1) / block) for c in range(len(centers))}
 
@@ -114,6 +125,7 @@ def cosine_join(
             F.explode(F.sequence(F.lit(0), per_cell(other_counts) - 1)).alias(other),
             "id",
             "v",
+            "o",
         )
 
     l_blocks = blocks(placed, "lb", left_blocks, "rb", right_blocks)
@@ -122,8 +134,15 @@ def cosine_join(
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({left_id: a["id"][:0], right_id: b["id"][:0], "score": np.empty(0)})
+        if first:
+            a = a.sort_values(["o", "id"])
         scores = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
-        i, j = np.nonzero(scores > threshold)
+        above = scores > threshold
+        if first:
+            j = np.nonzero(above.any(axis=0))[0]
+            i = above.argmax(axis=0)[j]
+        else:
+            i, j = np.nonzero(above)
         return pd.DataFrame(
             {left_id: a["id"].to_numpy()[i], right_id: b["id"].to_numpy()[j], "score": scores[i, j]}
         )
@@ -140,17 +159,18 @@ def score_pairs(
     short: str = "short_vector",
     request: str = "request_vector",
     threshold: float = 0.75,
+    first: str | None = None,
 ) -> DataFrame:
     """Pairs whose short text or request text scores above the threshold, with both scores.
 
     Both tables carry the two vector columns; an all-zero vector scores zero.
+    With ``first`` the pairs hold, for every right row, its first left row by
+    that column, see :func:`cosine_join`.
     """
-    hits = (
-        cosine_join(left, right, left_id, right_id, short, threshold)
-        .drop("score")
-        .unionByName(cosine_join(left, right, left_id, right_id, request, threshold).drop("score"))
-        .distinct()
+    by_short, by_request = (
+        cosine_join(left, right, left_id, right_id, c, threshold, first=first).drop("score") for c in (short, request)
     )
+    hits = by_short.unionByName(by_request).distinct()
     l = left.select(left_id, F.col(short).alias("_ls"), F.col(request).alias("_lr"))
     r = right.select(right_id, F.col(short).alias("_rs"), F.col(request).alias("_rr"))
     as_double = lambda c: F.col(c).cast("array<double>")

@@ -82,12 +82,12 @@ def link_candidates(
 
     known = embedded(problems, "problem_id")
     first = (
-        score_pairs(known, free, "problem_id", "incident_id", threshold=threshold)
+        score_pairs(known, free, "problem_id", "incident_id", threshold=threshold, first="row_no")
         .join(problems.select("problem_id", "row_no"), "problem_id")
         .select("problem_id", F.col("problem_id").alias("level2"), "incident_id", "score_short", "score_request", "row_no", F.lit(1).alias("phase"))
     )
     second = (
-        score_pairs(linked, free, "linked_id", "incident_id", threshold=threshold)
+        score_pairs(linked, free, "linked_id", "incident_id", threshold=threshold, first="row_no")
         .join(linked.select("linked_id", "problem_id", "row_no"), "linked_id")
         .select("problem_id", F.col("linked_id").alias("level2"), "incident_id", "score_short", "score_request", "row_no", F.lit(2).alias("phase"))
     )

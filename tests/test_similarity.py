@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from incidentkit.operators import grouping as G, similarity as S
+from incidentkit.operators.joins import first_claim
 from incidentkit.plans.tickets import link_candidates, match_report
 
 
@@ -25,6 +26,21 @@ def test_cosine_join_equals_brute_force(spark):
     assert got == want and len(want) > 100
 
 
+def test_first_left_row_only(spark):
+    rng = np.random.default_rng(2)
+    v = np.vstack([np.tile([1.0, 0.2, 0.0], (90, 1)), rng.normal(size=(60, 3))])
+    df = spark.createDataFrame([(i, (i * 37) % 150, [float(x) for x in row]) for i, row in enumerate(v)], "id int, row_no int, v array<double>")
+    left, right = df.where("id % 2 = 0").withColumnRenamed("id", "a"), df.where("id % 2 = 1").withColumnRenamed("id", "b")
+    every = S.cosine_join(left, right, "a", "b", "v", 0.75, pivots=4, block=8)
+    few = S.cosine_join(left, right, "a", "b", "v", 0.75, pivots=4, block=8, first="row_no")
+
+    def claims(pairs):
+        rows = pairs.join(left.select("a", "row_no"), "a")
+        return {r.b: r.a for r in first_claim(rows, "b", ["row_no", "a"]).collect()}
+
+    assert few.count() < every.count() and claims(few) == claims(every)
+
+
 def grams(text, n=5):
     t = text.translate(str.maketrans("", "", ",-./"))
     return Counter(t[i : i + n] for i in range(len(t) - n + 1))
