@@ -25,22 +25,23 @@ def _plus_one(spark, d):
     return hourly(spark, d).withColumn("y", F.col("y") + 1)
 
 
-_ROUND = "SELECT series_id, ts, y, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(residual, 6) AS residual FROM"
+# Nine digits: shares of hourly counts may lie exactly between two six-digit values.
+_ROUND = "SELECT series_id, ts, y, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(residual, 9) AS residual FROM"
 
 
 @query("i1_decompose_additive", f"{_ROUND} ({_parts('additive')})")
 def _(spark, d):
-    return rounded(S.decompose(_plus_one(spark, d), 24), "trend", "seasonal", "residual")
+    return rounded(S.decompose(_plus_one(spark, d), 24), "trend", "seasonal", "residual", digits=9)
 
 
 @query("i1_decompose_multiplicative", f"{_ROUND} ({_parts('multiplicative')})")
 def _(spark, d):
-    return rounded(S.decompose(_plus_one(spark, d), 24, "multiplicative"), "trend", "seasonal", "residual")
+    return rounded(S.decompose(_plus_one(spark, d), 24, "multiplicative"), "trend", "seasonal", "residual", digits=9)
 
 
-@query("i2_deseasonalise", f"SELECT series_id, ts, round(residual, 6) AS y FROM ({_parts('additive')}) WHERE trend IS NOT NULL")
+@query("i2_deseasonalise", f"SELECT series_id, ts, round(residual, 9) AS y FROM ({_parts('additive')}) WHERE trend IS NOT NULL")
 def _(spark, d):
-    return rounded(S.deseasonalise(_plus_one(spark, d), 24), "y")
+    return rounded(S.deseasonalise(_plus_one(spark, d), 24), "y", digits=9)
 
 
 def acf_sql(source, lags, y="y"):
