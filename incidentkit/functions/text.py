@@ -188,9 +188,13 @@ def anchored(pattern: str) -> str:
     r"""Pin a pattern that opens with ``[\s\S]*`` to the start of the text.
 
     It matches the same texts with the same captures, but a text without a
-    match is given up after one attempt instead of one per position.
+    match is given up after one attempt instead of one per position. The class
+    of all characters is written as a dot over all characters, which the
+    matcher repeats without a step per character.
     """
-    return r"\A" + pattern if pattern.startswith(r"[\s\S]*") else pattern
+    every = r"[\s\S]"
+    body = pattern.replace(every, "(?s:.)")
+    return r"\A" + body if pattern.startswith(every + "*") else body
 
 
 def extract_first(c: Column, patterns: Sequence[str], group: int = 1) -> Column:
@@ -209,15 +213,22 @@ def extract_cascade(
 ) -> Column:
     """Each pattern that matches narrows the text to its capture; no match changes nothing.
 
-    With one capture group an empty capture is a result; with more groups an
-    empty one leaves the text as it was. The chain is a fold over the pattern
-    list, so the expression grows by one step per pattern.
+    With one capture group an empty capture is a result. With more groups only
+    a capture that is not empty, before it is trimmed, counts; where the trim
+    leaves nothing, the next pattern starts again from the whole text. The
+    chain is a fold over the pattern list, so the expression grows by one step
+    per pattern.
     """
     steps = F.array(*[F.lit(anchored(p)) for p in patterns])
+    if group == 1:
+        return F.aggregate(steps, c, lambda text, pattern: F.coalesce(_first_capture(F.lower(text), pattern, group), text))
 
-    def narrow(text: Column, pattern: Column) -> Column:
-        found = _first_capture(F.lower(text), pattern, group)
-        return _let(found if group == 1 else F.nullif(found, F.lit("")), lambda x: F.coalesce(x, text))
+    def narrow(rest: Column, pattern: Column) -> Column:
+        def step(text: Column) -> Column:
+            raw = F.get(F.call_function("regexp_extract_all", F.lower(text), pattern, F.lit(group)), F.lit(0))
+            return _let(raw, lambda found: F.when(found != "", strip(found)).otherwise(text))
+
+        return _let(F.when(rest != "", rest).otherwise(c), step)
 
     return F.aggregate(steps, c, narrow)
 

@@ -77,27 +77,16 @@ def match_templates(
     """Description captured by the first matching template of the ticket's kind and category.
 
     ``templates`` has the keys, ``template_id`` and ``regex``. Longest pattern
-    first, then lowest id. Without a match the capture is null. The choice is
-    one aggregate per ticket, reduced before the shuffle.
+    first, then lowest id. Without a match the capture is null. The templates of
+    a key, which people write, become one ordered array, so a ticket meets one
+    row and its text is neither copied nor joined back.
     """
-    pattern = F.concat(F.lit("(?d)"), F.col("regex"))
-    lowered = F.lower(F.col(request))
-    hits = (
-        tickets.select(ticket_id, *keys, lowered.alias("_text"))
-        .join(templates.select(*keys, "template_id", "regex"), list(keys))
-        .where(F.regexp_like("_text", pattern))
-        .select(
-            ticket_id,
-            F.struct((-F.length("regex")).alias("size"), "template_id").alias("_order"),
-            T.strip(T.capture(F.col("_text"), pattern)).alias("description"),
-        )
-        .groupBy(ticket_id)
-        .agg(
-            F.min("_order")["template_id"].alias("template_id"),
-            F.min_by("description", "_order").alias("description"),
-        )
+    ordered = templates.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct((-F.length("regex")).alias("size"), "template_id", "regex"))).alias("_all")
     )
-    return tickets.join(hits, ticket_id, "left")
+    listed = tickets.join(ordered, list(keys), "left").withColumn("_all", F.coalesce("_all", F.array().cast(ordered.schema["_all"].dataType)))
+    found = _first_template(listed, F.col("_all"), F.lower(F.col(request)))
+    return found.select(*tickets.columns, "template_id", "description")
 
 
 def match_any_template(
@@ -105,16 +94,12 @@ def match_any_template(
     templates: DataFrame,
     ticket_id: str = "incident_id",
     request: str = "request",
-    max_templates: int = 10_000,
 ) -> DataFrame:
     """Like :func:`match_templates` without keys: every template may match every ticket.
 
     The ordered pattern list travels as one array value, so tickets stay where
-    they are and stop at their first match. The list is written by people; more
-    than ``max_templates`` of them go through the keyed form instead.
+    they are; the fold over it tests no pattern after a hit.
     """
-    if templates.limit(max_templates + 1).count() > max_templates:
-        raise ValueError("too many templates for one list; use match_templates with keys")
     ordered = templates.agg(
         F.array_sort(
             F.collect_list(
@@ -124,21 +109,21 @@ def match_any_template(
     )
     lowered = F.lower(F.col(request))
     listed = tickets.withColumn("_all", ordered.scalar())
-    first = F.get(
-        F.filter("_all", lambda t: F.regexp_like(lowered, F.concat(F.lit("(?d)"), t["regex"]))), F.lit(0)
-    )
-    return (
-        listed.withColumn("_hit", first)
-        .withColumn("template_id", F.col("_hit.template_id"))
-        .withColumn(
-            "description",
-            F.when(
-                F.col("_hit").isNotNull(),
-                T.strip(T.capture(lowered, F.concat(F.lit("(?d)"), F.col("_hit.regex")))),
-            ),
-        )
-        .drop("_all", "_hit")
+    return _first_template(listed, F.col("_all"), lowered).drop("_all")
+
+
+def _first_template(df: DataFrame, ordered: Column, text: Column) -> DataFrame:
+    """template_id and capture of the first pattern of an ordered array that matches the text."""
+    pattern = lambda t: F.concat(F.lit("(?d)"), t["regex"])
+    none = F.lit(-1)
+    hit = F.aggregate(
+        F.sequence(F.lit(0), F.greatest(F.size(ordered) - 1, F.lit(0))),
+        none,
+        lambda held, i: F.when(held >= 0, held).when(F.regexp_like(text, pattern(F.get(ordered, i))), i).otherwise(held),
     )
+    found = df.withColumn("_at", hit).withColumn("_hit", F.when(F.col("_at") >= 0, F.get(ordered, F.col("_at"))))
+    description = F.when(F.col("_hit").isNotNull(), T.strip(T.capture(text, pattern(F.col("_hit")))))
+    return found.withColumn("template_id", F.col("_hit.template_id")).withColumn("description", description).drop("_at", "_hit")
 
 
 def map_or_keep(df: DataFrame, lookup: DataFrame, column: str, name: str, to: str) -> DataFrame:
@@ -161,29 +146,47 @@ def anti_new_names(names: DataFrame, catalog: DataFrame, column: str) -> DataFra
     return names.withColumn("_name", normal_name(F.col(column))).join(known, "_name", "left_anti").drop("_name")
 
 
+def _keyed(df: DataFrame, key: str) -> Column:
+    return F.nullif(F.lower(F.trim(F.col(key).cast("string"))), F.lit(""))
+
+
 def outer_merge(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
     """One row per key over all tables, columns prefixed, and the list of tables that hold it.
 
     One aggregation instead of a chain of full outer joins. Keys are compared
-    trimmed and in lower case; of repeated keys in a table the highest values stay.
+    trimmed and in lower case. Of repeated keys in a table one whole row stays,
+    the smallest by its columns in order, and ``<table>_rows`` counts them. Rows
+    without a key are in :func:`without_key`.
     """
     stacked = None
-    columns: list[str] = []
     for name, df in tables.items():
         own = [c for c in df.columns if c != key]
-        part = df.select(
-            F.lower(F.trim(F.col(key))).alias(key),
-            F.lit(name).alias("_source"),
-            *[F.col(c).alias(f"{name}_{c}") for c in own],
-        ).where(F.col(key).isNotNull())
-        columns += [f"{name}_{c}" for c in own]
+        row = F.struct(*[F.col(c).alias(c) for c in own], F.lit(name).alias("_source"))
+        part = df.where(_keyed(df, key).isNotNull()).select(_keyed(df, key).alias(key), row.alias(name))
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    return stacked.groupBy(key).agg(
-        *[F.max(c).alias(c) for c in columns],
-        F.array_join(F.array_sort(F.collect_set("_source")), ",").alias("sources"),
+    merged = stacked.groupBy(key).agg(
+        *[F.min(name).alias(f"_{name}") for name in tables],
+        *[F.count(name).alias(f"{name}_rows") for name in tables],
+    )
+    held = [F.when(F.col(f"{name}_rows") > 0, F.lit(name)) for name in sorted(tables)]
+    return merged.select(
+        key,
+        *[F.col(f"_{name}.{c}").alias(f"{name}_{c}") for name, df in tables.items() for c in df.columns if c != key],
+        *[f"{name}_rows" for name in tables],
+        F.concat_ws(",", *held).alias("sources"),
     )
 
 
+def without_key(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Rows with a null or blank key, each with the table it is from, columns prefixed."""
+    out = None
+    for name, df in tables.items():
+        own = [F.col(c).alias(f"{name}_{c}") for c in df.columns if c != key]
+        part = df.where(_keyed(df, key).isNull()).select(F.lit(name).alias("source"), *own)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def snapshot_diff(
     new: DataFrame, old: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:

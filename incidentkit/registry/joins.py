@@ -126,23 +126,42 @@ def _(spark, d):
 _TAB = "SELECT 'user' || (k % 1200) || '@example.org' AS email"
 
 
+def _tabs(spark, d):
+    mail = lambda k: F.when(k % 40 == 3, F.lit(" ")).when(k % 40 != 4, F.concat(F.lit(" User"), k.cast("string"), F.lit("@Example.org")))
+    return {
+        "customer": table(spark, d, "customer").select(mail(F.col("c_custkey") % 1200).alias("email"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")),
+        "supplier": table(spark, d, "supplier").select(mail(F.col("s_suppkey") * 17 % 1500).alias("email"), F.col("s_name").alias("name")),
+        "nation": table(spark, d, "nation").select(mail(F.col("n_nationkey") * 31).alias("email"), F.col("n_name").alias("name")),
+    }
+
+
+def _mail(k):
+    return f"CASE WHEN ({k}) % 40 NOT IN (3, 4) THEN 'user' || ({k}) || '@example.org' END"
+
+
 @query(
     "c6_outer_merge",
-    """WITH c AS (SELECT 'user' || (c_custkey % 1200) || '@example.org' AS email, max(c_mktsegment) AS customer_segment, max(c_nationkey) AS customer_nation FROM customer GROUP BY 1),
-            s AS (SELECT 'user' || (s_suppkey * 17 % 1500) || '@example.org' AS email, max(s_name) AS supplier_name FROM supplier GROUP BY 1),
-            n AS (SELECT 'user' || (n_nationkey * 31) || '@example.org' AS email, max(n_name) AS nation_name FROM nation GROUP BY 1)
+    f"""WITH c AS (SELECT email, first(seg ORDER BY seg, nat) AS customer_segment, first(nat ORDER BY seg, nat) AS customer_nation, count(*) AS customer_rows
+                   FROM (SELECT {_mail('c_custkey % 1200')} AS email, c_mktsegment AS seg, c_nationkey AS nat FROM customer) WHERE email IS NOT NULL GROUP BY 1),
+            s AS (SELECT {_mail('s_suppkey * 17 % 1500')} AS email, min(s_name) AS supplier_name, count(*) AS supplier_rows FROM supplier GROUP BY 1 HAVING email IS NOT NULL),
+            n AS (SELECT {_mail('n_nationkey * 31')} AS email, min(n_name) AS nation_name, count(*) AS nation_rows FROM nation GROUP BY 1 HAVING email IS NOT NULL)
        SELECT coalesce(c.email, s.email, n.email) AS email, customer_segment, customer_nation, supplier_name, nation_name,
+              coalesce(customer_rows, 0) AS customer_rows, coalesce(supplier_rows, 0) AS supplier_rows, coalesce(nation_rows, 0) AS nation_rows,
               concat_ws(',', CASE WHEN c.email IS NOT NULL THEN 'customer' END, CASE WHEN n.email IS NOT NULL THEN 'nation' END, CASE WHEN s.email IS NOT NULL THEN 'supplier' END) AS sources
        FROM c FULL JOIN s ON s.email = c.email FULL JOIN n ON n.email = coalesce(c.email, s.email)""",
 )
 def _(spark, d):
-    mail = lambda k: F.concat(F.lit(" User"), k.cast("string"), F.lit("@Example.org"))
-    tabs = {
-        "customer": table(spark, d, "customer").select(mail(F.col("c_custkey") % 1200).alias("email"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")),
-        "supplier": table(spark, d, "supplier").select(mail(F.col("s_suppkey") * 17 % 1500).alias("email"), F.col("s_name").alias("name")),
-        "nation": table(spark, d, "nation").select(mail(F.col("n_nationkey") * 31).alias("email"), F.col("n_name").alias("name")),
-    }
-    return J.outer_merge(tabs, "email")
+    return J.outer_merge(_tabs(spark, d), "email")
+
+
+@query(
+    "c6_without_key",
+    f"""SELECT 'customer' AS source, c_mktsegment AS customer_segment, c_nationkey AS customer_nation, NULL AS supplier_name, NULL AS nation_name FROM customer WHERE {_mail('c_custkey % 1200')} IS NULL
+        UNION ALL SELECT 'supplier', NULL, NULL, s_name, NULL FROM supplier WHERE {_mail('s_suppkey * 17 % 1500')} IS NULL
+        UNION ALL SELECT 'nation', NULL, NULL, NULL, n_name FROM nation WHERE {_mail('n_nationkey * 31')} IS NULL""",
+)
+def _(spark, d):
+    return J.without_key(_tabs(spark, d), "email")
 
 
 @query(

@@ -36,12 +36,14 @@ def _(spark, d):
        FROM (SELECT CAST(ts AS DATE) AS period, count(*) FILTER (event_type = 'signup') AS opened, count(*) FILTER (event_type = 'purchase') AS closed FROM events GROUP BY 1)""",
 )
 def _(spark, d):
-    schema = table(spark, d, "events").schema
+    # Files by user, so every batch spans all days and is late for the one before it.
+    events = table(spark, d, "events")
+    inbox = scratch(spark, "events")
+    events.repartition(4, "user_id").write.parquet(inbox)
     stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events*.parquet")
-        .option("maxFilesPerTrigger", 100)
-        .parquet(d)
+        spark.readStream.schema(events.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(inbox)
         .select(
             F.col("ts").cast("timestamp").alias("ts"),
             (F.col("event_type") == "signup").alias("opened"),

@@ -167,16 +167,21 @@ def _(spark, d):
     return _forms(spark, d).select("doc_id", T.extract_cascade(F.col("request")).alias("description"))
 
 
-_TICKET = """CASE doc_id % 3 WHEN 0 THEN 'Omschrijving van de storing : ' || text || ' Inlognaam bas : a Applicatie : b'
-  WHEN 1 THEN 'Omschrijving vraag : ' || text || ' Antwoord volgt' ELSE text END"""
+# Blank captures on the first, a middle and the last pattern stand among the forms.
+_TICKET = """CASE doc_id % 6 WHEN 0 THEN 'Omschrijving van de storing : ' || text || ' Inlognaam bas : a Applicatie : b'
+  WHEN 1 THEN 'Omschrijving vraag : ' || text || ' Antwoord volgt'
+  WHEN 2 THEN text || ' Omschrijving storing:   Volledige naam: leeg'
+  WHEN 3 THEN text || ' Omschrijving van de storing :   Inlognaam bas : a'
+  WHEN 4 THEN text || ' vraag :   antwoord' ELSE text END"""
 
 
 def _cascade2_sql():
-    sql = f"SELECT doc_id, {_TICKET} AS t FROM documents"
+    sql = f"SELECT doc_id, {_TICKET} AS whole, {_TICKET} AS rest FROM documents"
     for p in T.PROBLEM_PATTERNS:
-        raw = f"regexp_extract(lower(t), '{p}', 2)"
-        sql = f"SELECT doc_id, CASE WHEN {raw} <> '' THEN {_TRIM.format(raw)} ELSE t END AS t FROM ({sql})"
-    return f"SELECT doc_id, t AS description FROM ({sql})"
+        sql = f"SELECT doc_id, whole, CASE WHEN rest <> '' THEN rest ELSE whole END AS t FROM ({sql})"
+        sql = f"SELECT doc_id, whole, t, regexp_extract(lower(t), '{p}', 2) AS raw FROM ({sql})"
+        sql = f"SELECT doc_id, whole, CASE WHEN raw <> '' THEN {_TRIM.format('raw')} ELSE t END AS rest FROM ({sql})"
+    return f"SELECT doc_id, rest AS description FROM ({sql})"
 
 
 @query("f14_extract_cascade_tickets", _cascade2_sql())

@@ -1,4 +1,5 @@
 import random
+import random
 import re
 import unicodedata
 
@@ -35,11 +36,22 @@ def test_template_pattern(spark):
 
 
 def python_cascade(text, patterns, group):
+    rest = text
     for p in patterns:
-        m = re.search(p, text.lower())
-        if m and (group == 1 or m.group(group)):
-            text = m.group(group).strip()
-    return text
+        now = rest if rest or group == 1 else text
+        m = re.search(p, now.lower())
+        rest = m.group(group).strip() if m and (group == 1 or m.group(group)) else now
+    return rest
+
+
+def test_anchored_patterns_match_alike():
+    rng = random.Random(6)
+    words = ["omschrijving", " storing", ":", " volledige", " naam", "\n", "x", " vraag", " antwoord", " probleem", "telefoonnummer", " inlognaam", "mailt", " e-mail"]
+    for _ in range(3000):
+        text = "".join(rng.choices(words, k=rng.randint(0, 12)))
+        for p in (*T.REQUEST_PATTERNS, *T.PROBLEM_PATTERNS):
+            old, new = re.search(p, text), re.search(T.anchored(p), text)
+            assert (old and (old.span(), old.groups())) == (new and (new.span(), new.groups()))
 
 
 def test_cascade_equals_python(spark):
@@ -52,6 +64,9 @@ def test_cascade_equals_python(spark):
         "Omschrijving probleem : geen geluid Inlognaam bas : x Volledige naam : y",
         "Omschrijving vraag : hoe laat Antwoord",
         "vraag eerst: wat antwoord nu",
+        "Omschrijving probleem :   Inlognaam bas : x omschrijving vraag : nog iets antwoord",
+        "vraag :   antwoord",
+        "Omschrijving van de storing :   Inlognaam bas : a vraag : b antwoord",
     ]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for patterns, group in ((T.REQUEST_PATTERNS, 1), (T.PROBLEM_PATTERNS, 2)):
