@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from incidentkit.functions import dates
+from incidentkit.operators.beside import beside
 from incidentkit.operators.ranking import exact_quantiles
 from incidentkit.operators.rows import unfold
 
@@ -74,9 +75,11 @@ def crosstab_counts(
     """Rows per pair of values, long or with one column per value of ``b``."""
     if not pivot:
         return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    if values is None:
+        raise ValueError("name the values that become columns, or stay long")
     # Two steps: the pivot then only sees one row per pair.
     pairs = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy(a).pivot(b, list(values) if values else None).agg(F.sum("n")).na.fill(0)
+    return pairs.groupBy(a).pivot(b, list(values)).agg(F.sum("n")).na.fill(0)
 
 
 def keep_repeated(
@@ -85,7 +88,7 @@ def keep_repeated(
     """All rows of the keys that have at least ``min_count`` rows meeting ``counted``."""
     pool = df if counted is None else df.where(counted)
     frequent = pool.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
-    return df.join(frequent.select(key), key, "left_semi")
+    return beside(df, frequent.select(key), [key], "left_semi")
 
 
 def best_per_group(df: DataFrame, key: str, score: str, tie: Sequence[str]) -> DataFrame:
@@ -111,7 +114,9 @@ def year_matrix(
     cells = df.groupBy(F.year(ts).alias("year"), F.month(ts).alias("month")).agg(F.sum(y).alias("y"))
     if transpose:
         return cells.groupBy("year").pivot("month", list(range(1, 13))).agg(F.sum("y"))
-    return cells.groupBy("month").pivot("year", list(years) if years else None).agg(F.sum("y"))
+    if years is None:
+        raise ValueError("name the years that become columns")
+    return cells.groupBy("month").pivot("year", list(years)).agg(F.sum("y"))
 
 
 def box_stats(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
@@ -126,8 +131,7 @@ def box_stats(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
     v = F.col(y)
     inside = v.between(F.col("_low"), F.col("_high"))
     return (
-        df.where(v.isNotNull())
-        .join(limits, by)
+        beside(df.where(v.isNotNull()), limits, by)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -146,7 +150,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) ->
     span = filled.groupBy(*by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     counts = filled.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     if by:
-        placed = counts.join(span, by)
+        placed = beside(counts, span, by)
     else:
         placed = counts.withColumn("_s", span.select(F.struct("lo", "hi")).scalar()).select(
             "_v", "_n", "_s.lo", "_s.hi"
@@ -179,7 +183,7 @@ def kde(df: DataFrame, column: str, points: int = 50, by: Sequence[str] = ()) ->
     )
     counts = filled.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
     if by:
-        placed = counts.join(shape, by)
+        placed = beside(counts, shape, by)
     else:
         placed = counts.withColumn(
             "_s", shape.select(F.struct("n", "lo", "hi", "h")).scalar()

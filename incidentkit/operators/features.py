@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from incidentkit.functions import text as T
+from incidentkit.operators.beside import beside
 from incidentkit.operators.ranking import global_rank
 from incidentkit.operators.rows import unfold
 from incidentkit.session import checkpoint
@@ -55,7 +56,7 @@ def tfidf(
         kept = unfold(df, tokens, "term", doc).join(idf, "term")
         weighed = kept.groupBy(doc, "term", "idf").agg(F.count(F.lit(1)).alias("n"))
     else:
-        weighed = counts.join(idf, "term")
+        weighed = beside(counts, idf, ["term"])
     raw = weighed.select(doc, "term", (tf * F.col("idf")).alias("w"))
     # The distinct terms of one document: bounded by its length.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
@@ -172,7 +173,7 @@ def mean_embedding(
         ).select("word", F.transform("vector", lambda x: x * F.col("weight")).alias("vector"))
     counts = term_counts(df, doc, tokens).withColumnRenamed("term", "word")
     means = (
-        counts.join(scaled, "word")
+        beside(counts, scaled, ["word"])
         .groupBy(doc)
         .agg(
             vector_to_array(

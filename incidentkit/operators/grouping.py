@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from incidentkit.operators.beside import beside
 from incidentkit.operators.aggregates import best_per_group, keep_repeated
 from incidentkit.operators.joins import map_or_keep
 from incidentkit.operators.similarity import cosine_self_join
@@ -18,14 +19,14 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row.n, int(row.s)
 
 
-def connected_groups(pairs: DataFrame, a: str = "id1", b: str = "id2", max_rounds: int = 60) -> DataFrame:
+def connected_groups(pairs: DataFrame, a: str = "id1", b: str = "id2") -> DataFrame:
     """(name, group) for every name in a pair; the group is its smallest member.
 
     Alternates large-star and small-star steps, which turn every component into
     a star in about log(n) rounds whatever its shape. Per round a node only
-    needs the minimum of its neighbours, which is combined before the shuffle,
-    so a node with very many neighbours is no single task. Each round is cut
-    with a reliable checkpoint.
+    needs the minimum of its neighbours, which is combined before the shuffle
+    and brought back to its rows by :func:`beside`, so a node with very many
+    neighbours is no single task. Each round is cut with a reliable checkpoint.
     """
     edges = (
         pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -34,17 +35,16 @@ def connected_groups(pairs: DataFrame, a: str = "id1", b: str = "id2", max_round
     )
     edges = checkpoint(edges)
     mark = _mark(edges)
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = (
-            both.where(F.col("v") > F.col("u"))
-            .join(lowest, "u")
+            beside(both.where(F.col("v") > F.col("u")), lowest, ["u"])
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(
+        small = beside(large, lowest, ["u"]).select(
             F.inline(
                 F.array(
                     F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
@@ -57,8 +57,6 @@ def connected_groups(pairs: DataFrame, a: str = "id1", b: str = "id2", max_round
         if new_mark == mark:
             break
         mark = new_mark
-    else:
-        raise RuntimeError(f"no stable groups after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("name"), F.col("v").alias("group")).distinct()
     return edges.select(F.col("u").alias("name"), F.col("v").alias("group")).unionByName(roots)
 

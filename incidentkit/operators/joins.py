@@ -1,7 +1,8 @@
 """Joins between tickets, templates, catalogues and snapshots.
 
-No join carries a broadcast hint. Adaptive execution broadcasts a side once its
-measured size allows it and splits hot keys of a sort-merge join otherwise.
+Adaptive execution broadcasts a side once its measured size allows it, and splits
+a hot key where both sides are plain shuffles; where one side is aggregated on the
+join key, :func:`incidentkit.operators.beside.beside` does it instead.
 """
 
 from __future__ import annotations

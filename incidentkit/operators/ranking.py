@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from incidentkit.operators.beside import beside
 from incidentkit.session import checkpoint
 
 
@@ -116,5 +117,5 @@ def exact_quantiles(
 def _attach(df: DataFrame, one_per_group: DataFrame, group: Sequence[str], column: str) -> DataFrame:
     """Bring a per-group value next to the rows; without groups, as a scalar subquery."""
     if group:
-        return df.join(one_per_group, list(group))
+        return beside(df, one_per_group, group)
     return df.withColumn(column, one_per_group.scalar())

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from incidentkit.functions import dates
-from incidentkit.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,7 +105,7 @@ MONTHLY = f"""
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
+    return table(spark, folder, "documents").select("doc_id", *columns)
 
 
 def words(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where neither that
-    setting nor a folder on the context exists (local tests) one is made.
+    A local session without that setting, as in tests, gets a folder of its own
+    machine; a cluster must name one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -29,6 +38,7 @@ def local_session(cores: int | str = "*", name: str = "incidentkit") -> SparkSes
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "16m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -38,20 +48,6 @@ def local_session(cores: int | str = "*", name: str = "incidentkit") -> SparkSes
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a small table over all cores before heavy work per row.
-
-    A scan cuts a file into byte ranges, but only ranges that hold the start of
-    a row group carry rows, so a few ranges per core may still mean one busy
-    task. An input of many pieces, as any large table is, stays where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > 4 * cores else df.repartition(cores, key)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """New folder name for a stage table, below ``spark.checkpoint.dir`` where that is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp") + f"/{name}"
+    """New folder name for a stage table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
