@@ -181,6 +181,8 @@ class Labeller:
                 self.place.update(zip(some, range(start, start + len(some)), strict=True))
 
     def documents(self, rows: list[bytes | None]) -> list[tuple[str, float]]:
+        if not self.network.languages:
+            return [("und", 0.0)] * len(rows)
         cut = [segments(t) if t and has_letter(t) else [] for t in rows]
         if len(self.place) > KEPT:
             self.place.clear()
@@ -190,7 +192,7 @@ class Labeller:
         self.learn(new.difference(self.place))
         out = []
         for words in cut:
-            if not words or not self.network.languages:
+            if not words:
                 out.append(("und", 0.0))
                 continue
             total = self.sums[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
