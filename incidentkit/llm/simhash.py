@@ -3,7 +3,7 @@
 A fingerprint is cut into three segments. Two fingerprints that differ in at
 most four bits differ in at most one bit of some segment, so they share the
 variant of that segment in which the differing bit is a wildcard. Variants
-are joined by equality and every hit is verified.
+meet by equality and every hit is verified.
 
 Cases: a null or empty text has fingerprint zero and links like any other. A
 null id takes part, but never names a component; a component of such rows
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,8 +26,9 @@ WORDS_PER_SHINGLE = 4
 MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 TAG_SHIFT = 22  # a segment's value lies below, the number of the wildcard bit above
-SMALL_BUCKET = 128  # members of a bucket that are paired by a plain join
+SMALL_BUCKET = 64  # members of a bucket that are compared where they are sorted
 BLOCK = 2048  # members of a larger bucket that are compared at once
+BROADCAST_KEYS = 50_000  # keys of large buckets that are sent to every executor at most
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -58,37 +61,32 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) per node that has an edge.
 
     Every round maps a node to its first neighbour in an order that is drawn
-    anew, which removes a constant share of the nodes of any graph, also of a
-    chain; edges inside a merged node vanish. It ends when no edge is left.
+    anew, and on to that one's first neighbour, which removes a constant share
+    of the nodes of any graph, also of a chain; edges inside a merged node
+    vanish. It ends when no edge is left; the rounds' maps are then chained.
     """
     left = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots, turn = None, 0
-    while not left.isEmpty():
-        turn += 1
+    steps: list[DataFrame] = []
+    while left.count():
+        turn = F.lit(len(steps))
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        best = ends.groupBy("node").agg(F.min(rank("other")).alias("m"))
-        step = checkpoint(best.select("node", F.least(rank("node"), "m")["id"].alias("root")))
-        if roots is None:
-            roots = step
-        else:
-            moved = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            roots = checkpoint(roots.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        rank = lambda c: F.struct(F.xxhash64(turn, F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        best = ends.groupBy("node").agg(F.min(rank("other")).alias("m")).select("node", F.least(rank("node"), "m")["id"].alias("root"))
+        onward = best.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        # Cut here: the joins below then see plain inputs, which can be split where a node has very many edges.
+        step = checkpoint(best.join(onward, "root").select("node", F.col("next").alias("root")))
+        steps.append(step)
         a = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         merged = left.join(a, "a").join(b, "b").where("ra <> rb")
         left = checkpoint(merged.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0) if roots is None else roots
-
-
-def _certain(points: DataFrame) -> DataFrame:
-    """Edges that need no check: fingerprints equal outside four neighbouring bits.
-
-    Such a group has at most sixteen members.
-    """
-    keys = points.select("fp", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(~(15 << 4 * j) if j < 15 else (1 << 60) - 1)).alias("rest")) for j in range(16)))).alias("k"))
-    groups = keys.groupBy("k").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    roots = steps[0]
+    for step in steps[1:]:
+        moved = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        roots = roots.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return checkpoint(roots)
 
 
 def _variants(points: DataFrame) -> DataFrame:
@@ -98,17 +96,63 @@ def _variants(points: DataFrame) -> DataFrame:
         part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
         for bit in range(width):
             keys.append(part.bitwiseAND(F.lit(~(1 << bit) & ((1 << width) - 1))).bitwiseOR(F.lit((low + bit) << TAG_SHIFT)))
-    return points.select("fp", "comp", F.explode(F.array(*keys)).alias("key"))
+    return points.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def _link_block(pdf):
-    """Spanning links between the components that meet in one pair of blocks."""
-    import pandas as pd
-
+def _first_shared(key: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    """Is this the first of the keys that two fingerprints share? So a pair is named once."""
+    tag = key >> TAG_SHIFT
+    first = np.zeros(len(key), bool)
+    before = np.ones(len(key), bool)
+    for low, width in SEGMENTS:
+        own = differing & np.uint64(((1 << width) - 1) << low)
+        near = np.bitwise_count(own) <= 1
+        place = np.where(own == 0, low, np.bitwise_count(own - np.uint64(1)).astype(np.int64))
+        first |= before & near & (tag == place)
+        before &= ~near
+    return first
+
+
+def _pairs_in_runs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket at most MAX_BITS apart; rows are sorted by key."""
+    left, right = [fp[:0]], [fp[:0]]
+    gap = 1
+    while gap < len(key):
+        at = np.flatnonzero(key[gap:] == key[:-gap])
+        if not len(at):
+            break
+        differing = fp[at] ^ fp[at + gap]
+        keep = np.bitwise_count(differing) <= MAX_BITS
+        at, differing = at[keep], differing[keep]
+        at = at[_first_shared(key[at], differing)]
+        left.append(fp[at])
+        right.append(fp[at + gap])
+        gap += 1
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _link_runs(batches):
+    """Links of all buckets of a sorted partition; the last bucket of a batch waits for the next batch."""
+    key, fp = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+
+    def linked(n):
+        a, b = _pairs_in_runs(key[:n], fp[:n])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    for batch in batches:
+        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+        fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        if len(key):
+            n = int(np.searchsorted(key, key[-1]))
+            yield linked(n)
+            key, fp = key[n:], fp[n:]
+    yield linked(len(key))
+
+
+def _link_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links within one pair of blocks of a large bucket."""
     fp = pdf["fp"].to_numpy().view(np.uint64)
-    code, names = pd.factorize(pdf["comp"])
-    names = np.asarray(names)
-    parent = list(range(len(names)))
+    parent = list(range(len(fp)))
 
     def find(x):
         while parent[x] != x:
@@ -117,51 +161,44 @@ def _link_block(pdf):
         return x
 
     out = []
-    for at in range(0, len(fp) if len(names) > 1 else 0, 256):
-        near = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :]) <= MAX_BITS
-        i, j = np.nonzero(near & (code[at : at + 256, None] < code[None, :]))
-        for pair in np.unique(code[at + i].astype(np.int64) * len(names) + code[j]).tolist():
-            a, b = find(pair // len(names)), find(pair % len(names))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((names[pair // len(names)], names[pair % len(names)]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    for at in range(0, len(fp), 256):
+        i, j = np.nonzero(np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :]) <= MAX_BITS)
+        for x, y in zip((i + at).tolist(), j.tolist(), strict=True):
+            if x < y and (a := find(x)) != (b := find(y)):
+                parent[b] = a
+                out.append((x, y))
+    held = fp.view(np.int64)
+    return pd.DataFrame({"a": held[[x for x, _ in out]], "b": held[[y for _, y in out]]})
 
 
 def _links(points: DataFrame) -> DataFrame:
-    """Links (a, b) between components with fingerprints at most MAX_BITS apart.
+    """Links (a, b) between fingerprints at most MAX_BITS apart, enough of them to join their components.
 
-    Only buckets in which several components meet are looked at. Small ones
-    are joined with themselves; large ones are cut into blocks, and a pair of
-    blocks yields a spanning forest instead of all its pairs. Both ways find
-    the same components.
+    Buckets of up to SMALL_BUCKET members are sorted next to each other and
+    compared where they land, and each pair is named under its first key.
+    Larger buckets are cut into blocks; a pair of blocks is one group of
+    bounded size and yields a spanning forest instead of all its pairs. Both
+    ways find the same components.
     """
     variants = _variants(points)
-    buckets = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    # Cut here: the join then sees two plain inputs, which can be split where a bucket is large.
-    met = checkpoint(variants.join(checkpoint(buckets.where("low <> high").select("key", "n")), "key"))
-    small = met.where(F.col("n") <= SMALL_BUCKET)
-    x, y = small.alias("x"), small.alias("y")
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_BITS
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near)
+    large = checkpoint(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_BUCKET))
+    held = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    rest = variants.join(held, "key", "left_anti").select("key", "fp")
+    links = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_link_runs, "a long, b long")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = met.where(F.col("n") > SMALL_BUCKET).withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-    large = large.select("key", "fp", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    large = large.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return pairs.select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).union(large.applyInPandas(_link_block, "a long, b long")).distinct()
-
-
-def _rooted(points: DataFrame, column: str, roots: DataFrame) -> DataFrame:
-    moved = roots.select(F.col("node").alias(column), F.col("root").alias("next"))
-    return points.join(moved, column, "left").withColumn("comp", F.coalesce("next", column)).drop("next")
+    hot = variants.join(held, "key").withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    hot = hot.select("key", "fp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    hot = hot.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return links.union(hot.applyInPandas(_link_block, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id, the smallest id of the row's component."""
     rows = checkpoint(fingerprints(docs))
     points = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    points = checkpoint(_rooted(points, "fp", components(_certain(points))))
-    points = _rooted(points, "comp", components(_links(points)))
+    roots = components(_links(points))
+    points = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("comp", F.coalesce("root", "fp"))
+    # Cut on both sides of the group: a component of very many fingerprints, or a fingerprint of very many rows, can then be split.
     points = checkpoint(points)
     names = checkpoint(points.groupBy("comp").agg(F.min("first").alias("component_id")))
     named = checkpoint(points.join(names, "comp").select("fp", "component_id"))
