@@ -133,21 +133,25 @@ def _word_array(words: Sequence[str]) -> Column:
 
 def remove_stopwords(tokens: Column, words: Sequence[str] | Column, min_len: int = 3) -> Column:
     """Drop stop words and words shorter than ``min_len``."""
-    stop = words if isinstance(words, Column) else _word_array(words)
-    return F.filter(tokens, lambda t: (F.length(t) >= min_len) & ~F.array_contains(stop, t))
+    if isinstance(words, Column):
+        listed = lambda t: F.array_contains(words, t)
+    else:
+        listed = lambda t: t.isin(*words) if words else F.lit(False)
+    return F.filter(tokens, lambda t: (F.length(t) >= min_len) & ~listed(t))
 
 
 def replace_words(
     tokens: Column, replacements: Mapping[str, str], stopwords: Sequence[str] = ()
 ) -> Column:
     """A mapped word is followed in by its replacement and stays itself unless a stop word."""
-    stop = _word_array(stopwords)
     lowered = F.transform(tokens, lambda t: F.lower(t))
-    kept = lambda t: F.when(~F.array_contains(stop, t), t)
+    kept = lambda t: F.when(~t.isin(*stopwords), t) if stopwords else t
     if not replacements:
         return F.array_compact(F.transform(lowered, kept))
     table = F.create_map(*[F.lit(x) for pair in replacements.items() for x in pair])
-    return F.array_compact(F.flatten(F.transform(lowered, lambda t: F.array(table[t], kept(t)))))
+    # A hashed test of all words, and a scan of the map for the few that it holds.
+    mapped = lambda t: F.when(t.isin(*replacements), table[t])
+    return F.array_compact(F.flatten(F.transform(lowered, lambda t: F.array(mapped(t), kept(t)))))
 
 
 def normalize(

@@ -106,6 +106,10 @@ def assign_cluster(df: DataFrame, model: Transformer) -> DataFrame:
 # --- supervised -------------------------------------------------------------
 
 
+#: Classes of a one-against-the-rest model that are fitted at the same time.
+CLASSES_AT_ONCE = 4
+
+
 def naive_bayes(features: str = "features", label: str = "label") -> NaiveBayes:
     return NaiveBayes(modelType="multinomial", featuresCol=features, labelCol=label)
 
@@ -118,7 +122,7 @@ def logistic(features: str = "features", label: str = "label", max_iter: int = 4
 def linear_svm(features: str = "features", label: str = "label", max_iter: int = 100, reg: float = 0.0) -> OneVsRest:
     """Linear margin per class against the rest; no kernel."""
     inner = LinearSVC(maxIter=max_iter, regParam=reg, featuresCol=features, labelCol=label)
-    return OneVsRest(classifier=inner, featuresCol=features, labelCol=label)
+    return OneVsRest(classifier=inner, featuresCol=features, labelCol=label, parallelism=CLASSES_AT_ONCE)
 
 
 def random_forest(features: str = "features", label: str = "label", trees: int = 100, depth: int = 5, seed: int = 1) -> RandomForestClassifier:
@@ -132,7 +136,7 @@ def extra_trees(features: str = "features", label: str = "label", trees: int = 2
 
 def boosted_trees(features: str = "features", label: str = "label", max_iter: int = 20, depth: int = 5, seed: int = 1) -> OneVsRest:
     inner = GBTClassifier(maxIter=max_iter, maxDepth=depth, seed=seed, featuresCol=features, labelCol=label)
-    return OneVsRest(classifier=inner, featuresCol=features, labelCol=label)
+    return OneVsRest(classifier=inner, featuresCol=features, labelCol=label, parallelism=CLASSES_AT_ONCE)
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

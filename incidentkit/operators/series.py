@@ -7,7 +7,6 @@ Series tables hold one row per series and period, see
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -148,6 +147,37 @@ CRITICAL = {
 }
 
 
+# MacKinnon (1994) approximation of the p value for one variable. The normal quantile is a polynomial
+# of the statistic, with one set of coefficients up to "turn" and another beyond; outside low..high it is 0 or 1.
+P_SURFACE = {
+    "n": {"low": -19.04, "turn": -1.04, "high": float("inf"), "left": (0.6344, 1.2378, 0.032496), "right": (0.4797, 0.93557, -0.06999, 0.033066)},
+    "c": {"low": -18.83, "turn": -1.61, "high": 2.74, "left": (2.1659, 1.4412, 0.038269), "right": (1.7339, 0.93202, -0.12745, -0.010368)},
+    "ct": {"low": -16.18, "turn": -2.89, "high": 0.7, "left": (3.2512, 1.6047, 0.049588), "right": (2.5261, 0.61654, -0.37956, -0.060285)},
+}
+
+
+def _normal_share(z: Column) -> Column:
+    """Share of a standard normal below z, to seven places (published rational approximation)."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    tail = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-z * z / 2) / 2.5066282746310002 * tail
+    return F.when(z >= 0, 1 - upper).otherwise(upper)
+
+
+def p_value(stat: Column, trend: str = "c") -> Column:
+    """Approximate p value of a unit-root statistic."""
+    s = P_SURFACE[trend]
+
+    def polynomial(c: Sequence[float]) -> Column:
+        out = F.lit(0.0)
+        for x in reversed(c):
+            out = out * stat + x
+        return out
+
+    z = F.when(stat <= s["turn"], polynomial(s["left"])).otherwise(polynomial(s["right"]))
+    return F.when(stat > s["high"], 1.0).when(stat < s["low"], 0.0).when(stat.isNotNull(), _normal_share(z))
+
+
 def adf_test(
     df: DataFrame,
     max_lag: int | None = None,
@@ -156,21 +186,29 @@ def adf_test(
     keys: Sequence[str] = KEYS,
     ts: str = "ts",
     y: str = "y",
-    length: int = 72,
+    most: float = 0.05,
 ) -> DataFrame:
-    """Augmented Dickey-Fuller test: (keys, stat, used_lag, nobs, crit_1, crit_5, crit_10, stationary).
+    """Augmented Dickey-Fuller test: (keys, stat, used_lag, nobs, crit_1, crit_5, crit_10, p_value, stationary).
 
     ``choose='fixed'`` uses ``max_lag`` itself; ``'aic'`` picks the best lag up
     to it on a common sample and then fits that lag on all its rows. Without
-    ``max_lag`` it is 12 * (length / 100)^(1/4), rounded up.
+    ``max_lag`` every series has its own bound, 12 * (rows / 100)^(1/4) rounded
+    up, and at most rows / 2 less the deterministic terms and one. A series is
+    stationary up to a p value of ``most``.
     """
     if trend not in CRITICAL:
         raise ValueError(trend)
+    terms = {"n": 0, "c": 1, "ct": 2}[trend]
+    # Read for the bound, the choice and again for the fit.
+    df = checkpoint(df.select(*keys, ts, y)) if choose == "aic" or max_lag is None else df
     if max_lag is None:
-        max_lag = ceil(12 * (length / 100) ** 0.25)
-    if choose == "aic":
-        # Read for the choice and again for the fit.
-        df = checkpoint(df.select(*keys, ts, y))
+        rule = F.least(F.ceil(12 * F.pow(F.col("_rows") / 100, 0.25)), F.floor(F.col("_rows") / 2) - terms - 1)
+        bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).select(*keys, F.greatest(rule, F.lit(0)).cast("int").alias("_bound"))
+        bounds = checkpoint(bounds)
+        max_lag = bounds.agg(F.max("_bound")).first()[0] or 0
+        df = df.join(bounds, list(keys))
+    else:
+        df = df.withColumn("_bound", F.lit(max_lag))
     w = along(keys, ts)
     diffs = df.withColumns(
         {
@@ -196,22 +234,23 @@ def adf_test(
         return list(range(1, 1 + fixed + lag))
 
     @F.pandas_udf("int")
-    def best_lag(grams: pd.Series) -> pd.Series:
+    def best_lag(grams: pd.Series, bound: pd.Series) -> pd.Series:
         g = ls.square(grams, size)
         n = g[:, -1, -1]
         aic = []
         for lag in range(max_lag + 1):
             _, rss, _ = ls.solve(g, 0, used(lag))
             score = n * np.log(np.maximum(rss, 1e-300) / n) + 2 * (fixed + lag)
-            aic.append(np.where(np.isfinite(score) & (n > fixed + lag + 1), score, np.inf))
+            aic.append(np.where(np.isfinite(score) & (n > fixed + lag + 1) & (lag <= bound.to_numpy()), score, np.inf))
         return pd.Series(np.argmin(np.stack(aic), axis=0).astype("int32"))
 
     if choose == "aic":
-        common = ls.product_sums(design.where(F.col("_rank") > max_lag + 1), keys, columns)
-        chosen = common.select(*keys, best_lag("gram").alias("used_lag"))
+        whole = design.where(F.col("_rank") > F.col("_bound") + 1).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in lags})
+        common = ls.product_sums(whole, [*keys, "_bound"], columns)
+        chosen = common.select(*keys, best_lag("gram", "_bound").alias("used_lag"))
         sample = design.join(chosen, list(keys))
     else:
-        sample = design.withColumn("used_lag", F.lit(max_lag))
+        sample = design.withColumn("used_lag", F.col("_bound"))
     # Lags beyond the chosen one are not used; zero keeps their rows in the sums.
     sample = sample.where(F.col("_rank") > F.col("used_lag") + 1).withColumns(
         {c: F.coalesce(c, F.lit(0.0)) for c in lags}
@@ -240,7 +279,8 @@ def adf_test(
     tested = grams.select(
         *keys, F.nanvl(statistic("gram", "used_lag"), F.lit(None)).alias("stat"), "used_lag", nobs.cast("bigint").alias("nobs")
     ).withColumns({name: surface(b) for name, b in CRITICAL[trend].items()})
-    return tested.withColumn("stationary", F.coalesce(F.col("stat") < F.col("crit_5"), F.lit(False)))
+    tested = tested.withColumn("p_value", p_value(F.col("stat"), trend))
+    return tested.withColumn("stationary", F.coalesce(F.col("p_value") <= most, F.lit(False)))
 
 
 def difference_order(
@@ -268,11 +308,11 @@ def difference_order(
 
 
 def level_or_seasonal(
-    df: DataFrame, season: int = 12, level: str = "crit_5", keys: Sequence[str] = KEYS, ts: str = "ts", y: str = "y"
+    df: DataFrame, season: int = 12, most: float = 0.01, keys: Sequence[str] = KEYS, ts: str = "ts", y: str = "y"
 ) -> DataFrame:
-    """The series as it is where its level is stationary, else its seasonal difference; ``lag`` says which."""
-    tested = adf_test(df, None, "c", "aic", keys, ts, y)
-    choice = tested.select(*keys, F.coalesce(F.col("stat") < F.col(level), F.lit(False)).alias("_keep"))
+    """The series as it is where the test's p value is at most ``most``, else its seasonal difference; ``lag`` says which."""
+    tested = adf_test(df, None, "c", "aic", keys, ts, y, most)
+    choice = tested.select(*keys, F.col("stationary").alias("_keep"))
     w = along(keys, ts)
     both = df.withColumn("_diff", F.col(y) - F.lag(y, season).over(w)).join(choice, list(keys))
     return both.select(

@@ -146,10 +146,13 @@ def running_total(df: DataFrame, by: Sequence[str], order: str, measure: str) ->
 
 
 def rank_by_length(df: DataFrame, column: str, tie: str, lines: bool = False) -> DataFrame:
-    """Number rows from longest to shortest text, or from most to fewest lines."""
+    """(tie, size, rank): rows numbered from longest to shortest text, or from most to fewest lines.
+
+    Only keys and sizes are ranked; join the texts by key where they are wanted.
+    """
     ended = F.regexp_replace(column, r"(\r\n|\n|\r)\z", "")
     size = F.size(F.split(ended, r"\r\n|\n|\r")) if lines else F.length(column)
-    return global_rank(df.withColumn("size", size), F.col("size").desc(), F.col(tie))
+    return global_rank(df.select(tie, size.alias("size")), F.col("size").desc(), F.col(tie))
 
 
 def actual_vs_forecast(

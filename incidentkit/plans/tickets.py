@@ -81,13 +81,14 @@ def link_candidates(
     linked = with_vectors.where(F.col("problem_id").isNotNull()).withColumnRenamed("incident_id", "linked_id")
 
     known = embedded(problems, "problem_id")
-    first = (
+    first = checkpoint(
         score_pairs(known, free, "problem_id", "incident_id", threshold=threshold, first="row_no")
         .join(problems.select("problem_id", "row_no"), "problem_id")
         .select("problem_id", F.col("problem_id").alias("level2"), "incident_id", "score_short", "score_request", "row_no", F.lit(1).alias("phase"))
     )
+    open_tickets = checkpoint(free.join(first.select("incident_id").distinct(), "incident_id", "left_anti"))
     second = (
-        score_pairs(linked, free, "linked_id", "incident_id", threshold=threshold, first="row_no")
+        score_pairs(linked, open_tickets, "linked_id", "incident_id", threshold=threshold, first="row_no")
         .join(linked.select("linked_id", "problem_id", "row_no"), "linked_id")
         .select("problem_id", F.col("linked_id").alias("level2"), "incident_id", "score_short", "score_request", "row_no", F.lit(2).alias("phase"))
     )

@@ -158,12 +158,12 @@ def _(spark, d):
 
 @query(
     "d13_resample_day",
-    """WITH f AS (SELECT event_type, CAST(ts AS DATE) AS ts, round(avg(value), 8) AS y FROM events WHERE user_id < 20 GROUP BY 1, 2),
+    """WITH f AS (SELECT event_type, CAST(ts AS DATE) AS ts, round(avg(value), 8) AS y FROM events GROUP BY 1, 2),
        s AS (SELECT event_type, CAST(unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS DATE) AS ts FROM f GROUP BY 1)
        SELECT s.event_type, s.ts, CAST(y AS DOUBLE) AS y FROM s LEFT JOIN f ON f.event_type = s.event_type AND f.ts = s.ts""",
 )
 def _(spark, d):
-    events = table(spark, d, "events").where("user_id < 20")
+    events = table(spark, d, "events")
     return rounded(A.resample(events, "ts", "value", "day", "avg", ["event_type"]), "y", digits=8)
 
 

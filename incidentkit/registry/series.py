@@ -79,7 +79,7 @@ def _(spark, d):
 
 @query("i6_difference_order")
 def _(spark, d):
-    return S.difference_order(monthly(spark, d), adf_lag=6)
+    return S.difference_order(monthly(spark, d))
 
 
 @query("i6_level_or_seasonal")

@@ -100,7 +100,7 @@ def _(spark, d):
     "SELECT doc_id, CAST(length(text) AS INTEGER) AS size, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS rank FROM documents",
 )
 def _(spark, d):
-    return W.rank_by_length(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").drop("text")
+    return W.rank_by_length(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
 @query(
@@ -109,7 +109,7 @@ def _(spark, d):
         (SELECT doc_id, CAST(len(regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r')) AS INTEGER) AS size FROM documents)""",
 )
 def _(spark, d):
-    return W.rank_by_length(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", lines=True).drop("text")
+    return W.rank_by_length(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", lines=True)
 
 
 @query(

@@ -144,3 +144,24 @@ def test_monthly_forecast(made):
     assert out.count() == 48
     scores = {(r.series_id, r.order): r.rmse for r in forecast_scores(out).collect()}
     assert scores["season", "(1,0,0)(0,1,0,12)"] < scores["season", "(0,1,1)"]
+
+
+def test_lag_bound_follows_each_series(spark):
+    rng = np.random.default_rng(12)
+    rows = [(name, dt.date(1900, 1, 1) + dt.timedelta(days=i), float(v)) for name, n in (("short", 40), ("long", 1000)) for i, v in enumerate(rng.normal(size=n).cumsum())]
+    df = spark.createDataFrame(rows, "series_id string, ts date, y double")
+    got = {r.series_id: r for r in S.adf_test(df).collect()}
+    assert got["long"].used_lag <= 22 and got["short"].used_lag <= 10
+    # The fit of the chosen lag uses all rows that it leaves.
+    assert all(got[k].nobs == n - 1 - got[k].used_lag for k, n in (("short", 40), ("long", 1000)))
+    alone = S.adf_test(df.where("series_id = 'short'")).first()
+    assert alone.used_lag == got["short"].used_lag and abs(alone.stat - got["short"].stat) < 1e-9
+
+
+def test_p_values_match_the_critical_values(spark):
+    for trend, points in S.CRITICAL.items():
+        for name, share in (("crit_1", 0.01), ("crit_5", 0.05), ("crit_10", 0.10)):
+            p = spark.range(1).select(S.p_value(F.lit(points[name][0]), trend)).first()[0]
+            assert abs(p - share) < 0.002
+    ends = spark.range(1).select(S.p_value(F.lit(-30.0)), S.p_value(F.lit(5.0)), S.p_value(F.lit(None).cast("double")))
+    assert tuple(ends.first()) == (0.0, 1.0, None)
