@@ -154,7 +154,7 @@ def _forecaster(size: int, choices: Sequence[Sequence[int]]):
             beta, _, _ = ls.solve(g, 0, used)
             yhat = np.einsum("ni,ni->n", beta, regressors[:, [u - 1 for u in used]])
             enough = g[:, 1, 1] >= ROWS_PER_COEFFICIENT * max(1, len(used))
-            out.append(np.where(enough, yhat, np.nan))
+            out.append(np.where(enough, yhat, -np.inf))
         return pd.Series(list(np.stack(out, axis=1)))
 
     return forecasts
@@ -170,7 +170,7 @@ def _aic_scorer(size: int, choices: Sequence[Sequence[int]]):
             _, rss, _ = ls.solve(g, 0, used)
             with np.errstate(all="ignore"):
                 score = n * np.log(np.maximum(rss, 1e-300) / n) + 2 * len(used)
-            out.append(np.where(n >= ROWS_PER_COEFFICIENT * max(1, len(used)), score, np.nan))
+            out.append(np.where(n >= ROWS_PER_COEFFICIENT * max(1, len(used)), score, -np.inf))
         return pd.Series(list(np.stack(out, axis=1)))
 
     return aic
@@ -181,15 +181,15 @@ def walk_forward_orders(
 ) -> DataFrame:
     """One-step forecasts of the last n periods by every order, refitted at every origin.
 
-    (keys, ts, order, y, yhat). Orders with the same differencing share one
-    table of running sums; an order that leaves fewer than three rows per
-    coefficient, or a singular system, has no rows.
+    (keys, ts, order, y, yhat, status), one row per period and order. Orders
+    with the same differencing share one table of running sums. ``status`` is
+    ``ok``, ``short`` where fewer than three rows per coefficient are left, or
+    ``singular``; without ``ok`` the forecast is null.
     """
     parts = []
     groups = sorted({(o.d, o.D, o.s) for o in orders})
-    if len(groups) > 1:
-        # Every differencing reads the series; what lies behind it runs once.
-        df = checkpoint(df.select(*keys, ts, y))
+    # Every differencing reads the series; what lies behind it runs once.
+    df = checkpoint(df.select(*keys, ts, y))
     for d, D, s in groups:
         group = [o for o in orders if (o.d, o.D, o.s) == (d, D, s)]
         ar = sorted({k for o in group for k in o.ar})
@@ -205,21 +205,27 @@ def walk_forward_orders(
         names = F.array(*[F.lit(o.name) for o in group])
         part = (
             origins.join(grams, [*keys, ts])
-            .select(*keys, ts, "y", "_base", F.posexplode(forecasts("gram", "_x")).alias("_o", "_what"))
-            .where(F.col("_what").isNotNull() & ~F.isnan("_what"))
-            .select(
-                *keys,
-                ts,
-                F.get(names, F.col("_o")).alias("order"),
-                "y",
-                (F.col("_what") + F.col("_base")).alias("yhat"),
-            )
+            .select(*keys, ts, "_base", F.posexplode(forecasts("gram", "_x")).alias("_o", "_what"))
+            .select(*keys, ts, F.get(names, F.col("_o")).alias("order"), "_what", (F.col("_what") + F.col("_base")).alias("yhat"))
         )
         parts.append(part)
-    out = parts[0]
+    found = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = found.unionByName(p)
+    back = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
+    last = df.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= n)
+    asked = last.select(*keys, ts, F.explode(F.array(*[F.lit(o.name) for o in orders])).alias("order"), F.col(y).alias("y"))
+    return asked.join(found, [*keys, ts, "order"], "left").select(*keys, ts, "order", "y", _estimate("yhat"), _status("_what"))
+
+
+def _estimate(column: str, of: str = "_what") -> Column:
+    return F.when(_status(of) == "ok", F.col(column)).alias(column)
+
+
+def _status(column: str) -> Column:
+    c = F.col(column)
+    short = c.isNull() | (c == float("-inf"))
+    return F.when(short, "short").when(F.isnan(c), "singular").otherwise("ok").alias("status")
 
 
 def walk_forward(
@@ -239,15 +245,21 @@ def order_grid(
     ts: str = "ts",
     y: str = "y",
 ) -> DataFrame:
-    """Walk-forward error of every (p, d, q) and whether it is the best of its series."""
+    """Walk-forward error of every (p, d, q) and whether it is the best of its series.
+
+    An order without a forecast has null errors, the reason in ``status``, and is never the best.
+    """
     orders = [Order(p, d, q) for d in ds for p in ps for q in qs]
-    scored = error_metrics(walk_forward_orders(df, orders, n, keys, ts, y), by=[*keys, "order"])
-    return _mark_best(scored, metric, keys)
+    walked = checkpoint(walk_forward_orders(df, orders, n, keys, ts, y))
+    reason = F.coalesce(F.max(F.when(F.col("status") != "ok", F.col("status"))), F.lit("ok")).alias("status")
+    scored = error_metrics(walked, by=[*keys, "order"])
+    return _mark_best(walked.groupBy(*keys, "order").agg(reason).join(scored, [*keys, "order"], "left"), metric, keys)
 
 
 def _mark_best(scored: DataFrame, metric: str, keys) -> DataFrame:
-    best = F.min_by("order", F.struct(metric, "order")).over(Window.partitionBy(*keys))
-    return scored.withColumn("is_best", F.col("order") == best)
+    rank = F.when(F.col(metric).isNotNull(), F.struct(metric, "order"))
+    best = F.min_by("order", rank).over(Window.partitionBy(*keys))
+    return scored.withColumn("is_best", F.coalesce(F.col("order") == best, F.lit(False)))
 
 
 def seasonal_grid_aic(
@@ -257,12 +269,11 @@ def seasonal_grid_aic(
     ts: str = "ts",
     y: str = "y",
 ) -> DataFrame:
-    """AIC = n ln(rss / n) + 2k of every order on the whole series, and the best one."""
+    """AIC = n ln(rss / n) + 2k of every order on the whole series, its status, and the best one."""
     parts = []
     groups = sorted({(o.d, o.D, o.s) for o in orders})
-    if len(groups) > 1:
-        # Every differencing reads the series; what lies behind it runs once.
-        df = checkpoint(df.select(*keys, ts, y))
+    # Every differencing reads the series; what lies behind it runs once.
+    df = checkpoint(df.select(*keys, ts, y))
     for d, D, s in groups:
         group = [o for o in orders if (o.d, o.D, o.s) == (d, D, s)]
         ar = sorted({k for o in group for k in o.ar})
@@ -276,12 +287,13 @@ def seasonal_grid_aic(
         names = F.array(*[F.lit(o.name) for o in group])
         parts.append(
             grams.select(*keys, F.posexplode(aic("gram")).alias("_o", "aic"))
-            .where(F.col("aic").isNotNull() & ~F.isnan("aic"))
             .select(*keys, F.get(names, F.col("_o")).alias("order"), "aic")
         )
-    out = parts[0]
+    found = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        found = found.unionByName(p)
+    asked = df.select(*keys).distinct().withColumn("order", F.explode(F.array(*[F.lit(o.name) for o in orders])))
+    out = asked.join(found, [*keys, "order"], "left").select(*keys, "order", _estimate("aic", "aic"), _status("aic"))
     return _mark_best(out, "aic", keys)
 
 
@@ -332,7 +344,9 @@ def arima_fit(
         .groupBy(*keys)
         .agg(F.max(ts).alias("last_ts"), F.array_sort(F.collect_list(F.struct("_r", "_y", "_e"))).alias("_t"))
     )
-    return solved.join(late, list(keys)).select(
+    # Every series has a row; without an estimate its coefficients are null and ``status`` says why.
+    short = F.col("_n").isNull() | (F.col("_n") < ROWS_PER_COEFFICIENT * max(1, len(used)))
+    return late.join(solved, list(keys), "left").select(
         *keys,
         F.lit(order.name).alias("order"),
         F.col("_f.coef").alias("coef"),
@@ -341,7 +355,8 @@ def arima_fit(
         "last_ts",
         F.transform("_t", lambda t: t["_y"]).alias("last_y"),
         F.transform("_t", lambda t: F.coalesce(t["_e"], F.lit(0.0))).alias("last_e"),
-    ).where(F.col("coef").isNotNull())
+        F.when(F.col("_f.coef").isNotNull(), "ok").when(short, "short").otherwise("singular").alias("status"),
+    )
 
 
 def arima_forecast(
@@ -360,6 +375,9 @@ def arima_forecast(
     def ahead(coef: pd.Series, sigma2: pd.Series, last_y: pd.Series, last_e: pd.Series) -> pd.Series:
         out = []
         for c, s2, ys, es in zip(coef, sigma2, last_y, last_e):
+            if c is None:
+                out.append([{"yhat": None, "lower": None, "upper": None}] * steps)
+                continue
             c = np.asarray(c, float)
             c0, c = (c[0], c[1:]) if constant else (0.0, c)
             phi = np.zeros(max([0, *ar]) + 1)

@@ -85,14 +85,15 @@ def solve(
     scale = np.sqrt(np.maximum(np.einsum("nii->ni", a), 0))
     safe = np.where(scale > 0, scale, 1.0)
     unit = a / safe[:, :, None] / safe[:, None, :]
-    beta = np.full(b.shape, np.nan)
-    inverse = np.full(b.shape, np.nan)
-    for n in range(len(gram)):
-        if not np.isfinite(unit[n]).all():
-            continue
-        full = np.linalg.matrix_rank(unit[n], tol=1e-10) == len(used)
-        if full or minimum_norm:
-            inv = np.linalg.inv(unit[n]) if full else np.linalg.pinv(unit[n], rcond=1e-10, hermitian=True)
-            beta[n] = inv @ (b[n] / safe[n]) / safe[n]
-            inverse[n] = np.diag(inv) / safe[n] ** 2
+    inverses = np.full(unit.shape, np.nan)
+    finite = np.isfinite(unit).all(axis=(1, 2))
+    full = finite.copy()
+    full[finite] = np.linalg.matrix_rank(unit[finite], tol=1e-10) == len(used) if finite.any() else False
+    if full.any():
+        inverses[full] = np.linalg.inv(unit[full])
+    rest = finite & ~full
+    if minimum_norm and rest.any():
+        inverses[rest] = np.linalg.pinv(unit[rest], rcond=1e-10, hermitian=True)
+    beta = np.einsum("nij,nj->ni", inverses, b / safe) / safe
+    inverse = np.einsum("nii->ni", inverses) / safe**2
     return beta, yy - np.einsum("ni,ni->n", beta, b), inverse

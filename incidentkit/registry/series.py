@@ -94,7 +94,7 @@ _AR1 = f"""SELECT series_id, ts, y, x * sxy / sxx AS yhat, back FROM (SELECT ser
 
 @query("i7_ar_walk_forward", f"SELECT series_id, ts, '(1,0,0)' AS \"order\", y, round(yhat, 6) AS yhat FROM ({_AR1.format(source=HOURLY, n=48)})")
 def _(spark, d):
-    return rounded(A.walk_forward(hourly(spark, d), A.Order(1, 0, 0), 48), "yhat")
+    return rounded(A.walk_forward(hourly(spark, d), A.Order(1, 0, 0), 48), "yhat").drop("status")
 
 
 @query(
@@ -123,12 +123,12 @@ def _(spark, d):
 
 @query("i10_order_grid")
 def _(spark, d):
-    return A.order_grid(monthly(spark, d), range(4), range(2), range(3))
+    return A.order_grid(monthly(spark, d), range(7), range(3), range(7))
 
 
 @query("i11_seasonal_grid_aic")
 def _(spark, d):
-    return A.seasonal_grid_aic(monthly(spark, d), A.seasonal_orders([0, 1], 12))
+    return A.seasonal_grid_aic(monthly(spark, d), A.seasonal_orders([0, 1, 2], 12))
 
 
 @query(

@@ -126,8 +126,13 @@ def test_grids_choose_sensible_orders(made):
 
 def test_short_series_is_skipped(spark):
     df = spark.createDataFrame([("s", month(i), float(i % 3)) for i in range(8)], "series_id string, ts date, y double")
-    assert A.walk_forward(df, A.Order(3, 0, 0), 2).count() == 0
-    assert A.arima_fit(df, A.Order(3, 0, 0)).count() == 0
+    walked = A.walk_forward(df, A.Order(3, 0, 0), 2).collect()
+    assert walked and all(r.yhat is None and r.status == "short" for r in walked)
+    fits = A.arima_fit(df, A.Order(3, 0, 0)).collect()
+    assert fits and all(r.coef is None and r.status == "short" for r in fits)
+    grid = A.order_grid(df, [0, 3], [0], [0], 2).where("order = '(3,0,0)'").collect()
+    assert grid and all(r.rmse is None and r.status == "short" and not r.is_best for r in grid)
+    assert A.arima_forecast(A.arima_fit(df, A.Order(3, 0, 0)), A.Order(3, 0, 0), 2).where("yhat IS NULL").count() == 2 * len(fits)
 
 
 def test_saved_fit_predicts(spark, made, tmp_path):
