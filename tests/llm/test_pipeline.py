@@ -7,15 +7,16 @@ from test_decisions import plain_spans
 from test_simhash import brute, plain
 
 SMALL = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"  # holds secrets
 
 
 def test_stages(spark, tmp_path):
-    docs = table(spark, SMALL, "documents")
+    docs = table(spark, LARGER, "documents")
     columns, kept = docs.columns, docs
     for name, stage in cp.STAGES:
         before = {r.doc_id: r for r in kept.collect()}
         path = str(tmp_path / name)
-        stage(spark, kept, SMALL).write.parquet(path)
+        stage(spark, kept, LARGER).write.parquet(path)
         kept = spark.read.parquet(path)
         after = {r.doc_id: r for r in kept.collect()}
         assert kept.count() == len(after) and set(after) <= set(before)
@@ -26,16 +27,16 @@ def test_stages(spark, tmp_path):
         if name != "secrets":
             assert all(after[d] == before[d] for d in after)
         if name == "quality":
-            scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, table(spark, SMALL, "labels"))).collect()}
+            scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, table(spark, LARGER, "labels"))).collect()}
             assert set(after) == {d for d, s in scores.items() if s >= cp.QUALITY_CUT}
         if name == "near_duplicates":
             rows = [(d, plain(r.text)) for d, r in before.items()]
             assert set(after) == set(brute(rows))
         if name == "decontamination":
             clean = lambda t: " " + " ".join(decontaminate.words(t)) + " "
-            items = [clean(r.text) for r in table(spark, SMALL, "benchmark").collect()]
+            items = [clean(r.text) for r in table(spark, LARGER, "benchmark").collect()]
             assert not any(i in clean(r.text) for r in after.values() for i in items)
-            found = {r.doc_id for r in decontaminate.leaks(spark.createDataFrame(list(before.values()), docs.schema), table(spark, SMALL, "benchmark")).collect()}
+            found = {r.doc_id for r in decontaminate.leaks(spark.createDataFrame(list(before.values()), docs.schema), table(spark, LARGER, "benchmark")).collect()}
             assert set(after) == set(before) - found
         if name == "secrets":
             assert set(after) == set(before) and any(plain_spans(r.text) for r in before.values())
@@ -52,7 +53,7 @@ def test_run_and_awkward_rows(spark, tmp_path):
     from pyspark.sql import functions as F
 
     odd = good.unionByName(good.limit(5)).withColumns({"score": F.lit("clash"), "path": F.lit(1)})
-    odd = odd.union(spark.createDataFrame([(None, None, None, None, None, None, None), (900, "", "en", "s", 0, "x", 2)], odd.schema))
+    odd = odd.union(spark.createDataFrame([(None, None, None, None, None, "clash", 1), (900, "", "en", "s", 0, "x", 2)], odd.schema))
     odd.write.parquet(str(tmp_path / "documents.parquet"))
     for folder in (tmp_path,):
         docs = spark.read.parquet(str(folder / "documents.parquet"))
