@@ -94,7 +94,7 @@ def _counted(spark, d, vocab=300):
 @query("g6_topics")
 def _(spark, d):
     model, docs = _counted(spark, d)
-    return M.topics(docs, model.vocabulary, k=5, iterations=5, words=10)[1]
+    return M.topics(docs, model.vocabulary, k=20, iterations=20, words=10)[1]
 
 
 @query("g7_word_vectors")
@@ -170,12 +170,12 @@ def _(spark, d):
 @query("g11_kmeans")
 def _(spark, d):
     df = _vectors(spark, d)
-    return M.kmeans(df, 10, 20).transform(df).groupBy("cluster", "label").count()
+    return M.kmeans(df, 20, 50).transform(df).groupBy("cluster", "label").count()
 
 
 @query("g12_elbow")
 def _(spark, d):
-    return M.elbow(_vectors(spark, d), [2, 6, 10])
+    return M.elbow(_vectors(spark, d), list(range(2, 51, 4)))
 
 
 @query(
@@ -196,14 +196,14 @@ def _(spark, d):
     docs = words(spark, d)
     stages = FE.tfidf_model(docs, "tokens", 300, 10.0)
     df = stages.transform(docs)
-    return M.cluster_terms(df, M.kmeans(df, 4, 20), stages.stages[0].vocabulary, 10)
+    return M.cluster_terms(df, M.kmeans(df, 12, 50), stages.stages[0].vocabulary, 10)
 
 
 @query("g15_assign_cluster")
 def _(spark, d):
     docs = words(spark, d)
     stages = FE.tfidf_model(docs, "tokens", 300, 10.0)
-    model = M.kmeans(stages.transform(docs), 4, 20)
+    model = M.kmeans(stages.transform(docs), 14, 50)
     turns = table(spark, d, "conversations").select("conv_id", "turn", T.tokenize(F.lower("text"), r"\p{L}+").alias("tokens"))
     return M.assign_cluster(stages.transform(turns), model).groupBy("cluster").count()
 
@@ -225,10 +225,10 @@ def _scored(estimator):
 
 
 query("g16_naive_bayes")(lambda s, d: _scored(M.naive_bayes())(s, d))
-query("g17_logistic")(lambda s, d: _scored(M.logistic(max_iter=50))(s, d))
-query("g18_linear_svm")(lambda s, d: _scored(M.linear_svm(max_iter=20))(s, d))
-query("g19_random_forest")(lambda s, d: _scored(M.random_forest(trees=20))(s, d))
-query("g20_extra_trees")(lambda s, d: _scored(M.extra_trees(trees=20))(s, d))
+query("g17_logistic")(lambda s, d: _scored(M.logistic())(s, d))
+query("g18_linear_svm")(lambda s, d: _scored(M.linear_svm())(s, d))
+query("g19_random_forest")(lambda s, d: _scored(M.random_forest())(s, d))
+query("g20_extra_trees")(lambda s, d: _scored(M.extra_trees())(s, d))
 query("g21_boosted_trees")(lambda s, d: _scored(M.boosted_trees(max_iter=5, depth=3))(s, d))
 
 # A rule to compare with the labels: the longer half of the usual length is good.
