@@ -1,0 +1,74 @@
+"""Near-duplicate texts against brute force over shingle sets."""
+
+import random
+
+import corpus_pipeline as cp
+import pytest
+from incidentkit.llm import near_texts, simhash
+
+
+def plain(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute(rows):
+    """The (id, text) pairs that stay, one per component."""
+    sets = [plain(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        best.setdefault(find(i), []).append((d is None, d or 0))
+    return sorted(min(b) for b in best.values())
+
+
+def corpus(seed=4):
+    """Families of edited copies, far and near, a chain and single texts."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(4000)}"
+    out = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        out.append(" ".join(base))
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, len(own) // 25)):
+                own[rng.randrange(len(own))] = word()
+            out.append(" ".join(own).upper() if rng.random() < 0.2 else "  ".join(own))
+    step = [word() for _ in range(200)]
+    for i in range(30):
+        step[i * 6 + 3] = word()
+        out.append(" ".join(step))
+    out += [" ".join(word() for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("small", "block"), [(64, 1024), (1, 8)])
+def test_keep_one_equals_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near_texts, "SMALL_BUCKET", small)
+    monkeypatch.setattr(near_texts, "BLOCK", block)
+    rows = corpus()
+    got = near_texts.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == brute(rows)
+
+
+def test_stage_links_copies_that_simhash_misses(spark):
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    edited = lambda at: " ".join([*base[:at], "other", *base[at + 1 :]])
+    bits = lambda t: ((simhash.fingerprint(" ".join(base).encode()) ^ simhash.fingerprint(t.encode())) & (2**64 - 1)).bit_count()
+    far = next(t for t in map(edited, range(10, 110)) if bits(t) > 4)
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, far), (3, "quite another text of more than five words")], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 3
+    assert sorted(r.doc_id for r in cp.keep_distinct(spark, docs, "").collect()) == [1, 3]
