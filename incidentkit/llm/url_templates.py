@@ -4,9 +4,10 @@ Paths are first reduced to skeletons, in which digits and long hexadecimal
 runs are wildcards, and counted per host. The tree is built on these counts
 level by level: under a branch with many children the rare ones become one
 wildcard, and children whose labelled rates do not differ statistically are
-merged. A template is rejected by its smoothed share of bad labels; what a
-branch passes down to a child without labels shrinks with the part of the
-branch that is labelled at all.
+merged. A template is rejected by its smoothed share of bad labels. The
+smoothing backs off to the share of the parent branch, which starts from that of
+the host, and before it to the labels that the same path has on other hosts, so a
+child without labels is judged by those of its template elsewhere.
 
 Cases: a null url, or one without ``://``, has an empty host and path. Rows
 with null ids and repeated rows come back one for one. Without any label every
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from incidentkit.operators.beside import beside
 from incidentkit.session import checkpoint
 
 LEVELS = 8  # path levels that get branches of their own; what lies deeper is one more level
@@ -91,25 +93,32 @@ def template_tree(counts: DataFrame) -> DataFrame:
     1 / RARE children by name, so what is gathered per branch is bounded.
     """
     share = lambda bad, labelled, parent: (bad + WEIGHT * parent) / (labelled + WEIGHT)
-    passed = lambda purity, labelled, n: F.lit(PRIOR) + (purity - PRIOR) * labelled / n
-    hosts = counts.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
-    hosts = checkpoint(hosts.withColumn("purity", share(F.col("hb"), F.col("hl"), F.lit(PRIOR))).withColumn("passed", passed(F.col("purity"), F.col("hl"), F.col("hn"))).select("host", "purity", "passed"))
+    hosts = counts.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
+    hosts = checkpoint(hosts.select("host", share(F.col("hb"), F.col("hl"), F.lit(PRIOR)).alias("purity")))
     tree = checkpoint(counts.join(hosts, "host").withColumn("template", F.lit("")))
     deepest = tree.agg(F.max(F.size("segs"))).first()[0] or 0
     for level in range(1, deepest + 1):
-        here = tree.where(F.size("segs") >= level).withColumn("name", F.get("segs", F.lit(level - 1)))
-        children = checkpoint(here.groupBy("host", "template", "name").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+        here = tree.where(F.size("segs") >= level).withColumn("name", F.get("segs", F.lit(level - 1))).withColumn("path", F.slice("segs", 1, level))
+        paths = checkpoint(here.groupBy("host", "template", "name", "path").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+        everywhere = paths.groupBy("path").agg(F.sum("labelled").alias("al"), F.sum("bad").alias("ab"))
+        # Labels of the same path on other hosts.
+        paths = beside(paths, everywhere, ["path"]).withColumn("ol", F.col("al") - F.col("labelled")).withColumn("ob", F.col("ab") - F.col("bad"))
+        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad", "ol", "ob")]
+        children = checkpoint(paths.groupBy("host", "template", "name").agg(*sums))
         branches = checkpoint(children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")))
         rare = (F.col("k") > MANY_CHILDREN) & (F.col("n") < RARE * F.col("all"))
-        named = children.join(branches, ["host", "template"]).withColumn("as", F.when(rare, "*").otherwise(F.col("name")))
-        kept = named.groupBy("host", "template", "as").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        named = checkpoint(children.join(branches, ["host", "template"]).withColumn("as", F.when(rare, "*").otherwise(F.col("name"))))
+        kept = checkpoint(named.groupBy("host", "template", "as").agg(*sums))
         groups = kept.groupBy("host", "template").agg(_merged(F.collect_list(F.struct(F.col("as").alias("name"), "n", "labelled", "bad"))).alias("groups"))
         groups = groups.select("host", "template", F.explode("groups").alias("g")).select(
-            "host", "template", F.explode("g.names").alias("as"), F.array_join(F.array_sort("g.names"), "|").alias("branch"), F.col("g.n").alias("gn"), F.col("g.labelled").alias("gl"), F.col("g.bad").alias("gb")
+            "host", "template", F.explode("g.names").alias("as"), F.array_join(F.array_sort("g.names"), "|").alias("branch"), F.col("g.labelled").alias("gl"), F.col("g.bad").alias("gb")
         )
+        elsewhere = checkpoint(groups.join(kept.select("host", "template", "as", "ol", "ob"), ["host", "template", "as"]))
+        prior = elsewhere.groupBy("host", "template", "branch").agg(F.sum("ol").alias("ol"), F.sum("ob").alias("ob"))
+        groups = elsewhere.drop("ol", "ob").join(prior, ["host", "template", "branch"])
         mapping = checkpoint(named.select("host", "template", "name", "as").join(groups, ["host", "template", "as"]).drop("as"))
         down = here.join(mapping, ["host", "template", "name"])
-        down = down.withColumn("purity", share(F.col("gb"), F.col("gl"), F.col("passed"))).withColumn("passed", passed(F.col("purity"), F.col("gl"), F.col("gn")))
+        down = down.withColumn("purity", share(F.col("gb"), F.col("gl"), share(F.col("ob"), F.col("ol"), F.col("purity"))))
         down = down.withColumn("template", F.concat("template", F.lit("/"), "branch"))
         tree = checkpoint(tree.where(F.size("segs") < level).unionByName(down.select(*tree.columns)))
     # A skeleton that other paths continue keeps the share of its branch.
