@@ -121,7 +121,7 @@ def _segments(turns: DataFrame, conversations: int) -> DataFrame:
     )
     shards = max(1, -(-conversations // SHARD))
     shard = F.pmod(F.xxhash64(F.floor(F.col("conv_id") / NEAR)), F.lit(shards)).cast("int")
-    packed = checkpoint(packed.select("conv_id", "block", "n", "xa", "xb", F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.size").alias("size"), shard.alias("shard")))
+    packed = checkpoint(packed.select("conv_id", "block", "n", "xa", "xb", F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.size").alias("size"), shard.alias("shard"), (F.col("block") * BLOCK).alias("at")))
     long = packed.where("block = 1").select("conv_id")
     steps = packed.select("conv_id", "block", "xa", "xb").join(long, "conv_id", "left_semi")
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +177,7 @@ def _bits(members: int) -> Iterator[int]:
 def _local_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
     """Nodes of a shard and block, with the ids of the conversations that end there."""
     shard = _Shard(pdf)
-    at = int(pdf["block"].iloc[0]) * BLOCK
+    at = int(pdf["at"].iloc[0])
     pdf = pdf.sort_values("conv_id")
     sizes, lengths = [s.tolist() for s in pdf["size"]], pdf["n"].tolist()
     rows = []
