@@ -11,8 +11,11 @@ the words it has met. The README gives the figures that led to the second for
 whole corpora.
 
 Cases: a null text is the empty text, no ids and the hash of nothing. Rows with
-null ids and repeated rows come back one for one. Ids that the vocabulary does
-not have make decoding fail.
+null ids and repeated rows come back one for one; an empty table gives no rows.
+A text of any length is cut into words, and long words are merged by a heap, so
+time grows little faster than the text. Only key and text are read, so other
+columns of any name do not matter. Ids that the vocabulary does not have make
+decoding fail.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from incidentkit.llm.common import per_text, texts
+from incidentkit.llm.unicode_classes import cut
 
 #: Words whose ids a task keeps; beyond that it starts anew.
 KEPT_WORDS = 400_000
@@ -97,7 +101,7 @@ class Encoder:
 
     def packed(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words = self.pattern.findall(text.decode("utf-8", "replace"))
+        words = cut(self.pattern, text.decode("utf-8", "replace"))
         kept, ranks = self.kept, self.ranks
         if len(kept) > KEPT_WORDS:
             kept.clear()

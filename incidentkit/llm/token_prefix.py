@@ -8,7 +8,9 @@ together. So one pass over the piece stores the count of each prefix, and
 truncation or budget questions are look-ups.
 
 Cases: a null text is the empty text with no tokens. Rows with null ids and
-repeated rows come back one for one.
+repeated rows come back one for one; an empty table gives no rows. Time and
+memory of a piece grow with its length, whatever that is. Only key and text are
+read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from incidentkit.llm.common import per_text, texts
+from incidentkit.llm.unicode_classes import cut
 
 #: Pieces whose tables a task keeps; beyond that it starts anew.
 KEPT_PIECES = 400_000
@@ -135,14 +138,14 @@ class PrefixCounter:
     def pieces(self, text: str):
         """Pieces of a text; a special token is one piece."""
         if self.special is None:
-            yield from ((p, False) for p in self.pattern.findall(text))
+            yield from ((p, False) for p in cut(self.pattern, text))
             return
         at = 0
         for m in self.special.finditer(text):
-            yield from ((p, False) for p in self.pattern.findall(text[at : m.start()]))
+            yield from ((p, False) for p in cut(self.pattern, text[at : m.start()]))
             yield m[0], True
             at = m.end()
-        yield from ((p, False) for p in self.pattern.findall(text[at:] if at else text))
+        yield from ((p, False) for p in cut(self.pattern, text[at:] if at else text))
 
     def total(self, piece: str) -> int:
         """Tokens of a whole piece."""
@@ -188,7 +191,7 @@ class PrefixCounter:
         self._room()
         if self.special is not None and self.special.search(text):
             return sum(1 if special else self.total(piece) for piece, special in self.pieces(text))
-        found = self.pattern.findall(text)
+        found = cut(self.pattern, text)
         for piece in set(found).difference(self.kept):
             self.total(piece)
         return sum(map(self.kept.__getitem__, found))

@@ -5,6 +5,7 @@ import struct
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -125,3 +126,35 @@ def test_awkward_rows(spark):
         assert empty.count() == 0
     back = {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(byte_bpe.encode(docs.where("doc_id = 3"), RANKS, public_tokenizers.PATTERN), RANKS).collect()}
     assert back == {3: b"word " * 30_000}
+
+
+def _ends(kind):
+    """First and last code point of every run of a class that the pattern library knows."""
+    found = regex.compile(kind).findall("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    for run in _runs(sorted(map(ord, found))):
+        yield from {run[0] - 1, run[0], run[1], run[1] + 1}
+
+
+def _runs(points):
+    first = last = None
+    for p in points:
+        if last is None or p != last + 1:
+            if first is not None:
+                yield first, last
+            first = p
+        last = p
+    if first is not None:
+        yield first, last
+
+
+def test_same_letters_and_numbers_as_the_libraries(ranks, library, counter, tokenizer):
+    """At both ends of every run of letters, numbers and white space, and at the code points next to them."""
+    encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    points = sorted({p for kind in (r"\p{L}", r"\p{N}", r"\s") for p in _ends(kind) if 0 <= p < 0x110000 and not 0xD800 <= p < 0xE000})
+    assert len(points) > 2000
+    texts = [f"{chr(p)}'ll a{chr(p)} 1{chr(p)}!{chr(p)}  {chr(p)}b" for p in points]
+    for text, ids in zip(texts, library.encode_ordinary_batch(texts), strict=True):
+        packed = encoder.packed(text.encode())
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == ids, ascii(text)
+    for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert counter.count(text) == len(found.ids), ascii(text)
