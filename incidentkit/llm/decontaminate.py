@@ -1,27 +1,34 @@
 """Benchmark items in documents: CGK embedding, bit-sampling LSH, edit verification.
 
-Items and documents are sequences of lower-cased words. The CGK random walk
+Items and documents are sequences of lower-cased words; in scripts without
+blanks every character is one. The CGK random walk
 maps a sequence to a longer one so that edit distance becomes Hamming
 distance: at every step the word under the pointer is written, and a random
 bit of step and word decides whether the pointer moves on. Bands of sampled
 positions of that string are hashed, in as many repetitions as the target
 recall asks for. Item-sized windows of a document that share a band with an
-item are verified by exact edit distance.
+item are verified by exact edit distance. Half of the repetitions walk from the
+first word of the window on, the other half from its last word back, so that
+edits in either half leave a walk that is not disturbed.
 
 A window within k edits of an item keeps at least m - 2 - 3k of its word
 triples, so windows that hold fewer triples of any item are skipped; this
 loses nothing.
 
-Cases: null or empty texts and items match nothing; items below LEAST_WORDS
-words name no passage and match nothing. A document and item give one row, the
-best place, at a tie the first; repeated documents give one row each. Items
-with equal texts match alike.
+Cases: null or empty texts and items match nothing. Items below LEAST_WORDS
+words are found where the same words follow one another, without edits. A
+document and item give one row, the best place, at a tie the first; repeated
+documents give one row each, rows with a null id too. Items with equal texts
+match alike. Empty tables of documents give no rows, empty tables of items no
+matches. Texts of any length are searched whole, TOGETHER texts at a time. Only
+id and text are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -29,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from incidentkit.llm.common import texts
+from incidentkit.session import checkpoint
 
 SHARE = 0.2  # edits per word of an item that are accepted
 LEAST_WORDS = 5
@@ -37,11 +45,16 @@ BAND = 3  # sampled positions per repetition
 STRETCH = 3  # steps of the full walk per word
 TOGETHER = 256  # texts that are searched at once
 ITEMS_PER_PASS = 20_000  # items that a task holds at once; more items take more passes over the documents
+# Scripts that are written without blanks between words (Thai, Lao, Burmese, Khmer, kana, Han).
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{_UNSPACED}]")
 WORD = re.compile(r"\w+")
+WORD_OR_CHARACTER = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (WORD if text.isascii() or not UNSPACED.search(text) else WORD_OR_CHARACTER).findall(text)
 
 
 def accepted(m: int, share: float = SHARE) -> int:
@@ -69,8 +82,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Walks:
     """The random bits and sampled positions of one window size; equal for items and documents."""
 
-    def __init__(self, size: int, reps: int, symbols: int):
-        rng = np.random.default_rng([1, size])
+    def __init__(self, size: int, reps: int, symbols: int, seed: int = 1):
+        rng = np.random.default_rng([seed, size])
         self.size, self.reps, self.symbols = size, reps, symbols
         # A position tells most while the walk is inside the words that a start fixes, so the first steps are sampled.
         self.sampled = np.array([rng.choice(size, min(BAND, size), replace=False) for _ in range(reps)])
@@ -121,7 +134,8 @@ class Index:
     """Items by size of window, their word triples, and their bands.
 
     Window sizes grow by a quarter; an item is looked for with the largest size
-    that it fills, so its window holds its first words.
+    that it fills, so its window holds its first words, and its last ones when
+    words are read backwards.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], share: float = SHARE, recall: float = RECALL):
@@ -129,33 +143,43 @@ class Index:
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             found = words(text)
-            if len(found) >= LEAST_WORDS:
+            if found:
                 numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found]
                 self.items.append((item_id, np.array(numbers, np.int64)))
         self.share = share
         self.longest = max((len(n) for _, n in self.items), default=0)
-        triples = [self._triples(numbers) for _, numbers in self.items]
+        #: By number of words: the short items by their words.
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        for i, (_, numbers) in enumerate(self.items):
+            if len(numbers) < LEAST_WORDS:
+                self.short.setdefault(len(numbers), {}).setdefault(tuple(numbers.tolist()), []).append(i)
+        triples = [self._triples(numbers) for _, numbers in self.items if len(numbers) >= LEAST_WORDS]
         self.triples = np.unique(np.concatenate(triples)) if triples else np.zeros(0, np.uint64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.triples >> np.uint64(44)).astype(np.int64)] = True
         by_size: dict[int, list[int]] = {}
         for i, (_, numbers) in enumerate(self.items):
             size = LEAST_WORDS
+            if len(numbers) < size:
+                continue
             while size + max(1, size // 4) <= len(numbers):
                 size += max(1, size // 4)
             by_size.setdefault(size, []).append(i)
-        self.sizes: list[tuple[Walks, int, int, int, dict[int, list[int]]]] = []
+        #: Forwards and backwards walks of a window size, with the items of each band.
+        self.sizes: list[tuple[tuple[tuple[Walks, dict[int, list[int]]], ...], int, int, int]] = []
         for size, members in sorted(by_size.items()):
             lengths = [len(self.items[i][1]) for i in members]
             k = max(accepted(m, share) for m in lengths)
             need = min(m - 2 - 3 * accepted(m, share) for m in lengths)
-            walks = Walks(size, repetitions(size, min(k, size), recall), len(self.vocabulary) + 1)
-            bands = walks.bands(np.stack([self.items[i][1][:size] for i in members]))
-            table: dict[int, list[int]] = {}
-            for i, row in zip(members, bands.tolist(), strict=True):
-                for h in row:
-                    table.setdefault(h, []).append(i)
-            self.sizes.append((walks, k, need, max(lengths), table))
+            reps = -(-repetitions(size, min(k, size), recall) // 2)
+            ways = []
+            for seed, windows in ((1, [self.items[i][1][:size] for i in members]), (2, [self.items[i][1][: -size - 1 : -1] for i in members])):
+                walks, table = Walks(size, reps, len(self.vocabulary) + 1, seed), {}
+                for i, row in zip(members, walks.bands(np.stack(windows)).tolist(), strict=True):
+                    for h in row:
+                        table.setdefault(h, []).append(i)
+                ways.append((walks, table))
+            self.sizes.append((tuple(ways), k, need, max(lengths)))
 
     @staticmethod
     def _triples(numbers: np.ndarray) -> np.ndarray:
@@ -171,6 +195,30 @@ class Index:
         found = words(text)
         return np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
 
+    @staticmethod
+    def _cells(numbers: np.ndarray, places: np.ndarray, way: int, walk: tuple[Walks, dict[int, list[int]]], k: int) -> set[tuple[int, int]]:
+        """(cell, item) of the windows from these places on, or back, that share a band with an item."""
+        walks, table = walk
+        cells: set[tuple[int, int]] = set()
+        for low in range(0, len(places), 2048):
+            some = places[low : low + 2048]
+            bands = walks.bands(numbers[some[:, None] + way * np.arange(walks.size)[None, :]])
+            for place, row in zip((some // (k + 1)).tolist(), bands.tolist(), strict=True):
+                for h in row:
+                    for i in table.get(h, ()):
+                        cells.add((place, i))
+        return cells
+
+    def _exact(self, numbers: np.ndarray, begin: np.ndarray, best: list[dict[int, tuple[int, int]]]) -> None:
+        """Notes the first place of every short item; gaps between texts are no words of any item."""
+        for n, held in self.short.items():
+            rows = np.lib.stride_tricks.sliding_window_view(numbers, n)
+            firsts = np.unique([key[0] for key in held])
+            for at in np.flatnonzero(np.isin(rows[:, 0], firsts)).tolist():
+                for i in held.get(tuple(rows[at].tolist()), ()):
+                    own = int(np.searchsorted(begin, at, side="right")) - 1
+                    best[own].setdefault(i, (0, at - int(begin[own])))
+
     @staticmethod
     def _regions(cells: set[tuple[int, int]], k: int):
         """(item, first, last start) of neighbouring cells in which windows met an item."""
@@ -185,6 +233,18 @@ class Index:
         if run:
             yield run[0], run[1] * (k + 1) - k, (run[2] + 1) * (k + 1) + k
 
+    @staticmethod
+    def _merged(regions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Regions of one item that meet, as one."""
+        out: list[tuple[int, int, int]] = []
+        for i, low, high in sorted(regions):
+            low = max(0, low)
+            if out and out[-1][0] == i and low <= out[-1][2]:
+                out[-1] = (i, out[-1][1], max(high, out[-1][2]))
+            else:
+                out.append((i, low, high))
+        return out
+
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """Per text: (item_id, edits, words of the item, first word) of every item in it.
 
@@ -201,6 +261,7 @@ class Index:
             parts += [own, gap]
             at += len(own) + len(gap)
         numbers, begin = np.concatenate(parts), np.array(begins)
+        self._exact(numbers, begin, best)
         known = np.flatnonzero((numbers[:-2] > 0) & (numbers[1:-1] > 0) & (numbers[2:] > 0))
         s = numbers.astype(np.uint64)
         hashes = self._hash(s[known], s[known + 1], s[known + 2])
@@ -208,21 +269,19 @@ class Index:
         known, hashes = known[keep], hashes[keep]
         hits = known[np.isin(hashes, self.triples)]
         places = np.arange(len(hits))
-        for walks, k, need, longest, table in self.sizes if len(hits) else ():
+        for (ahead, back), k, need, longest in self.sizes if len(hits) else ():
+            found: list[tuple[int, int, int]] = []
             anchors = hits[np.searchsorted(hits, hits + longest + k) - places >= need]
-            if not len(anchors):
-                continue
             # An aligned window starts at most this far before its first triple that is left.
             starts = np.unique((anchors[:, None] - np.arange(3 * k + 1)[None, :]).ravel())
-            cells: set[tuple[int, int]] = set()
-            for low in range(0, len(starts), 2048):
-                some = starts[low : low + 2048]
-                bands = walks.bands(numbers[some[:, None] + np.arange(walks.size)[None, :]])
-                for place, row in zip((some // (k + 1)).tolist(), bands.tolist(), strict=True):
-                    for h in row:
-                        for i in table.get(h, ()):
-                            cells.add((place, i))
-            for i, low, high in self._regions(cells, k):
+            found.extend(self._regions(self._cells(numbers, starts, 1, ahead, k), k))
+            # And it ends at most so far after its last one.
+            anchors = hits[places - np.searchsorted(hits, hits - longest - k, side="right") + 1 >= need]
+            stops = np.unique((anchors[:, None] + 2 + np.arange(3 * k + 1)[None, :]).ravel())
+            for i, low, high in self._regions(self._cells(numbers, stops, -1, back, k), k):
+                m = len(self.items[i][1])
+                found.append((i, low - m + 1 - accepted(m, self.share), high - m + 1 + accepted(m, self.share)))
+            for i, low, high in self._merged(found):
                 item = self.items[i][1]
                 most = accepted(len(item), self.share)
                 edits, start = best_place(item, numbers[low : high + len(item) + most])
@@ -233,12 +292,14 @@ class Index:
         return [[(self.items[i][0], edits, len(self.items[i][1]), first) for i, (edits, first) in sorted(found.items())] for found in best]
 
 
-def passes(items: DataFrame, per_pass: int = ITEMS_PER_PASS, share: float = SHARE, recall: float = RECALL) -> list[Index]:
-    """Indexes of all items, each of at most ``per_pass`` items in expectation; they are dealt by a hash."""
+def passes(items: DataFrame, per_pass: int = ITEMS_PER_PASS, share: float = SHARE, recall: float = RECALL) -> Iterator[Index]:
+    """Indexes of all items, each of at most ``per_pass`` items in expectation, made one at a time; items are dealt by a hash."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     parts = max(1, -(-rows.count() // per_pass))
     part = F.pmod(F.xxhash64("text"), F.lit(parts))
-    return [Index(sorted(((r["item_id"], r["text"]) for r in rows.where(part == p).collect()), key=lambda r: (r[1], r[0] is None, r[0] or 0)), share, recall) for p in range(parts)]
+    for p in range(parts):
+        held = [(r["item_id"], r["text"]) for r in rows.where(part == p).collect()]  # at most a pass of items
+        yield Index(sorted(held, key=lambda r: (r[1], r[0] is None, r[0] or 0)), share, recall)
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, recall: float = RECALL, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
@@ -263,9 +324,14 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, recall: float
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, recall: float = RECALL, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
-    """Documents, with all their columns, in which no item is found; no shuffle."""
+    """Documents, with all their columns, in which no item is found; no shuffle.
+
+    With several passes, each but the last writes what it keeps to the shared
+    folder, so that no task holds more than one index.
+    """
     place = docs.columns.index("text")
-    for index in passes(items, per_pass, share, recall):
+    for k, index in enumerate(passes(items, per_pass, share, recall)):
+        docs = checkpoint(docs) if k else docs
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
