@@ -6,7 +6,10 @@ scanned once however many paths, versions or runs hold it. Findings are joined
 back to all paths by address.
 
 Cases: a null text is the empty text. Rows with a null id, repeated rows and
-rows with equal ids come back one for one. An empty table gives no rows.
+rows with equal ids come back one for one. An empty table gives no rows. Texts
+and tokens of any length are scanned whole, in time in proportion to the text;
+a scheme in a url starts at its first letter. Other columns of any name pass
+through.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ MORE = (
     ("private_key", re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
     ("jwt", re.compile(rb"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
     ("hub_token", re.compile(rb"gh[pousr]_[A-Za-z0-9]{36,}")),
-    ("url_login", re.compile(rb"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@")),
 )
-KINDS = ("assign", "access", "hex", *(kind for kind, _ in MORE))
+#: User and password of a url, found from the middle, so that no run of letters is read more than once.
+LOGIN = re.compile(rb"://[^\s/:@]++:[^\s/:@]{3,}+@")
+SCHEME = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789+.-")
+KINDS = ("assign", "access", "hex", *(kind for kind, _ in MORE), "url_login")
 BASE = KINDS[:3]
-RULES = hashlib.sha256("\n".join(p.pattern.decode() for p in (ASSIGN, ACCESS, HEX, *(p for _, p in MORE))).encode()).hexdigest()[:16]
+RULES = hashlib.sha256("\n".join(p.pattern.decode() for p in (ASSIGN, ACCESS, HEX, *(p for _, p in MORE), LOGIN)).encode()).hexdigest()[:16]
 #: Rows of ids that are sent to every executor at most; beyond that texts are shuffled by id.
 BROADCAST_ROWS = 200_000
 
@@ -51,6 +56,7 @@ def find_spans(text: bytes | None) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for kind, pattern in MORE:
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+    found += [("url_login", start, end) for start, end in _logins(text)]
     if found and not text.isascii():
         points, at, count = {}, 0, 0
         for cut in sorted({x for _, s, e in found for x in (s, e)}):
@@ -60,6 +66,18 @@ def find_spans(text: bytes | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 
+def _logins(text: bytes):
+    """Urls with a password, from the first letter of their scheme, which has two characters at least."""
+    for m in LOGIN.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in SCHEME:
+            start -= 1
+        while start < m.start() and not 97 <= text[start] <= 122:
+            start += 1
+        if m.start() - start >= 2:
+            yield start, m.end()
+
+
 def _written(text: bytes | None) -> tuple[str]:
     return (",".join(f"{kind}:{s}:{e}" for kind, s, e in find_spans(text)),)
 
@@ -127,15 +145,18 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]") -
 
     Rows without findings are passed on as they are: only the others meet their spans.
     """
-    found = scan(docs, ledger).where("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     text = F.col("text").cast("string")
-    match = (docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))) & (address(text) == F.col("__blob"))
-    cuts = F.transform(F.split("__spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("s"), F.split(s, ":")[2].cast("int").alias("e")))
+    # The row travels as one column, so that no column of it can clash.
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), address(text).alias("held"), text.alias("text"))
+    found = scan(docs, ledger).where("spans <> ''").select(F.col("doc_id").alias("of"), "blob", "spans").distinct()
+    cuts = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("s"), F.split(s, ":")[2].cast("int").alias("e")))
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    text = F.col("text")
     step = lambda acc, c: F.when(c["s"] < acc["at"], F.struct(acc["done"].alias("done"), F.greatest(acc["at"], c["e"]).alias("at"))).otherwise(
         F.struct(F.concat(acc["done"], F.substr(text, acc["at"] + 1, c["s"] - acc["at"]), F.lit(mark)).alias("done"), c["e"].alias("at")))
     whole = F.aggregate(cuts, start, step, lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1)))
-    out = docs.join(found, match, "left")
-    kept = out.withColumn("__text", F.when(F.col("__spans").isNull(), text).otherwise(whole))
-    new = {"text": F.col("__text").alias("text"), "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long")).alias("n_chars") if "n_chars" in docs.columns else None}
-    return kept.select(*(new[c] if c in new else F.col(f"`{c}`") for c in docs.columns))
+    out = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("held") == F.col("blob")), "left")
+    out = out.withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(whole))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
