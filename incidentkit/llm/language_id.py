@@ -3,19 +3,20 @@
 The network reads bytes in both directions, labels every position with a
 softmax over the languages, and a document's probabilities are the mean over
 all its positions. State is reset at white space, and every SEGMENT bytes in
-longer runs, so that equal segments have equal labels: each distinct segment
+longer runs (between characters), so that equal segments have equal labels: each distinct segment
 of a task is evaluated once and counted as often as it occurs. The network is
 trained in numpy by backpropagation through time on a bounded sample.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0.
 Without labelled documents every text is ``und``. Rows with null ids and
-repeated rows come back one for one.
+repeated rows come back one for one; an empty table gives no rows. Texts of any
+length are labelled whole, segment by segment; runs without blanks are cut
+between characters. Only id, text and language are read, so other columns of
+any name do not matter.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,6 +26,7 @@ from incidentkit.session import checkpoint
 
 SAMPLE = 250  # documents per language that training uses at most
 WORDS = 12_000  # segments per language that training uses at most
+TEXT_SEGMENTS = 4_000  # segments of one text that training uses at most, drawn from all of it
 SEGMENT = 32
 HIDDEN = 12
 STEPS = 600
@@ -38,8 +40,14 @@ def segments(text: bytes) -> list[bytes]:
     for word in text.split():
         if len(word) <= SEGMENT:
             out.append(word)
-        else:
-            out.extend(word[i : i + SEGMENT] for i in range(0, len(word), SEGMENT))
+            continue
+        at = 0
+        while at < len(word):
+            end = at + SEGMENT
+            while end < len(word) and end > at + 1 and word[end] & 0xC0 == 0x80:
+                end -= 1  # not inside a character
+            out.append(word[at:end])
+            at = end
     return out
 
 
@@ -205,9 +213,12 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def fit(docs: DataFrame, may_teach: Column, lang: str = "lang", per_language: int = SAMPLE) -> Network:
+def fit(docs: DataFrame, may_teach: Column, lang: str = "lang", per_language: int = SAMPLE, per_text: int = TEXT_SEGMENTS) -> Network:
     """Network trained on at most ``per_language`` documents of every language.
 
+    Of a text with more than ``per_text`` segments so many are drawn at random
+    from all of it, with a fixed seed.
+
     Which documents teach is decided by ids and languages alone; their texts
     are fetched by a second scan next to the picked ids.
     """
@@ -224,8 +235,11 @@ def fit(docs: DataFrame, may_teach: Column, lang: str = "lang", per_language: in
     words, labels = [], []
     for k, one in enumerate(languages):
         held = sorted({(r["doc_id"], r["text"] or "") for r in rows if r["lang"] == one})
-        own = [w for _, t in held if t for w in islice((s for s in segments(t.encode("utf-8", "surrogatepass"))), 4000)]
         rng = np.random.default_rng(17)
+        own = []
+        for _, t in held:
+            found = segments(t.encode("utf-8", "surrogatepass"))
+            own += found if len(found) <= per_text else [found[i] for i in np.sort(rng.choice(len(found), per_text, replace=False))]
         own = [own[i] for i in rng.permutation(len(own))[:WORDS]]
         words += own
         labels += [k] * len(own)
