@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from incidentkit.llm.common import per_text, texts
 
 #: Words whose ids a task keeps; beyond that it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 #: Pairs of tokens whose test a task keeps; beyond that it starts anew.
 KEPT_PAIRS = 1_500_000
 MARK = "▁"
