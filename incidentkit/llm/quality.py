@@ -9,7 +9,11 @@ scores, and that difference is the mean of the buckets' own differences.
 
 Cases: a null or empty text has no features and gets the score of the bias.
 Null labels teach nothing; without two classes the score is the share of the
-one there is, or 0.5. Rows with null ids and repeated rows come back one for one.
+one there is, or 0.5. Rows with null ids and repeated rows come back one for
+one; an empty table gives no rows. Texts of any length are turned into features
+PIECE characters at a time. Only id, text and label are read, so other columns
+of any name do not matter. All pairs of equal neighbouring words share one
+bucket, a feature made by hand.
 """
 
 from __future__ import annotations
@@ -206,6 +210,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows with a score of at least ``least``, with all their columns; texts are filtered where they are read."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(place).cast(pa.binary())
+            fits = [bool(s >= least) for at in range(0, batch.num_rows, 256) for s in held.value.scores(column.slice(at, 256).to_pylist())]
+            yield batch.filter(pa.array(fits, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", may_teach: Column | None = None, per_class: int = SAMPLE) -> Model:
     may_teach = fold_of(F.col("doc_id"), 4) != 2 if may_teach is None else may_teach
     rows = sample(docs, labels, column, may_teach, per_class).select("doc_id", "text", "y").collect()
