@@ -7,17 +7,20 @@ meet by equality and every hit is verified.
 
 Cases: a null or empty text has fingerprint zero and links like any other. A
 null id takes part, but never names a component; a component of such rows
-alone has a null id. Repeated rows come back once each.
+alone has a null id. Repeated rows come back once each; an empty table gives no
+rows. Texts of any length are hashed in bounded parts. Other columns of any
+name do not clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from incidentkit.llm.common import per_text, texts
 from incidentkit.session import checkpoint
@@ -192,17 +195,21 @@ def _links(points: DataFrame) -> DataFrame:
     return links.union(hot.applyInPandas(_link_block, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id, the smallest id of the row's component."""
-    rows = checkpoint(fingerprints(docs))
+def _named(rows: DataFrame) -> DataFrame:
+    """fp, comp (a fingerprint that stands for the component) and component_id of every fingerprint."""
     points = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(_links(points))
     points = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("comp", F.coalesce("root", "fp"))
     # Cut on both sides of the group: a component of very many fingerprints, or a fingerprint of very many rows, can then be split.
     points = checkpoint(points)
     names = checkpoint(points.groupBy("comp").agg(F.min("first").alias("component_id")))
-    named = checkpoint(points.join(names, "comp").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return checkpoint(points.join(names, "comp").select("fp", "comp", "component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id, the smallest id of the row's component."""
+    rows = checkpoint(fingerprints(docs))
+    return rows.join(_named(rows), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp) -> F.Column:
@@ -210,13 +217,30 @@ def hex_digits(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows whose id names their component, once; rows without an id stay.
+    """One row of every component: the smallest id, at a tie the smallest hash of the text; ids that are null come last.
 
-    Texts are shuffled once, by id, next to the surviving ids.
+    Rows of equal id and text are copies of each other; which of them stays is
+    decided by a hash of all columns. Texts are shuffled once, next to the keys
+    of the rows that stay.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept"))
-    order = Window.partitionBy("__kept").orderBy(*(F.xxhash64(F.col(f"`{c}`")) for c in docs.columns))
-    once = rows.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
-    return once.union(docs.where(F.col("doc_id").isNull()))
+    marked = lambda t: (fingerprint(t), hashlib.md5(t or b"").digest())
+    rows = checkpoint(per_text(texts(docs), "doc_id long, fp long, mark binary", lambda: marked))
+    keys = rows.join(_named(rows).select("fp", "comp"), "fp").groupBy("comp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark", "n"))
+    kept = checkpoint(keys.groupBy("comp").agg(first.alias("m")).select("m.doc_id", "m.mark", "m.n"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("mark"))
+
+    def next_to(wanted: DataFrame) -> DataFrame:
+        w = wanted.select(F.col("doc_id").alias("id"), F.col("mark").alias("of"))
+        return whole.join(w, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
+
+    alone = next_to(kept.where("n = 1")).select("row.*")
+    copies = kept.where("n > 1")
+    count = copies.count()
+    if not count:
+        return alone
+    # An aggregate, not a window: copies of one row are reduced before they are shuffled.
+    found = next_to(F.broadcast(copies) if count <= BROADCAST_KEYS else copies)
+    one = found.groupBy("doc_id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.union(one.select("row.*"))

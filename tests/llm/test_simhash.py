@@ -95,4 +95,10 @@ def test_keep_one_and_awkward_rows(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.fp) for r in kept.collect()) == [(0, "n"), (2, "l"), (3, "o"), (7, None)]
+    # Copies without an id are one component; one id over two texts is two; columns of any name.
+    rows = [(None, "some text without an id", "p"), (None, "some text without an id", "q"), (5, "first of two texts", "r"), (5, "quite a second one here", "s"), (6, "First of two texts", "t")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, mark string, n int, id int, row int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text.split()[0]) for r in kept.collect()) == [(0, "some"), (5, "first"), (5, "quite")]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
