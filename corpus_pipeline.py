@@ -8,32 +8,22 @@ the columns of the documents.
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from incidentkit.llm import byte_bpe, decontaminate, near_texts, quality, secret_ledger
+from incidentkit.llm import byte_bpe, decontaminate, quality, secret_ledger, simhash
 from incidentkit.llm.common import table
 from incidentkit.llm.queries import QUALITY_CUT
 from incidentkit.session import scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of at least QUALITY_CUT; texts are filtered where they are read."""
-    held = spark.sparkContext.broadcast(quality.fit(docs, table(spark, sf_dir, "labels")))
-    place = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column(place).cast(pa.binary())
-            keep = [bool(s >= QUALITY_CUT) for at in range(0, batch.num_rows, 256) for s in held.value.scores(column.slice(at, 256).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """Documents with a score of at least QUALITY_CUT."""
+    return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")), QUALITY_CUT)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard of five-word shingles 0.8 or more), the one with the smallest id."""
-    return near_texts.keep_one(docs)
+    """One document of each group of near-duplicates (fingerprints of four-word shingles linked at four bits), the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
