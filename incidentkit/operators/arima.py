@@ -2,7 +2,10 @@
 
 A long autoregression gives the innovations; the model is then a regression on
 its lags and on lagged innovations (Hannan and Rissanen, 1982). Seasonal orders
-add the seasonal lags to the regression. Estimates differ from a likelihood fit.
+add the seasonal lags to the regression. A single model with a moving-average
+part is then refined by Gauss-Newton steps on its own innovations, which is the
+conditional least-squares fit. Grids stop at the regression. Estimates differ
+from a likelihood fit.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from incidentkit.operators import least_squares as ls
+from incidentkit.operators import innovations as inn, least_squares as ls
 from incidentkit.operators.aggregates import error_metrics
 from incidentkit.operators.windows import along
 from incidentkit.session import checkpoint
@@ -160,20 +163,40 @@ def _forecaster(size: int, choices: Sequence[Sequence[int]]):
     return forecasts
 
 
-def _aic_scorer(size: int, choices: Sequence[Sequence[int]]):
-    @F.pandas_udf("array<double>")
-    def aic(gram: pd.Series) -> pd.Series:
-        g = ls.square(gram, size)
-        n = g[:, 1, 1]
-        out = []
-        for used in choices:
-            _, rss, _ = ls.solve(g, 0, used)
-            with np.errstate(all="ignore"):
-                score = n * np.log(np.maximum(rss, 1e-300) / n) + 2 * len(used)
-            out.append(np.where(n >= ROWS_PER_COEFFICIENT * max(1, len(used)), score, -np.inf))
-        return pd.Series(list(np.stack(out, axis=1)))
+def _aic(g: np.ndarray, used: Sequence[int]) -> np.ndarray:
+    """n ln(rss / n) + 2k per series; minus infinity where rows are too few."""
+    n = g[:, 1, 1]
+    _, rss, _ = ls.solve(g, 0, used)
+    with np.errstate(all="ignore"):
+        score = n * np.log(np.maximum(rss, 1e-300) / n) + 2 * len(used)
+    return np.where(n >= ROWS_PER_COEFFICIENT * max(1, len(used)), score, -np.inf)
+
 
-    return aic
+def _stacked(series: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Series side by side, left-aligned, and their lengths."""
+    sizes = np.array([len(w) for w in series])
+    out = np.zeros((len(series), int(sizes.max(initial=0))))
+    for i, w in enumerate(series):
+        out[i, : len(w)] = w
+    return out, sizes
+
+
+def _fit_stacked(series: Sequence[np.ndarray], order: Order):
+    """(coefficients, sum of squares, innovations, rows, enough) of one order for differenced series."""
+    ar, ma = order.ar, order.ma
+    columns = ["_one", *[f"_l{k}" for k in ar], *[f"_m{k}" for k in ma]]
+    used = _used(order, columns)
+    g = np.stack([inn.gram(w, ar, ma, _long_lags(ma) if ma else 0) for w in series])
+    n = g[:, 1, 1]
+    enough = n >= ROWS_PER_COEFFICIENT * max(1, len(used))
+    beta, rss, _ = ls.solve(g, 0, used)
+    w, sizes = _stacked(series)
+    if not ma:
+        return beta, rss, np.zeros_like(w), n, enough
+    start = beta.copy()
+    start[~enough] = np.nan
+    beta, rss, shocks = inn.refined(w, sizes, ar, ma, order.constant, start)
+    return beta, rss, shocks, np.maximum(sizes - max([0, *ar]), 0), enough
 
 
 def walk_forward_orders(
@@ -231,7 +254,39 @@ def _status(column: str) -> Column:
 def walk_forward(
     df: DataFrame, order: Order, n: int = 12, keys: Sequence[str] = KEYS, ts: str = "ts", y: str = "y"
 ) -> DataFrame:
-    return walk_forward_orders(df, [order], n, keys, ts, y)
+    """Like :func:`walk_forward_orders` for one order; a moving-average part is refined at every origin."""
+    if not order.ma:
+        return walk_forward_orders(df, [order], n, keys, ts, y)
+    poly = order.polynomial()
+    base = np.concatenate([[0.0], -poly[1:]])
+
+    @F.pandas_udf("array<struct<yhat: double, status: string>>")
+    def ahead(values: pd.Series) -> pd.Series:
+        """Forecast of each of the last n values from the ones before it, oldest first."""
+        out = []
+        for v in values:
+            level = np.array([np.nan if x is None else x for x in v], dtype=float)
+            origins = range(max(0, len(level) - n), len(level))
+            series = [inn.differenced(level[:t], poly) for t in origins]
+            beta, rss, shocks, _, enough = _fit_stacked(series, order)
+            rows = []
+            for t, w, b, r, e, ok in zip(origins, series, beta, rss, shocks, enough, strict=True):
+                fits = ok and np.isfinite(r) and np.isfinite(b).all() and len(w) >= max([0, *order.ar, *order.ma])
+                if not fits:
+                    rows.append({"yhat": None, "status": "singular" if ok else "short"})
+                    continue
+                c0, phi, theta = (b[0], b[1 : 1 + len(order.ar)], b[1 + len(order.ar) :]) if order.constant else (0.0, b[: len(order.ar)], b[len(order.ar) :])
+                step = c0 + sum(f * w[len(w) - lag] for f, lag in zip(phi, order.ar, strict=True)) + sum(f * e[len(w) - lag] for f, lag in zip(theta, order.ma, strict=True))
+                past = sum(c * level[t - lag] for lag, c in enumerate(base) if lag and c)
+                rows.append({"yhat": float(step + past), "status": "ok"})
+            out.append(rows)
+        return pd.Series(out)
+
+    times = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(y).cast("double").alias("y"))))
+    held = df.groupBy(*keys).agg(times.alias("_h")).withColumn("_f", ahead(F.transform("_h", lambda h: h["y"])))
+    late = F.slice("_h", F.greatest(F.size("_h") - n + 1, F.lit(1)), n)
+    each = held.select(*keys, F.inline(F.arrays_zip(late.alias("h"), F.col("_f").alias("f"))))
+    return each.select(*keys, F.col("h.t").alias(ts), F.lit(order.name).alias("order"), F.col("h.y").alias("y"), "f.yhat", "f.status")
 
 
 def order_grid(
@@ -270,31 +325,35 @@ def seasonal_grid_aic(
     y: str = "y",
 ) -> DataFrame:
     """AIC = n ln(rss / n) + 2k of every order on the whole series, its status, and the best one."""
-    parts = []
-    groups = sorted({(o.d, o.D, o.s) for o in orders})
-    # Every differencing reads the series; what lies behind it runs once.
-    df = checkpoint(df.select(*keys, ts, y))
-    for d, D, s in groups:
-        group = [o for o in orders if (o.d, o.D, o.s) == (d, D, s)]
-        ar = sorted({k for o in group for k in o.ar})
-        ma = sorted({k for o in group for k in o.ma})
-        design, columns = _design(df, ar, ma, group[0], keys, ts, y, 0)
-        grams = ls.product_sums(design.where(_complete(columns)), keys, ["_w", *columns])
-        size = 1 + len(columns)
-        choices = [_used(o, columns) for o in group]
+    groups: dict[tuple[int, int, int], list[int]] = {}
+    for i, o in enumerate(orders):
+        groups.setdefault((o.d, o.D, o.s), []).append(i)
 
-        aic = _aic_scorer(size, choices)
-        names = F.array(*[F.lit(o.name) for o in group])
-        parts.append(
-            grams.select(*keys, F.posexplode(aic("gram")).alias("_o", "aic"))
-            .select(*keys, F.get(names, F.col("_o")).alias("order"), "aic")
-        )
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    asked = df.select(*keys).distinct().withColumn("order", F.explode(F.array(*[F.lit(o.name) for o in orders])))
-    out = asked.join(found, [*keys, "order"], "left").select(*keys, "order", _estimate("aic", "aic"), _status("aic"))
-    return _mark_best(out, "aic", keys)
+    @F.pandas_udf("array<double>")
+    def every(values: pd.Series) -> pd.Series:
+        """All orders of all series; a differencing's lags and sums are made once per series."""
+        series = [np.array([np.nan if x is None else x for x in v], dtype=float) for v in values]
+        out = np.full((len(series), len(orders)), -np.inf)
+        for places in groups.values():
+            group = [orders[i] for i in places]
+            ar, ma = sorted({k for o in group for k in o.ar}), sorted({k for o in group for k in o.ma})
+            columns = ["_one", *[f"_l{k}" for k in ar], *[f"_m{k}" for k in ma]]
+            poly = group[0].polynomial()
+            grams = np.stack([inn.gram(inn.differenced(v, poly), ar, ma, _long_lags(ma) if ma else 0) for v in series])
+            for i, o in zip(places, group, strict=True):
+                out[:, i] = _aic(grams, _used(o, columns))
+        return pd.Series(list(out))
+
+    found = _arrays(df, keys, ts, y).select(*keys, F.posexplode(every("_values")).alias("_o", "aic"))
+    names = F.array(*[F.lit(o.name) for o in orders])
+    named = found.select(*keys, F.get(names, F.col("_o")).alias("order"), "aic")
+    return _mark_best(checkpoint(named.select(*keys, "order", _estimate("aic", "aic"), _status("aic"))), "aic", keys)
+
+
+def _arrays(df: DataFrame, keys, ts, y) -> DataFrame:
+    """(keys, _values, _last): the values of every series in order; as many as the calendar has periods."""
+    held = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(y).cast("double").alias("y"))))
+    return df.groupBy(*keys).agg(held.alias("_h")).select(*keys, F.transform("_h", lambda h: h["y"]).alias("_values"), F.element_at("_h", -1)["t"].alias("_last"))
 
 
 def seasonal_orders(values: Sequence[int], s: int, constant: bool = False) -> list[Order]:
@@ -311,52 +370,32 @@ def arima_fit(
     (keys, order, coef, sigma2, nobs, last_ts, last_y, last_e), arrays newest
     first. Plain columns, so Parquet keeps a fit.
     """
-    design, columns = _design(df, order.ar, order.ma, order, keys, ts, y, 0)
-    used = _used(order, columns)
-    names = [columns[u - 1] for u in used]
-    grams = ls.product_sums(design.where(_complete(names)), keys, ["_w", *columns] if names else ["_w", "_one"])
-    size = 1 + (len(columns) if names else 1)
+    memory = max([1, *[len(order.polynomial()) - 1 + k for k in [0, *order.ar]]])
+    depth = max(memory, *[1, *order.ma])
+    k = len(order.ar) + len(order.ma) + order.constant
+    poly = order.polynomial()
 
-    @F.pandas_udf("coef array<double>, sigma2 double")
-    def fitted(gram: pd.Series) -> pd.DataFrame:
-        g = ls.square(gram, size)
-        beta, rss, _ = ls.solve(g, 0, used)
-        n = g[:, 1, 1]
-        enough = n >= ROWS_PER_COEFFICIENT * max(1, len(used))
-        good = enough & np.isfinite(rss)
+    @F.pandas_udf("coef array<double>, sigma2 double, nobs bigint, last_y array<double>, last_e array<double>, status string")
+    def fitted(values: pd.Series) -> pd.DataFrame:
+        levels = [np.array([np.nan if x is None else x for x in v], dtype=float) for v in values]
+        series = [inn.differenced(v, poly) for v in levels]
+        beta, rss, shocks, n, enough = _fit_stacked(series, order)
+        good = enough & np.isfinite(rss) & np.isfinite(beta).all(axis=1)
+        ends = [np.concatenate([np.zeros(depth), e[: len(w)]])[::-1][:depth] for e, w in zip(shocks, series, strict=True)]
         return pd.DataFrame(
             {
-                "coef": [b if ok else None for b, ok in zip(beta, good)],
-                "sigma2": np.where(good, np.maximum(rss, 0) / np.maximum(n - len(used), 1), np.nan),
+                "coef": [list(b) if ok else None for b, ok in zip(beta, good, strict=True)],
+                "sigma2": [max(r, 0.0) / max(m - k, 1) if ok else None for r, m, ok in zip(rss, n, good, strict=True)],
+                "nobs": n.astype("int64"),
+                "last_y": [list(v[::-1][:depth]) for v in levels],
+                "last_e": [list(np.where(np.isfinite(e), e, 0.0)) for e in ends],
+                "status": np.where(good, "ok", np.where(enough, "singular", "short")),
             }
         )
 
-    solved = grams.select(*keys, fitted("gram").alias("_f"), F.get("gram", F.lit(size)).alias("_n"))
-    memory = max([1, *[len(order.polynomial()) - 1 + k for k in [0, *order.ar]]])
-    shocks = max([1, *order.ma])
-    back = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
-    ends = design.select(*keys, ts, "_e") if order.ma else design.select(*keys, ts, F.lit(0.0).alias("_e"))
-    late = (
-        df.select(*keys, ts, F.col(y).cast("double").alias("_y"))
-        .join(ends, [*keys, ts], "left")
-        .withColumn("_r", F.row_number().over(back))
-        .where(F.col("_r") <= max(memory, shocks))
-        .groupBy(*keys)
-        .agg(F.max(ts).alias("last_ts"), F.array_sort(F.collect_list(F.struct("_r", "_y", "_e"))).alias("_t"))
-    )
     # Every series has a row; without an estimate its coefficients are null and ``status`` says why.
-    short = F.col("_n").isNull() | (F.col("_n") < ROWS_PER_COEFFICIENT * max(1, len(used)))
-    return late.join(solved, list(keys), "left").select(
-        *keys,
-        F.lit(order.name).alias("order"),
-        F.col("_f.coef").alias("coef"),
-        F.col("_f.sigma2").alias("sigma2"),
-        F.col("_n").cast("bigint").alias("nobs"),
-        "last_ts",
-        F.transform("_t", lambda t: t["_y"]).alias("last_y"),
-        F.transform("_t", lambda t: F.coalesce(t["_e"], F.lit(0.0))).alias("last_e"),
-        F.when(F.col("_f.coef").isNotNull(), "ok").when(short, "short").otherwise("singular").alias("status"),
-    )
+    found = _arrays(df, keys, ts, y).select(*keys, "_last", fitted("_values").alias("f"))
+    return found.select(*keys, F.lit(order.name).alias("order"), "f.coef", "f.sigma2", "f.nobs", F.col("_last").alias("last_ts"), "f.last_y", "f.last_e", "f.status")
 
 
 def arima_forecast(
@@ -418,19 +457,36 @@ def apply_fit(
     """One-step forecasts of every period with saved coefficients: (keys, ts, y, yhat, residual).
 
     ``df`` is the history with new observations appended. The innovations of a
-    moving-average part are rebuilt from the rows up to the fit's last period.
+    moving-average part follow from the coefficients, from the start of the
+    history on.
     """
-    known = fit.select(*keys, "coef", "last_ts")
-    base = _differenced(df, order, keys, ts, y).join(known, list(keys))
-    if order.ma:
-        base = _innovations(base, _long_lags(order.ma), F.col(ts) <= F.col("last_ts"), keys, ts)
-        base = _with_lags(base, "_e", order.ma, "_m", keys, ts)
-    base = _with_lags(base, "_w", order.ar, "_l", keys, ts).withColumn("_one", F.lit(1.0))
-    names = [*(["_one"] if order.constant else []), *[f"_l{k}" for k in order.ar], *[f"_m{k}" for k in order.ma]]
-    yhat = _linear("coef", names) + F.col("_base")
-    return base.where(_complete(names)).select(
-        *keys, ts, "y", yhat.alias("yhat"), (F.col("y") - yhat).alias("residual")
-    )
+    known = fit.select(*keys, "coef")
+    if not order.ma:
+        base = _with_lags(_differenced(df, order, keys, ts, y).join(known, list(keys)), "_w", order.ar, "_l", keys, ts).withColumn("_one", F.lit(1.0))
+        names = [*(["_one"] if order.constant else []), *[f"_l{k}" for k in order.ar]]
+        yhat = _linear("coef", names) + F.col("_base")
+        return base.where(_complete(names)).select(*keys, ts, "y", yhat.alias("yhat"), (F.col("y") - yhat).alias("residual"))
+    poly, start = order.polynomial(), max([0, *order.ar])
+
+    @F.pandas_udf("array<double>")
+    def shocks(values: pd.Series, coef: pd.Series) -> pd.Series:
+        """Innovation of every period; none before the model has its lags, or without coefficients."""
+        out = []
+        for v, c in zip(values, coef, strict=True):
+            level = np.array([np.nan if x is None else x for x in v], dtype=float)
+            w = inn.differenced(level, poly)
+            held = np.full(len(level), np.nan)
+            if c is not None and len(w) > start:
+                e, _ = inn._recursion(np.nan_to_num(w)[None], np.array([len(w)]), order.ar, order.ma, order.constant, np.asarray(c, float)[None], False)
+                held[len(level) - len(w) + start :] = e[0, start:]
+            out.append([None if np.isnan(x) else float(x) for x in held])
+        return pd.Series(out)
+
+    times = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(y).cast("double").alias("y"))))
+    rows = df.groupBy(*keys).agg(times.alias("_h")).join(known, list(keys))
+    found = rows.withColumn("_e", shocks(F.transform("_h", lambda h: h["y"]), "coef"))
+    each = found.select(*keys, F.inline(F.arrays_zip(F.transform("_h", lambda h: h["t"]).alias(ts), F.transform("_h", lambda h: h["y"]).alias("y"), F.col("_e").alias("residual"))))
+    return each.where("residual IS NOT NULL").select(*keys, ts, "y", (F.col("y") - F.col("residual")).alias("yhat"), "residual")
 
 
 def ar_fit(df: DataFrame, p: int, d: int = 0, D: int = 0, s: int = 0, **names) -> DataFrame:

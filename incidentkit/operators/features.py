@@ -51,12 +51,8 @@ def tfidf(
     docs = df.agg(F.count(F.lit(1)).cast("double")).scalar()
     idf = terms.select("term", (F.log((docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     tf = 1 + F.log("n") if sublinear else F.col("n").cast("double")
-    if max_features:
-        # A capped vocabulary is small by its limit, so other terms go before the second count.
-        kept = unfold(df, tokens, "term", doc).join(idf, "term")
-        weighed = kept.groupBy(doc, "term", "idf").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        weighed = beside(counts, idf, ["term"])
+    # The counts are read twice out of one shuffle. A capped vocabulary is small by its limit.
+    weighed = counts.join(idf, "term") if max_features else beside(counts, idf, ["term"])
     raw = weighed.select(doc, "term", (tf * F.col("idf")).alias("w"))
     # The distinct terms of one document: bounded by its length.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
@@ -122,25 +118,41 @@ def chi2_terms(
     """Per class the terms with the highest chi-square of one class against the rest.
 
     Observed is the summed weight in the class, expected the class share of the
-    term's total. Every class scores every term, also terms it never uses; the
-    classes are unfolded from one small array, then observed sums are joined in.
+    term's total. Every class scores every term, also terms it never uses; what
+    those score grows with the term's total alone. So a class needs its own
+    terms, and beside them the first few of the list of all terms by total that
+    it does not have; these lie in the gaps between the ranks of its own terms.
     """
     joined = weights.join(labels.select(doc, label), doc)
-    # Classes times terms: small, and read twice.
     observed = checkpoint(joined.groupBy(label, "term").agg(F.sum("weight").alias("observed")))
-    totals = observed.groupBy("term").agg(F.sum("observed").alias("total"))
+    terms = observed.groupBy("term").agg(F.sum("observed").alias("total")).withColumn("words", F.size(F.split("term", " ")))
+    ranked = None
+    limits = {1: singles, 2: pairs}
+    for words in limits:
+        one = global_rank(terms.where(F.col("words") == words), F.desc("total"), F.col("term"), name="place")
+        ranked = one if ranked is None else ranked.unionByName(one)
+    ranked = checkpoint(ranked)
     classes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    shares = classes.agg(
-        F.collect_list(F.struct(F.col(label).alias("label"), "n")).alias("l"), F.sum("n").alias("all")
-    ).select(F.transform("l", lambda s: F.struct(s["label"].alias(label), (s["n"] / F.col("all")).alias("share"))))
-    grid = totals.withColumn("_c", shares.scalar()).select("term", "total", F.inline("_c"))
+    classes = checkpoint(classes.withColumn("share", F.col("n") / classes.agg(F.sum("n")).scalar()).select(label, "share"))
+    own = checkpoint(beside(observed, ranked, ["term"]))
+
+    # Place 0 and a place behind the last stand for the ends of the list, so every class has gaps.
+    sides = F.explode(F.array(*[F.struct(F.lit(w).alias("words"), F.lit(most).alias("most")) for w, most in limits.items()]))
+    starts = classes.select(label, sides.alias("side")).select(label, "side.words", "side.most", F.lit(0).cast("bigint").alias("place"))
+    most = F.when(F.col("words") == 1, F.lit(singles)).otherwise(F.lit(pairs))
+    places = starts.unionByName(own.select(label, "words", most.alias("most"), F.col("place").cast("bigint").alias("place")))
+    along = Window.partitionBy(label, "words").orderBy("place")
+    gaps = places.withColumns({"next": F.lead("place").over(along), "before": F.col("place") - F.row_number().over(along) + 1})
+    gaps = gaps.where((F.col("before") < F.col("most")) & (F.col("next").isNull() | (F.col("next") > F.col("place") + 1)))
+    last = F.least(F.coalesce(F.col("next") - 1, F.col("place") + F.col("most")), F.col("place") + F.col("most"))
+    absent = gaps.select(label, "words", F.explode(F.sequence(F.col("place") + 1, last)).alias("place"))
+    absent = absent.join(ranked, ["words", "place"]).select(label, "term", "words", "total", F.lit(0.0).alias("observed"))
+
+    every = own.select(label, "term", "words", "total", "observed").unionByName(absent).join(classes, label)
     expected = F.col("share") * F.col("total")
-    gap = F.coalesce("observed", F.lit(0.0)) - expected
-    scored = grid.join(observed, [label, "term"], "left").select(
-        label,
-        "term",
-        F.size(F.split("term", " ")).alias("words"),
-        (gap * gap / expected + gap * gap / ((1 - F.col("share")) * F.col("total"))).alias("chi2"),
+    gap = F.col("observed") - expected
+    scored = every.select(
+        label, "term", "words", (gap * gap / expected + gap * gap / ((1 - F.col("share")) * F.col("total"))).alias("chi2")
     )
     # A literal rank limit lets every map task drop all but its own best terms.
     best = Window.partitionBy(label, "words").orderBy(F.col("chi2").desc(), "term")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from incidentkit.operators.beside import beside
 from incidentkit.operators.aggregates import best_per_group, keep_repeated
 from incidentkit.operators.joins import map_or_keep
-from incidentkit.operators.similarity import cosine_self_join
+from incidentkit.operators.similarity import cosine_links
 from incidentkit.session import checkpoint
 
 
@@ -64,7 +64,7 @@ def connected_groups(pairs: DataFrame, a: str = "id1", b: str = "id2") -> DataFr
 def group_names(df: DataFrame, column: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """Add ``group``: the smallest of the similar names, or the name itself."""
     names = df.select(F.col(column).alias("name")).where(F.col("name").isNotNull()).distinct()
-    groups = connected_groups(cosine_self_join(names, "name", "name", n, threshold))
+    groups = connected_groups(cosine_links(names, "name", "name", n, threshold))
     return map_or_keep(df.withColumn("group", F.col(column)), groups, "group", "name", "group")
 
 

@@ -8,11 +8,14 @@ join key, :func:`incidentkit.operators.beside.beside` does it instead.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from incidentkit.functions import dates, text as T
 from incidentkit.operators.aggregates import top_counts
+from incidentkit.operators.template_index import Index, candidates, ordered
+from incidentkit.session import checkpoint
 
 
 def keep_top_categories(df: DataFrame, key: str, n: int = 50) -> DataFrame:
@@ -68,61 +71,35 @@ def open_backlog(
     )
 
 
-def match_templates(
-    tickets: DataFrame,
-    templates: DataFrame,
-    keys: Sequence[str],
-    ticket_id: str = "incident_id",
-    request: str = "request",
-) -> DataFrame:
+def match_templates(tickets: DataFrame, templates: DataFrame, keys: Sequence[str], request: str = "request") -> DataFrame:
     """Description captured by the first matching template of the ticket's kind and category.
 
     ``templates`` has the keys, ``template_id`` and ``regex``. Longest pattern
-    first, then lowest id. Without a match the capture is null. The templates of
-    a key, which people write, become one ordered array, so a ticket meets one
-    row and its text is neither copied nor joined back.
+    first, then lowest id. Without a match the capture is null. Which templates
+    can match is found by their fixed parts, see
+    :mod:`incidentkit.operators.template_index`, so the time of a text hardly
+    grows with the number of templates.
     """
-    ordered = templates.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct((-F.length("regex")).alias("size"), "template_id", "regex"))).alias("_all")
-    )
-    listed = tickets.join(ordered, list(keys), "left").withColumn("_all", F.coalesce("_all", F.array().cast(ordered.schema["_all"].dataType)))
-    found = _first_template(listed, F.col("_all"), F.lower(F.col(request)))
-    return found.select(*tickets.columns, "template_id", "description")
+    listed = checkpoint(ordered(templates, keys))
+    index = Index([t.regex for t in listed.first().all])
+    lowered = F.lower(F.col(request))
+    found = tickets.withColumn("_text", lowered).withColumn("_may", candidates(F.col("_text"), index)).withColumn("_all", listed.scalar())
+    same = lambda t: reduce(lambda x, y: x & y, [t[k] == F.col(k) for k in keys], F.lit(True))
+    return _first_template(found, same).drop("_all", "_may", "_text")
 
 
-def match_any_template(
-    tickets: DataFrame,
-    templates: DataFrame,
-    ticket_id: str = "incident_id",
-    request: str = "request",
-) -> DataFrame:
-    """Like :func:`match_templates` without keys: every template may match every ticket.
+def match_any_template(tickets: DataFrame, templates: DataFrame, request: str = "request") -> DataFrame:
+    """Like :func:`match_templates` without keys: every template may match every ticket."""
+    return match_templates(tickets, templates, [], request)
 
-    The ordered pattern list travels as one array value, so tickets stay where
-    they are; the fold over it tests no pattern after a hit.
-    """
-    ordered = templates.agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((-F.length("regex")).alias("size"), "template_id", "regex")
-            )
-        ).alias("all")
-    )
-    lowered = F.lower(F.col(request))
-    listed = tickets.withColumn("_all", ordered.scalar())
-    return _first_template(listed, F.col("_all"), lowered).drop("_all")
 
-
-def _first_template(df: DataFrame, ordered: Column, text: Column) -> DataFrame:
-    """template_id and capture of the first pattern of an ordered array that matches the text."""
+def _first_template(df: DataFrame, fits) -> DataFrame:
+    """template_id and capture of the first pattern that fits the row and matches its text; no pattern is tested after a hit."""
     pattern = lambda t: F.concat(F.lit("(?d)"), t["regex"])
-    none = F.lit(-1)
-    hit = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.size(ordered) - 1, F.lit(0))),
-        none,
-        lambda held, i: F.when(held >= 0, held).when(F.regexp_like(text, pattern(F.get(ordered, i))), i).otherwise(held),
-    )
-    found = df.withColumn("_at", hit).withColumn("_hit", F.when(F.col("_at") >= 0, F.get(ordered, F.col("_at"))))
+    text, listed = F.col("_text"), F.col("_all")
+    test = lambda t: fits(t) & F.regexp_like(text, pattern(t))
+    hit = F.aggregate("_may", F.lit(-1), lambda held, i: F.when(held >= 0, held).when(test(F.get(listed, i)), i).otherwise(held))
+    found = df.withColumn("_at", hit).withColumn("_hit", F.when(F.col("_at") >= 0, F.get(listed, F.col("_at"))))
     description = F.when(F.col("_hit").isNotNull(), T.strip(T.capture(text, pattern(F.col("_hit")))))
     return found.withColumn("template_id", F.col("_hit.template_id")).withColumn("description", description).drop("_at", "_hit")
 

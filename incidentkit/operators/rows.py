@@ -44,6 +44,10 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
+#: Rows of one hash prefix that are ranked next to each other at most.
+RANKED = 100_000
+
+
 def stable_hash(key: Column, seed: int = 0) -> Column:
     """Hex digest of key and seed: the same on every engine and every run."""
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
@@ -52,33 +56,26 @@ def stable_hash(key: Column, seed: int = 0) -> Column:
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``min(n, rows)`` rows without replacement, repeatable for one seed.
 
-    The rows with the n smallest hashes. A histogram over the first four hex
-    digits finds the hash prefix that holds rank n; prefixes below it are kept
-    whole, and only the rows of that one prefix are ranked.
+    The rows with the n smallest hashes. A histogram over four hex digits finds
+    the hash prefix that holds rank n; while that prefix has more than RANKED
+    rows, four more digits of it are counted. Prefixes below it are kept whole,
+    and only the rows of the last one are ranked.
     """
-    hashed = df.withColumn("_hash", stable_hash(F.col(key), seed)).withColumn(
-        "_prefix", F.substring("_hash", 1, 4)
-    )
-    in_order = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        hashed.groupBy("_prefix")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_upto", F.sum("_rows").over(in_order))
-        .where(F.col("_upto") - F.col("_rows") < n)
-        .agg(
-            F.max(
-                F.struct("_prefix", (F.lit(n) - (F.col("_upto") - F.col("_rows"))).alias("take"))
-            ).alias("edge")
-        )
-    )
-    cut = hashed.withColumn("_edge", edge.scalar())
-    whole = cut.where(F.col("_prefix") < F.col("_edge._prefix"))
-    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash", key))
-    rest = (
-        cut.where(F.col("_prefix") == F.col("_edge._prefix"))
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= F.col("_edge.take"))
-    )
+    hashed = df.withColumn("_hash", stable_hash(F.col(key), seed))
+    prefix, take, digits = "", n, 0
+    while digits < 32:
+        digits += 4
+        found = hashed.where(F.col("_hash").startswith(prefix)).groupBy(F.substring("_hash", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("rows"))
+        in_order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # 16 ** 4 rows at most
+        edge = found.withColumn("upto", F.sum("rows").over(in_order)).where(F.col("upto") - F.col("rows") < take).orderBy(F.desc("p")).first()
+        if edge is None:
+            return df.limit(0)
+        prefix, take = edge.p, take - (edge.upto - edge.rows)
+        if edge.rows <= RANKED:
+            break
+    whole = hashed.where(F.substring("_hash", 1, digits) < prefix)
+    rank = F.row_number().over(Window.partitionBy(F.substring("_hash", 1, digits)).orderBy("_hash", key))
+    rest = hashed.where(F.col("_hash").startswith(prefix)).withColumn("_rank", rank).where(F.col("_rank") <= take)
     return whole.select(*df.columns).unionByName(rest.select(*df.columns))
 
 

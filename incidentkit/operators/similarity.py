@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from incidentkit.functions import text as T
+from incidentkit.operators.beside import beside
 from incidentkit.operators.features import tfidf
+from incidentkit.operators.ranking import global_rank
 from incidentkit.operators.rows import stable_hash
 from incidentkit.session import checkpoint
 
@@ -25,9 +27,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0))
 
 
+#: Pivots at most: with vectors of 150 numbers they are 2.5 MB in every task.
+MOST_PIVOTS = 2048
+#: Steps into which angles from 0 to a half turn are counted.
+BANDS = 256
+
+
 def _unit(df: DataFrame, key: str, vector: str, order: str | None = None) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     size = F.sqrt(dot(v, v))
+    if order and df.schema[order].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{order} is no column of whole numbers")
     rank = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
     return (
         df.select(F.col(key).alias("id"), v.alias("v"), size.alias("size"), rank.alias("o"))
@@ -36,6 +46,119 @@ def _unit(df: DataFrame, key: str, vector: str, order: str | None = None) -> Dat
     )
 
 
+class _Cells:
+    """Pivots with the reach of the threshold; places vectors by their angles to the pivots."""
+
+    def __init__(self, centers: np.ndarray, reach: float):
+        self.centers, self.reach = centers, reach
+        #: By cell and band: may a right vector of that angle have a partner in the cell?
+        self.open = np.zeros((len(centers), BANDS), bool)
+
+    def angles(self, vectors: pd.Series) -> np.ndarray:
+        if not len(vectors):
+            return np.empty((0, len(self.centers)))
+        return np.arccos(np.clip(np.stack(vectors.to_numpy()) @ self.centers.T, -1.0, 1.0))
+
+    def nearest(self, batch: pd.DataFrame) -> pd.DataFrame:
+        """Left vectors in the cell of their nearest pivot."""
+        a = self.angles(batch["v"])
+        cell, angle = (a.argmin(axis=1), a.min(axis=1)) if len(batch) else (np.empty(0), np.empty(0))
+        return batch.assign(cell=cell.astype("int32"), band=_band(angle))
+
+    def reachable(self, batch: pd.DataFrame) -> pd.DataFrame:
+        """Right vectors in every cell that may hold a partner.
+
+        A partner is within reach, so its angle to the pivot differs by no more
+        than that; and the pivot is the nearest of the partner, so it is not
+        further from the right vector than any other pivot by twice the reach.
+        """
+        a = self.angles(batch["v"])
+        near = self.open[np.arange(len(self.centers))[None, :], _band(a)]
+        if len(batch):
+            near &= a <= a.min(axis=1, keepdims=True) + 2 * self.reach
+        row, cell = np.nonzero(near)
+        return batch.iloc[row].assign(cell=cell.astype("int32"), band=_band(a[row, cell]))
+
+
+def _chunks(batches, rows: int = 1024):
+    """Batches of a size at which the angles to all pivots take little room."""
+    for batch in batches:
+        for at in range(0, max(1, len(batch)), rows):
+            yield batch.iloc[at : at + rows]
+
+
+def _spread(rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows, each the one that is furthest from those before it, so that every group of a few drawn rows gets one."""
+    chosen, closest = [0], rows @ rows[0]
+    while len(chosen) < min(n, len(rows)):
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, rows @ rows[chosen[-1]])
+    return rows[chosen]
+
+
+def _band(angle: np.ndarray) -> np.ndarray:
+    return np.minimum(angle * (BANDS / math.pi), BANDS - 1).astype("int32")
+
+
+def _parts(counts: DataFrame, block: int, wide: int) -> DataFrame:
+    """(cell, band, part, subs, low, high): neighbouring bands of a cell together hold about a block.
+
+    Bands further apart than ``wide`` are never in one part. A cell has BANDS rows at most. A part of more rows than a block, which then
+    is one band, is dealt into ``subs`` by a hash.
+    """
+    along = Window.partitionBy("cell").orderBy("band")
+    before = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    gap = (F.col("band") - F.lag("band").over(along) > wide).cast("int")
+    held = counts.select("cell", "band", "n", F.floor(before / block).alias("full"), F.coalesce(gap, F.lit(0)).alias("gap"))
+    gaps = F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    # Numbered by both, so that a part ends at a gap and after about a block.
+    parted = held.select("cell", "band", "n", (F.col("full") * (BANDS + 1) + gaps).cast("int").alias("part"))
+    each = Window.partitionBy("cell", "part")
+    return parted.select(
+        "cell", "band", "part",
+        F.ceil(F.sum("n").over(each) / block).cast("int").alias("subs"),
+        F.min("band").over(each).alias("low"), F.max("band").over(each).alias("high"),
+    )
+
+
+def block_pairs(left_parts: DataFrame, right_parts: DataFrame, reach: float) -> DataFrame:
+    """(cell, lp, ls, rp, rs): the blocks of a cell whose angles to the pivot are within reach of each other."""
+    step = math.pi / BANDS
+    one = left_parts.select("cell", F.col("part").alias("lp"), F.col("subs").alias("ln"), F.col("low").alias("l0"), F.col("high").alias("l1")).distinct()
+    two = right_parts.select("cell", F.col("part").alias("rp"), F.col("subs").alias("rn"), F.col("low").alias("r0"), F.col("high").alias("r1")).distinct()
+    wide = reach / step + 1
+    met = one.join(two, "cell").where((F.col("l0") - F.col("r1") <= wide) & (F.col("r0") - F.col("l1") <= wide))
+    zero = F.lit(0)
+    return met.select("cell", "lp", "rp", F.explode(F.sequence(zero, F.col("ln") - 1)).alias("ls"), "rn").select(
+        "cell", "lp", "ls", "rp", F.explode(F.sequence(zero, F.col("rn") - 1)).alias("rs")
+    )
+
+
+def _prepared(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str, threshold: float, pivots: int | None, block: int, first: str | None):
+    """Placed left rows, sent right rows and pairs of blocks; None without left vectors."""
+    lefts, rights = checkpoint(_unit(left, left_id, vector, first)), checkpoint(_unit(right, right_id, vector))
+    if pivots is None:
+        # So many that a cell holds as many rows of the smaller side as there are cells; a single block needs none.
+        smaller = min(lefts.count(), rights.count())
+        pivots = min(MOST_PIVOTS, math.isqrt(smaller)) if smaller > block else 1
+    # Four rows per pivot at most come to the driver, to choose those that lie far from each other.
+    drawn = lefts.orderBy(stable_hash(F.col("id")), "id").limit(4 * pivots if pivots > 1 else 1).select("v").collect()
+    if not drawn:
+        return None
+    cells = _Cells(_spread(np.array([r.v for r in drawn]), pivots), math.acos(max(-1.0, min(1.0, threshold))) + 1e-6)
+    left_type, right_type = (df.schema["id"].dataType.simpleString() for df in (lefts, rights))
+    placed = lefts.mapInPandas(lambda batches: map(cells.nearest, _chunks(batches)), f"id {left_type}, v array<double>, o bigint, cell int, band int")
+    counts = checkpoint(placed.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("n")))
+    wide = int(cells.reach * BANDS / math.pi) + 2
+    for c in counts.groupBy("cell").agg(F.collect_list("band").alias("bands")).collect():  # a row per pivot
+        for band in c.bands:
+            cells.open[c.cell, max(0, band - wide) : band + wide + 1] = True
+    sent = rights.mapInPandas(lambda batches: map(cells.reachable, _chunks(batches)), f"id {right_type}, v array<double>, o bigint, cell int, band int")
+    left_parts = checkpoint(_parts(counts, block, wide))
+    right_parts = checkpoint(_parts(sent.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("n")), block, wide))
+    return placed, sent, left_parts, right_parts, checkpoint(block_pairs(left_parts, right_parts, cells.reach))
+
+
 def cosine_join(
     left: DataFrame,
     right: DataFrame,
@@ -43,93 +166,39 @@ def cosine_join(
     right_id: str,
     vector: str,
     threshold: float,
-    pivots: int = 16,
+    pivots: int | None = None,
     block: int = 2048,
     first: str | None = None,
 ) -> DataFrame:
     """All pairs (left_id, right_id, score) with cosine above the threshold, exactly.
 
-    ``first`` names an integer column of the left side for callers that only want
-    the first left row (then lowest id) per right row: a block pair then yields
-    at most one pair per right vector, however many copies a group has.
+    ``first`` names a column of whole numbers of the left side for callers that
+    only want the first left row (then lowest id) per right row: a block pair
+    then yields at most one pair per right vector, however many copies a group
+    has.
 
     Angles obey the triangle inequality. Every left vector belongs to the cell
-    of its nearest pivot; a right vector is sent to the cells it can reach, that
-    is where its angle to the pivot is at most the cell's radius plus the
-    threshold angle. No pair above the threshold is missed and none is seen
-    twice. Cells of any size are cut into blocks on both sides; a block pair is
-    one bounded matrix product that yields only the pairs above the threshold.
+    of its nearest pivot; a right vector is sent to the cells it can reach. Both
+    sides of a cell are cut into blocks by their angle to the pivot, and only
+    blocks meet whose angles are within reach of each other. No pair above the
+    threshold is missed and none is seen twice. A block pair is one bounded
+    matrix product that yields only the pairs above the threshold.
     """
-    lefts, rights = _unit(left, left_id, vector, first), _unit(right, right_id, vector)
-    # A left side of few blocks needs few cells. Pivots are a fixed, small number of rows.
-    pivots = max(1, min(pivots, math.ceil(lefts.count() / block)))
-    chosen = lefts.orderBy(stable_hash(F.col("id")), "id").limit(pivots).select("v").collect()
     left_type = left.schema[left_id].dataType.simpleString()
     right_type = right.schema[right_id].dataType.simpleString()
     out = f"{left_id} {left_type}, {right_id} {right_type}, score double"
-    if not chosen:
+    ready = _prepared(left, right, left_id, right_id, vector, threshold, pivots, block, first)
+    if ready is None:
         return left.sparkSession.createDataFrame([], out)
-    centers = np.array([r.v for r in chosen])
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-
-    def angles(vectors: pd.Series) -> np.ndarray:
-        if not len(vectors):
-            return np.empty((0, len(centers)))
-        return np.arccos(np.clip(np.stack(vectors.to_numpy()) @ centers.T, -1.0, 1.0))
-
-    def nearest(batches):
-        for batch in batches:
-            a = angles(batch["v"])
-            batch["cell"] = a.argmin(axis=1).astype("int32") if len(batch) else np.empty(0, "int32")
-            batch["angle"] = a.min(axis=1) if len(batch) else np.empty(0)
-            yield batch
-
-    if pivots == 1:
-        # One cell that everything reaches.
-        placed = lefts.withColumns({"cell": F.lit(0), "angle": F.lit(math.pi)})
-        sent = rights.withColumn("cell", F.lit(0))
-    else:
-        placed = lefts.mapInPandas(nearest, f"id {left_type}, v array<double>, o bigint, cell int, angle double")
-    cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    radius = np.full(len(centers), -np.inf)
-    left_blocks = {c: 1 for c in range(len(centers))}
-    for c in cells:
-        radius[c.cell] = c.radius
-        left_blocks[c.cell] = math.ceil(c.n / block)
-
-    def reachable(batches):
-        for batch in batches:
-            row, cell = np.nonzero(angles(batch["v"]) <= radius + reach)
-            yield pd.DataFrame(
-                {
-                    "id": batch["id"].to_numpy()[row],
-                    "v": batch["v"].to_numpy()[row],
-                    "o": batch["o"].to_numpy()[row],
-                    "cell": cell.astype("int32"),
-                }
-            )
-
-    if pivots > 1:
-        sent = rights.mapInPandas(reachable, f"id {right_type}, v array<double>, o bigint, cell int")
-    counted = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    right_blocks = {c: math.ceil(counted.get(c, 1) / block) for c in range(len(centers))}
-
-    def per_cell(counts: dict[int, int]) -> Column:
-        table = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
-        return table[F.col("cell")]
-
-    def blocks(df: DataFrame, own: str, own_counts, other: str, other_counts) -> DataFrame:
-        return df.select(
-            "cell",
-            F.pmod(F.xxhash64("id"), per_cell(own_counts)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), per_cell(other_counts) - 1)).alias(other),
-            "id",
-            "v",
-            "o",
-        )
+    placed, sent, left_parts, right_parts, pairs = ready
 
-    l_blocks = blocks(placed, "lb", left_blocks, "rb", right_blocks)
-    r_blocks = blocks(sent, "rb", right_blocks, "lb", left_blocks)
+    def blocks(rows: DataFrame, parts: DataFrame, part: str, sub: str) -> DataFrame:
+        # Parts are a row per cell and band: MOST_PIVOTS * BANDS at most, and no more than there are rows.
+        dealt = rows.join(F.broadcast(parts.select("cell", "band", "part", "subs")), ["cell", "band"])
+        dealt = dealt.select("cell", F.col("part").alias(part), F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias(sub), "id", "v", "o")
+        others = [c for c in ("lp", "ls", "rp", "rs") if c not in (part, sub)]
+        met = pairs.groupBy("cell", part, sub).agg(F.collect_list(F.struct(*others)).alias("met"))
+        return dealt.join(met, ["cell", part, sub]).select("cell", part, sub, F.inline("met"), "id", "v", "o")
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -147,7 +216,8 @@ def cosine_join(
             {left_id: a["id"].to_numpy()[i], right_id: b["id"].to_numpy()[j], "score": scores[i, j]}
         )
 
-    keys = ["cell", "lb", "rb"]
+    keys = ["cell", "lp", "ls", "rp", "rs"]
+    l_blocks, r_blocks = blocks(placed, left_parts, "lp", "ls"), blocks(sent, right_parts, "rp", "rs")
     return l_blocks.groupBy(*keys).cogroup(r_blocks.groupBy(*keys)).applyInPandas(product, out)
 
 
@@ -186,6 +256,68 @@ def score_pairs(
     )
 
 
+#: Postings of a gram that meet in one group.
+POSTINGS = 512
+#: Room for rounding in comparisons with the threshold.
+SLACK = 1e-9
+
+
+def _gram_vectors(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(id, s): per text its grams as (number, weight), rare ones first; numbers follow the frequency."""
+    clean = F.translate(F.col(text), ",-./", "")
+    vectors = checkpoint(tfidf(df, key, T.char_ngrams(clean, n, n)))
+    frequency = vectors.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    numbers = global_rank(frequency, "df", "term", name="number").select("term", "number")
+    numbered = beside(vectors.select(F.col(key).alias("id"), "term", "weight"), numbers, ["term"])
+    return checkpoint(numbered.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("s")))
+
+
+def _postings(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(number, id, weight, rest) of the grams of each text's prefix; rest is the length of what follows."""
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def prefixes(batches):
+        for batch in batches:
+            numbers, ids, weights, rests = [], [], [], []
+            for key, entries in zip(batch["id"], batch["s"], strict=True):
+                w = np.array([e["weight"] for e in entries])
+                left = np.sqrt(np.maximum(np.cumsum((w * w)[::-1])[::-1], 0.0))
+                k = int((left >= threshold - SLACK).sum())
+                numbers += [e["number"] for e in entries[:k]]
+                ids += [key] * k
+                weights.append(w[:k])
+                rests.append(np.append(left[1:], 0.0)[:k])
+            yield pd.DataFrame({"number": numbers, "id": ids, "weight": np.concatenate([*weights, []]), "rest": np.concatenate([*rests, []])})
+
+    return vectors.mapInPandas(prefixes, f"number bigint, id {kind}, weight double, rest double")
+
+
+def _scored(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id1, id2, score) of the pairs that reach the threshold; one expression over both texts' arrays."""
+    one, two = vectors.select(F.col("id").alias("id1"), F.col("s").alias("s1")), vectors.select(F.col("id").alias("id2"), F.map_from_entries("s").alias("s2"))
+    met = pairs.join(one, "id1").join(two, "id2")
+    score = F.aggregate("s1", F.lit(0.0), lambda acc, e: acc + F.coalesce(e["weight"] * F.try_element_at("s2", e["number"]), F.lit(0.0)))
+    return met.select("id1", "id2", score.alias("score")).where(F.col("score") >= threshold - SLACK)
+
+
+def _met(postings: DataFrame, threshold: float, apart: Column | None = None) -> DataFrame:
+    """Distinct pairs (id1 < id2) that share a gram of their prefixes at which they can still reach the threshold.
+
+    A gram's postings are dealt into lists of about POSTINGS rows, and every
+    two lists of a gram meet under a key of their own, so no gram is one task.
+    """
+    counts = postings.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > POSTINGS)
+    lists = F.coalesce(F.ceil(F.col("n") / POSTINGS), F.lit(1)).cast("int")
+    dealt = beside(postings, counts, ["number"], "left").withColumns({"lists": lists, "own": F.pmod(F.xxhash64("id"), lists).cast("int")}).drop("n")
+    every = F.explode(F.sequence(F.lit(0), F.col("lists") - 1))
+    a = dealt.select("*", F.col("own").alias("i"), every.alias("j")).alias("a")
+    b = dealt.select("*", every.alias("i"), F.col("own").alias("j")).alias("b")
+    bound = F.col("a.weight") * F.col("b.weight") + F.col("a.rest") * F.col("b.rest")
+    fits = (F.col("a.id") < F.col("b.id")) & (bound >= threshold - SLACK)
+    met = a.join(b, ["number", "i", "j"]).where(fits if apart is None else fits & apart)
+    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
+
+
 def cosine_self_join(
     df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8
 ) -> DataFrame:
@@ -198,36 +330,26 @@ def cosine_self_join(
     drops most pairs of a common gram before they leave the join. The survivors
     are verified with the full vectors.
     """
-    clean = F.translate(F.col(text), ",-./", "")
-    # Read four times below.
-    vectors = checkpoint(tfidf(df, key, T.char_ngrams(clean, n, n)))
-    frequency = vectors.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Grams of one text, rare ones first: bounded by the length of the text.
-    onward = Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    ordered = vectors.join(frequency, "term").withColumn(
-        "_rest", F.sum(F.col("weight") * F.col("weight")).over(onward)
-    )
-    slack = 1e-9
-    prefix = ordered.where(F.sqrt("_rest") >= threshold - slack).select(
-        F.col(key).alias("id"),
-        "term",
-        "weight",
-        F.sqrt(F.greatest(F.col("_rest") - F.col("weight") * F.col("weight"), F.lit(0.0))).alias("rest"),
-    )
-    a, b = prefix.alias("a"), prefix.alias("b")
-    bound = F.col("a.weight") * F.col("b.weight") + F.col("a.rest") * F.col("b.rest")
-    candidates = (
-        a.join(b, "term")
-        .where((F.col("a.id") < F.col("b.id")) & (bound >= threshold - slack))
-        .select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"))
-        .distinct()
-    )
-    one = vectors.select(F.col(key).alias("id1"), "term", F.col("weight").alias("w1"))
-    two = vectors.select(F.col(key).alias("id2"), "term", F.col("weight").alias("w2"))
-    return (
-        candidates.join(one, "id1")
-        .join(two, ["id2", "term"])
-        .groupBy("id1", "id2")
-        .agg(F.sum(F.col("w1") * F.col("w2")).alias("score"))
-        .where(F.col("score") >= threshold - slack)
-    )
+    vectors = _gram_vectors(df, key, text, n)
+    return _scored(_met(_postings(vectors, threshold), threshold), vectors, threshold)
+
+
+def cosine_links(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Enough of the pairs of :func:`cosine_self_join` to connect what they connect: (id1, id2).
+
+    Every gram's smallest text is compared with all others of the gram, which
+    is as many pairs as postings. Texts then carry the smallest text that they
+    were linked to, and only texts that carry different ones meet in pairs.
+    """
+    vectors = _gram_vectors(df, key, text, n)
+    postings = checkpoint(_postings(vectors, threshold))
+    smallest = postings.groupBy("number").agg(F.min("id").alias("id1"), F.count(F.lit(1)).alias("n")).where("n > 1").select("number", "id1")
+    stars = beside(postings.select("number", F.col("id").alias("id2")), smallest, ["number"]).where("id1 < id2").select("id1", "id2").distinct()
+    links = checkpoint(_scored(stars, vectors, threshold).select("id1", "id2"))
+    marks = links.groupBy(F.col("id2").alias("id")).agg(F.min("id1").alias("mark"))
+    marked = beside(postings, marks, ["id"], "left").withColumn("mark", F.coalesce("mark", "id"))
+    # Grams all of whose texts carry one mark connect nothing new.
+    mixed = marked.groupBy("number").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("number")
+    rest = beside(marked, mixed, ["number"], "left_semi")
+    more = _met(checkpoint(rest), threshold, F.col("a.mark") != F.col("b.mark"))
+    return links.unionByName(_scored(more, vectors, threshold).select("id1", "id2"))

@@ -5,12 +5,13 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from incidentkit.functions import text as T
-from incidentkit.operators import features as FE, models as M, similarity as S
+from incidentkit.operators import counted_bayes as CB, features as FE, many_kmeans as MK, models as M, similarity as S, word_rounds as WR
 from incidentkit.operators.aggregates import word_counts
-from incidentkit.operators.rows import unfold
+from incidentkit.operators.rows import stable_hash, unfold
 from incidentkit.operators.windows import split_random
 from incidentkit.registry.common import WORDS, query, r, rounded, table, words
 from incidentkit.registry.joins import NAMES, names
+from incidentkit.session import checkpoint
 
 
 @query("g1_count_vectors", f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS term FROM ({WORDS})) GROUP BY 1, 2")
@@ -79,13 +80,28 @@ def _(spark, d):
     return found.select("quality", "words", r("chi2", 4).alias("chi2"), "rank")
 
 
-@query("g5_label_index")
+def _held(key: str, fraction: float = 0.25, seed: int = 8) -> str:
+    """SQL of the random hold-out: the first eight digits of the digest of key and seed."""
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8) AS BIGINT) < {int(fraction * 2**32)}"
+
+
+@query(
+    "g5_label_index",
+    f"""WITH c AS (SELECT source, count(*) AS n FROM documents WHERE NOT {_held('doc_id')} GROUP BY 1),
+          i AS (SELECT source, CAST(row_number() OVER (ORDER BY n DESC, source) - 1 AS DOUBLE) AS label FROM c)
+        SELECT d.source, coalesce(i.label, CAST((SELECT count(*) FROM c) AS DOUBLE)) AS label, count(*) AS count
+        FROM documents d LEFT JOIN i ON i.source = d.source WHERE {_held('doc_id')} GROUP BY 1, 2""",
+)
 def _(spark, d):
     train, held = split_random(table(spark, d, "documents").select("doc_id", "source"), 0.25, "doc_id")
     return M.label_index(train, "source").transform(held).groupBy("source", "label").count()
 
 
-def _counted(spark, d, vocab=300):
+#: Terms of every text feature.
+TERMS = 5000
+
+
+def _counted(spark, d, vocab=TERMS):
     docs = words(spark, d).withColumn("tokens", T.remove_stopwords(F.col("tokens"), []))
     model = FE.count_vectorizer(docs, "tokens", vocab, 2.0)
     return model, model.transform(docs)
@@ -99,9 +115,9 @@ def _(spark, d):
 
 @query("g7_word_vectors")
 def _(spark, d):
-    model, _ = M.word_vectors(words(spark, d), "tokens", size=16, window=5, min_count=20)
+    vectors = WR.word_vectors(words(spark, d), "tokens", size=150, window=10, min_count=2, rounds=10)
     probe = word_counts(words(spark, d), "tokens", 1).first().word
-    return model.findSynonyms(probe, 10)
+    return WR.most_similar(vectors, probe, 10)
 
 
 _VECTOR_SQL = "SELECT DISTINCT word, length(word) AS a, unicode(word) AS b, length(word) - length(replace(word, 'e', '')) AS c FROM (SELECT unnest(tokens) AS word FROM w) WHERE length(word) > 2"
@@ -173,9 +189,45 @@ def _(spark, d):
     return M.kmeans(df, 20, 50).transform(df).groupBy("cluster", "label").count()
 
 
-@query("g12_elbow")
+def _lloyd_sql(ks, rounds=20):
+    """Assignments a<r> and centres m<r> of all numbers of clusters; the first rows by digest start."""
+    steps = [
+        "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+        f"""m0 AS (SELECT k, CAST(place - 1 AS INTEGER) AS cluster, v FROM (SELECT v, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':0'), vec_id) AS place FROM x) s,
+            (SELECT unnest({list(ks)}) AS k) WHERE place <= k)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT vec_id, k, v, min_by(cluster, (d, cluster)) AS cluster, min(d) AS d
+            FROM (SELECT x.vec_id, x.v, m.k, m.cluster, list_distance(x.v, m.v) AS d FROM x, m{r} m) GROUP BY vec_id, k, v)""")
+        if r < rounds:
+            steps.append(f"""m{r + 1} AS (SELECT m.k, m.cluster, coalesce(g.v, m.v) AS v FROM m{r} m LEFT JOIN (SELECT k, cluster, list(x ORDER BY i) AS v FROM (
+                SELECT k, cluster, i, avg(x) AS x FROM (SELECT k, cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY k, cluster) g ON g.k = m.k AND g.cluster = m.cluster)""")
+    return "WITH " + ", ".join(steps), f"a{rounds}"
+
+
+_ELBOW = list(range(2, 51, 4))
+_WITH, _LAST = _lloyd_sql(_ELBOW)
+
+
+@query("g12_elbow", f"{_WITH} SELECT CAST(k AS INTEGER) AS k, round(sum(d * d), 4) AS cost FROM {_LAST} GROUP BY 1")
 def _(spark, d):
-    return M.elbow(_vectors(spark, d), list(range(2, 51, 4)))
+    return rounded(MK.elbow(table(spark, d, "embeddings"), _ELBOW, "vec_id", "embedding"), "cost", digits=4)
+
+
+_EVERY_K = list(range(2, 51))
+_WITH, _LAST = _lloyd_sql(_EVERY_K)
+
+
+@query(
+    "g13_calinski_harabasz_over_k",
+    f"""{_WITH}, e AS (SELECT k, cluster, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM {_LAST}),
+          c AS (SELECT k, cluster, i, count(*) AS n, avg(x) AS mean, var_pop(x) * count(*) AS w FROM e GROUP BY ALL), g AS (SELECT k, i, avg(x) AS mean FROM e GROUP BY ALL)
+        SELECT CAST(c.k AS INTEGER) AS k, CAST(count(DISTINCT cluster) AS INTEGER) AS clusters, CAST(sum(n) FILTER (c.i = 1) AS BIGINT) AS rows,
+          round((sum(n * pow(c.mean - g.mean, 2)) / (count(DISTINCT cluster) - 1)) / (sum(w) / (sum(n) FILTER (c.i = 1) - count(DISTINCT cluster))), 4) AS score
+        FROM c JOIN g ON g.k = c.k AND g.i = c.i GROUP BY 1""",
+)
+def _(spark, d):
+    return rounded(MK.calinski_harabasz(table(spark, d, "embeddings"), _EVERY_K, "vec_id", "embedding"), "score", digits=4)
 
 
 @query(
@@ -194,7 +246,7 @@ def _(spark, d):
 @query("g14_cluster_terms")
 def _(spark, d):
     docs = words(spark, d)
-    stages = FE.tfidf_model(docs, "tokens", 300, 10.0)
+    stages = FE.tfidf_model(docs, "tokens", TERMS, 10.0)
     df = stages.transform(docs)
     return M.cluster_terms(df, M.kmeans(df, 12, 50), stages.stages[0].vocabulary, 10)
 
@@ -202,34 +254,86 @@ def _(spark, d):
 @query("g15_assign_cluster")
 def _(spark, d):
     docs = words(spark, d)
-    stages = FE.tfidf_model(docs, "tokens", 300, 10.0)
+    stages = FE.tfidf_model(docs, "tokens", TERMS, 10.0)
     model = M.kmeans(stages.transform(docs), 14, 50)
     turns = table(spark, d, "conversations").select("conv_id", "turn", T.tokenize(F.lower("text"), r"\p{L}+").alias("tokens"))
     return M.assign_cluster(stages.transform(turns), model).groupBy("cluster").count()
 
 
+@query(
+    "g15_assign_nearest",
+    f"""{_WITH.split(", a0 AS")[0]}, c AS (SELECT cluster, v FROM m0 WHERE k = 14)
+        SELECT vec_id, min_by(cluster, (list_distance(x.v, c.v), cluster)) AS cluster FROM x, c GROUP BY vec_id""",
+)
+def _(spark, d):
+    # New rows meet centres that were fitted before: here the ones that fourteen clusters start with.
+    e = table(spark, d, "embeddings")
+    fitted = MK.fit_many(e, [14], "vec_id", "embedding", max_iter=0)
+    return MK.assign(e, fitted.centers[14], "embedding").select("vec_id", "cluster")
+
+
 def labelled(spark, d):
-    """(training, validation) documents with a quality label, and fitted features."""
-    docs = words(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double")).persist()
-    train, valid = split_random(docs, 0.25, "doc_id")
-    return train, valid, FE.tfidf_model(train, "tokens", 300, 5.0)
+    """(training, validation) documents with a quality label."""
+    docs = words(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
+    return split_random(docs, 0.25, "doc_id")
+
+
+def _weighed(spark, d):
+    """The same, and fitted weights of the training documents' terms."""
+    train, valid = labelled(spark, d)
+    return train, valid, FE.tfidf_model(train, "tokens", TERMS, 5.0)
 
 
 def _scored(estimator):
     def run(spark, d):
-        train, valid, stages = labelled(spark, d)
+        train, valid, stages = _weighed(spark, d)
         model = estimator.fit(stages.transform(train))
         return M.accuracy(model.transform(stages.transform(valid)))
 
     return run
 
 
-query("g16_naive_bayes")(lambda s, d: _scored(M.naive_bayes())(s, d))
+# Training counts of the terms with the highest totals; gains above the base of a class, see the operator.
+_BAYES = f"""
+  WITH w AS ({WORDS}), l AS (SELECT w.doc_id, w.tokens, quality AS label, {_held('w.doc_id')} AS held FROM w JOIN labels ON labels.doc_id = w.doc_id),
+    n AS (SELECT doc_id, label, held, term, count(*) AS n FROM (SELECT doc_id, label, held, unnest(tokens) AS term FROM l) GROUP BY ALL),
+    t AS (SELECT term FROM n WHERE NOT held GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 5000),
+    s AS (SELECT label, n.term, sum(n) AS n FROM n JOIN t ON t.term = n.term WHERE NOT held GROUP BY 1, 2),
+    c AS (SELECT label, ln(count(*) / (SELECT count(*) FROM l WHERE NOT held)) AS prior, -ln((SELECT coalesce(sum(n), 0) FROM s WHERE s.label = l.label) + (SELECT count(*) FROM t)) AS base FROM l WHERE NOT held GROUP BY 1),
+    g AS (SELECT v.doc_id, c.label, any_value(prior) + any_value(base) * coalesce(sum(n.n), 0) + coalesce(sum(n.n * ln(coalesce(s.n, 0) + 1)), 0) AS score
+          FROM (SELECT doc_id FROM l WHERE held) v CROSS JOIN c LEFT JOIN (SELECT n.* FROM n JOIN t ON t.term = n.term) n ON n.doc_id = v.doc_id LEFT JOIN s ON s.label = c.label AND s.term = n.term GROUP BY 1, 2),
+    b AS (SELECT doc_id, min_by(label, (-round(score, 9), label)) AS predicted, max(round(score, 9)) AS score FROM g GROUP BY 1)
+"""
+
+
+def _bayes(spark, d):
+    """Held-out documents with the class that the counted model gives them."""
+    train, valid = labelled(spark, d)
+    counts = FE.term_counts(train.select("doc_id", "tokens"), "doc_id", "tokens")
+    terms = CB.top_terms(counts, TERMS)
+    labels = train.select("doc_id", "quality")
+    stats = CB.statistics(counts.join(terms, "term").join(labels, "doc_id"), "quality")
+    gains, classes = CB.fit(stats, labels, "quality")
+    known = FE.term_counts(valid.select("doc_id", "tokens"), "doc_id", "tokens").join(terms, "term")
+    return CB.predict(valid.select("doc_id"), known, gains, classes, "doc_id", "quality"), valid
+
+
+@query("g16_naive_bayes", f"{_BAYES} SELECT count(*) AS n, round(avg(CASE WHEN quality = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM b JOIN labels ON labels.doc_id = b.doc_id")
+def _(spark, d):
+    found, valid = _bayes(spark, d)
+    return rounded(M.accuracy(found.join(valid.select("doc_id", "quality"), "doc_id"), "quality", "predicted"), "accuracy")
+
+
+@query("g16_naive_bayes_classes", f"{_BAYES} SELECT doc_id, predicted, round(score, 4) AS score FROM b")
+def _(spark, d):
+    return rounded(_bayes(spark, d)[0], "score", digits=4)
+
+
 query("g17_logistic")(lambda s, d: _scored(M.logistic())(s, d))
 query("g18_linear_svm")(lambda s, d: _scored(M.linear_svm())(s, d))
 query("g19_random_forest")(lambda s, d: _scored(M.random_forest())(s, d))
 query("g20_extra_trees")(lambda s, d: _scored(M.extra_trees())(s, d))
-query("g21_boosted_trees")(lambda s, d: _scored(M.boosted_trees(max_iter=5, depth=3))(s, d))
+query("g21_boosted_trees")(lambda s, d: _scored(M.boosted_trees())(s, d))
 
 # A rule to compare with the labels: the longer half of the usual length is good.
 _RULE = "CASE WHEN n_chars > 600 THEN 1 ELSE 0 END"
@@ -263,30 +367,116 @@ def _(spark, d):
 
 @query("g23_model_grid")
 def _(spark, d):
-    train, valid, tfidf = labelled(spark, d)
-    counts = FE.count_vectorizer(train, "tokens", 300, 5.0)
-    estimators = {"naive_bayes": M.naive_bayes(), "logistic": M.logistic(max_iter=20)}
-    return M.model_grid(train, valid, estimators, {"count": counts, "tfidf": tfidf})
+    train, valid = labelled(spark, d)
+    grams = lambda df: df.withColumns({"pairs": T.word_ngrams(F.col("tokens"), 2, 3), "chars": T.char_ngrams(F.array_join("tokens", " "), 2, 3)})
+    train, valid = checkpoint(grams(train)), checkpoint(grams(valid))
+    features = {
+        "count": FE.count_vectorizer(train, "tokens", TERMS, 5.0),
+        "word": FE.tfidf_model(train, "tokens", TERMS, 5.0),
+        "word_pairs": FE.tfidf_model(train, "pairs", TERMS, 5.0),
+        "characters": FE.tfidf_model(train, "chars", TERMS, 5.0),
+    }
+    estimators = {"naive_bayes": M.naive_bayes(), "logistic": M.logistic(), "random_forest": M.random_forest(), "boosted_trees": M.boosted_trees()}
+    return M.model_grid(train, valid, estimators, features)
+
+
+# Ten smoothings per decade; a fold is the digest of the document's number.
+_SMOOTHINGS = [round(10 ** (i / 10 - 2), 6) for i in range(25)]
+
+
+def _folds(spark, d, folds, seed=8):
+    train, _ = labelled(spark, d)
+    fold = F.conv(F.substring(stable_hash(F.col("doc_id"), seed), 1, 8), 16, 10).cast("bigint") % folds
+    counts = FE.term_counts(train.select("doc_id", "tokens"), "doc_id", "tokens")
+    return counts, train.select("doc_id", "quality", fold.cast("int").alias("fold"))
+
+
+def _search_sql(folds, smoothings, seed=8, priors=(True, False)):
+    return f"""WITH w AS ({WORDS}),
+      l AS (SELECT w.doc_id, w.tokens, quality AS label, CAST('0x' || substr(md5(CAST(w.doc_id AS VARCHAR) || ':{seed}'), 1, 8) AS BIGINT) % {folds} AS fold FROM w JOIN labels ON labels.doc_id = w.doc_id WHERE NOT {_held('w.doc_id')}),
+      n0 AS (SELECT doc_id, label, fold, term, count(*) AS n FROM (SELECT doc_id, label, fold, unnest(tokens) AS term FROM l) GROUP BY ALL),
+      t AS (SELECT term FROM n0 GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 5000), n AS (SELECT n0.* FROM n0 JOIN t ON t.term = n0.term),
+      f AS (SELECT unnest(range(0, {folds})) AS fold), a AS (SELECT unnest({list(smoothings)}::DOUBLE[]) AS a), p AS (SELECT unnest({list(priors)}) AS fit_prior),
+      s AS (SELECT f.fold, label, term, sum(n) AS n FROM f JOIN n ON n.fold <> f.fold GROUP BY ALL),
+      v AS (SELECT fold, count(DISTINCT term) AS v FROM s GROUP BY 1), tot AS (SELECT fold, label, sum(n) AS n FROM s GROUP BY ALL),
+      c AS (SELECT f.fold, label, ln(count(*) / sum(count(*)) OVER (PARTITION BY f.fold)) AS prior FROM f JOIN l ON l.fold <> f.fold GROUP BY f.fold, label),
+      seen AS (SELECT n.doc_id, n.fold, n.term, n.n FROM n JOIN (SELECT DISTINCT fold, term FROM s) u ON u.fold = n.fold AND u.term = n.term),
+      g AS (SELECT l.doc_id, l.fold, a.a, c.label, any_value(prior) AS prior, coalesce(sum(seen.n * (ln(coalesce(s.n, 0) + a.a) - ln(tot.n + a.a * v.v))), 0) AS logs
+            FROM l CROSS JOIN a JOIN c ON c.fold = l.fold LEFT JOIN seen ON seen.doc_id = l.doc_id LEFT JOIN s ON s.fold = l.fold AND s.label = c.label AND s.term = seen.term
+              JOIN v ON v.fold = l.fold JOIN tot ON tot.fold = l.fold AND tot.label = c.label GROUP BY 1, 2, 3, 4),
+      b AS (SELECT doc_id, fold, a, fit_prior, min_by(label, (-round(logs + CASE WHEN fit_prior THEN prior ELSE 0 END, 9), label)) AS predicted FROM g CROSS JOIN p GROUP BY 1, 2, 3, 4),
+      h AS (SELECT a, fit_prior, b.fold, avg(CASE WHEN predicted = l.label THEN 1.0 ELSE 0.0 END) AS accuracy FROM b JOIN l ON l.doc_id = b.doc_id GROUP BY 1, 2, 3)
+      SELECT a AS smoothing, fit_prior, round(avg(accuracy), 6) AS accuracy FROM h GROUP BY 1, 2"""
+
+
+@query("g24_random_search", _search_sql(3, _SMOOTHINGS))
+def _(spark, d):
+    # Fifty settings in three folds: 25 smoothings, with and without the share of a class.
+    counts, labels = _folds(spark, d, 3)
+    return rounded(CB.search(counts, labels, "doc_id", "quality", _SMOOTHINGS, 3, (True, False), TERMS), "accuracy")
+
+
+@query("g24_grid_search", _search_sql(5, [0.01, 0.1, 0.5, 1.0], 9, [True]))
+def _(spark, d):
+    counts, labels = _folds(spark, d, 5, 9)
+    return rounded(CB.search(counts, labels, "doc_id", "quality", [0.01, 0.1, 0.5, 1.0], 5, (True,), TERMS), "accuracy")
 
 
-@query("g24_random_search")
+@query("g24_forest_search")
 def _(spark, d):
-    train, _, stages = labelled(spark, d)
-    features = stages.transform(train).select("features", "label").persist()
-    return M.random_search(features, M.naive_bayes(), {"smoothing": [0.1, 0.5, 1.0, 2.0]}, n_iter=3, folds=3)[1]
+    train, _, stages = _weighed(spark, d)
+    features = checkpoint(stages.transform(train).select("features", "label"))
+    return M.random_search(features, M.random_forest(trees=20), {"maxDepth": [3, 5, 8, 12], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}, n_iter=10, folds=3)[1]
 
 
-@query("g24_grid_search")
+@query(
+    "g25_prediction_table",
+    f"""{_BAYES}, x AS (SELECT label, CAST(row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS DOUBLE) AS code FROM l WHERE NOT held GROUP BY 1)
+        SELECT b.doc_id, lang, CAST(quality AS VARCHAR) AS actual, a.code AS label, p.code AS prediction, CAST(predicted AS VARCHAR) AS predicted_label
+        FROM b JOIN w ON w.doc_id = b.doc_id JOIN labels ON labels.doc_id = b.doc_id JOIN x a ON a.label = quality JOIN x p ON p.label = predicted""",
+)
 def _(spark, d):
-    train, _, stages = labelled(spark, d)
-    features = stages.transform(train).select("features", "label").persist()
-    return M.grid_search(features, M.naive_bayes(), {"smoothing": [0.5, 1.0]}, seeds=(8, 9))
+    found, valid = _bayes(spark, d)
+    train, _ = labelled(spark, d)
+    index = M.label_index(train.select(F.col("quality").cast("string").alias("actual")), "actual")
+    rows = found.join(valid.select("doc_id", "lang", F.col("quality").cast("string").alias("actual")), "doc_id")
+    coded = index.transform(rows)
+    back = M.label_index(train.select(F.col("quality").cast("string").alias("predicted")), "predicted", "prediction")
+    scored = back.transform(coded.withColumn("predicted", F.col("predicted").cast("string")))
+    return M.prediction_table(scored, index.labels, ["doc_id", "lang", "actual"])
 
 
-@query("g25_prediction_table")
+@query("g25_class_probabilities")
 def _(spark, d):
-    train, valid, stages = labelled(spark, d)
+    train, valid, stages = _weighed(spark, d)
     index = M.label_index(train, "lang", "lang_code")
     model = Pipeline(stages=[M.naive_bayes(label="lang_code")]).fit(index.transform(stages.transform(train)))
     scored = model.transform(index.transform(stages.transform(valid)))
     return M.prediction_table(scored, index.labels, ["doc_id", "lang"], "lang_code")
+
+
+@query("g8_classify_mean_vectors")
+def _(spark, d):
+    """Logistic regression on the mean of trained word vectors."""
+    train, valid = labelled(spark, d)
+    vectors = checkpoint(WR.word_vectors(train.select("tokens"), "tokens", size=150, window=10, min_count=2, rounds=10))
+
+    def means(df):
+        found = FE.mean_embedding(df.select("doc_id", "tokens"), "doc_id", "tokens", vectors, 150)
+        return M.as_vector(found.join(df.select("doc_id", "label"), "doc_id"), "embedding")
+
+    return M.accuracy(M.logistic().fit(checkpoint(means(train))).transform(means(valid)))
+
+
+@query("g17_logistic_class_weights")
+def _(spark, d):
+    """Accuracy of the multinomial model without and with class weights, over the penalties of the grid."""
+    train, valid, stages = _weighed(spark, d)
+    weighed = checkpoint(M.balanced_weights(stages.transform(train).select("features", "label"), "label"))
+    judged = checkpoint(stages.transform(valid).select("features", "label"))
+    rows = []
+    for weight in (None, "weight"):
+        for reg in (0.0, 0.001, 0.01, 0.1):
+            model = M.logistic(reg=reg, weight=weight).fit(weighed)
+            rows.append((weight or "none", reg, float(M.accuracy(model.transform(judged)).first().accuracy or 0.0)))
+    return spark.createDataFrame(rows, "class_weight string, penalty double, accuracy double")

@@ -110,6 +110,14 @@ def _(spark, d):
     return A.arima_fit(monthly(spark, d), A.Order(1, 1, 1)).select("series_id", "order", "coef", "sigma2", "nobs")
 
 
+@query("i8_arima_fit_long")
+def _(spark, d):
+    # The orders that the monthly scenarios settle on: after one difference, and after a yearly one.
+    series = monthly(spark, d)
+    long, yearly = A.arima_fit(series, A.Order(6, 1, 2)), A.arima_fit(series, A.Order(6, 0, 6, 0, 1, 0, 12))
+    return long.unionByName(yearly).select("series_id", "order", "coef", "sigma2", "nobs", "status")
+
+
 @query("i8_arima_seasonal_forecast")
 def _(spark, d):
     order = A.Order(1, 1, 1, 1, 1, 0, 12)
@@ -121,6 +129,22 @@ def _(spark, d):
     return A.walk_forward(monthly(spark, d), A.Order(0, 1, 1), 12)
 
 
+@query("i9_walk_forward_long")
+def _(spark, d):
+    return A.walk_forward(monthly(spark, d), A.Order(6, 1, 2), 12).unionByName(A.walk_forward(monthly(spark, d), A.Order(6, 0, 6, 0, 1, 0, 12), 12))
+
+
+@query(
+    "i9_walk_forward_ar",
+    f"""WITH s AS (SELECT series_id, ts, y, y - lag(y) OVER ({_W}) AS w, lag(y) OVER ({_W}) AS base, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS back FROM ({MONTHLY})),
+          p AS (SELECT *, lag(w) OVER ({_W}) AS x FROM s),
+          g AS (SELECT *, sum(w * x) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(x * x) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS phi FROM p WHERE x IS NOT NULL)
+        SELECT series_id, ts, '(1,1,0)' AS "order", y, round(base + phi * x, 6) AS yhat, 'ok' AS status FROM g WHERE back <= 12""",
+)
+def _(spark, d):
+    return rounded(A.walk_forward(monthly(spark, d), A.Order(1, 1, 0), 12), "yhat")
+
+
 @query("i10_order_grid")
 def _(spark, d):
     return A.order_grid(monthly(spark, d), range(7), range(3), range(7))
@@ -200,4 +224,9 @@ def _(spark, d):
 
 @query("i_monthly_forecast")
 def _(spark, d):
-    return P.monthly_forecast(monthly(spark, d), [A.Order(0, 1, 1), A.Order(1, 1, 1), A.Order(6, 0, 0)])
+    return P.monthly_forecast(monthly(spark, d), [A.Order(0, 1, 1), A.Order(1, 1, 1), A.Order(6, 0, 0), A.Order(6, 1, 2), A.Order(6, 0, 6)])
+
+
+@query("i_forecast_scores")
+def _(spark, d):
+    return P.forecast_scores(P.monthly_forecast(monthly(spark, d), [A.Order(0, 1, 1), A.Order(6, 1, 2), A.Order(6, 0, 6)]))

@@ -130,6 +130,16 @@ def _(spark, d):
     return X.read_dd_header(spark, path).drop("created")
 
 
+@query("a6_read_dd_batch", f"SELECT o_orderstatus AS batch_id, count(*) AS announced_count, CAST(sum(amount) AS DECIMAL(18,2)) AS announced_sum, max(signed_on) AS collect_on FROM ({DEBITS}) GROUP BY 1")
+def _(spark, d):
+    path = scratch(spark, "batches")
+    batches = _debits(spark, d).groupBy(F.col("o_orderstatus").alias("PmtInfId")).agg(
+        F.count(F.lit(1)).alias("NbOfTxs"), F.sum("amount").cast("decimal(18,2)").alias("CtrlSum"), F.max("signed_on").alias("ReqdColltnDt")
+    )
+    batches.write.format("xml").option("rootTag", "CstmrDrctDbtInitn").option("rowTag", "PmtInf").save(path)
+    return X.read_dd_batch(spark, path)
+
+
 @query("a7_write_csv", "SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(18,2)) AS c_acctbal FROM customer")
 def _(spark, d):
     path = scratch(spark, "customer")

@@ -15,7 +15,7 @@ def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("text").alias("features_text"), "lang")
     split = RegexTokenizer(inputCol="features_text", outputCol="tokens", pattern=r"\P{L}+", minTokenLength=2)
     train = split.transform(docs)
-    weights = FE.tfidf_model(train, "tokens", 300, 5.0, "vector")
+    weights = FE.tfidf_model(train, "tokens", 5000, 5.0, "vector")
     index = M.label_index(train, "lang")
     bayes = Pipeline(stages=[M.naive_bayes("vector")]).fit(index.transform(weights.transform(train)))
     named = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=[*index.labels, "__unknown__"])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from incidentkit.functions import text as T
 from incidentkit.operators import features as FE
+from incidentkit.plans.tickets import describe_tickets
 from incidentkit.registry.common import WORD, WORDS, documents, money, query, r, table, words
 
 # Small word lists made for the test texts.
@@ -167,6 +168,34 @@ def _(spark, d):
     return _forms(spark, d).select("doc_id", T.extract_cascade(F.col("request")).alias("description"))
 
 
+# Tickets of two kinds with a template each, one kind without; entry headers, controls and a form around the text.
+_LOGGED = """CASE doc_id % 2 WHEN 0 THEN '02-03-2020 08:15 Test, Afdeling: ' ELSE '' END || CASE doc_id % 5
+  WHEN 0 THEN 'Naam : x' || chr(10) || 'Omschrijving storing : ' || text || ' Telefoon : y' WHEN 1 THEN 'Klant : a Omschrijving melding : ' || text || ' Volledige naam: b'
+  WHEN 2 THEN 'Omschrijving van probleem: ' || text || ' volledige gegevens' WHEN 3 THEN 'Klant mailt: ' || text ELSE text END"""
+_KNOWN = [("en", 1, "^naam:.*?omschrijving storing:(.+?)telefoon:.*?$"), ("fr", 2, "^klant:.*?omschrijving melding:(.+?)volledige naam:.*?$")]
+
+
+def _described_sql():
+    patterns = "(VALUES " + ", ".join(f"('{lang}', '{p}')" for lang, _, p in _KNOWN) + ") v(lang, regex)"
+    sql = f"""
+      SELECT doc_id, lang, {_TRIM.format("regexp_replace(c, '^[0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]\\s[0-9][0-9]:[0-9][0-9] .+?, .+?:', '')")} AS request
+      FROM (SELECT doc_id, lang, replace(translate(replace({_LOGGED}, ' :', ':'), chr(10) || chr(13) || chr(9), '   '), '~', ' ') AS c FROM documents)"""
+    sql = f"""SELECT r.doc_id, request, {_TRIM.format("CASE WHEN regexp_matches(lower(request), regex) THEN regexp_extract(lower(request), regex, 1) END")} AS description
+      FROM ({sql}) r LEFT JOIN {patterns} ON v.lang = r.lang"""
+    sql = f"SELECT doc_id, description, coalesce(description, request) AS t FROM ({sql})"
+    for p in T.REQUEST_PATTERNS:
+        capture = _TRIM.format(f"regexp_extract(lower(t), '{p}', 1)")
+        sql = f"SELECT doc_id, description, CASE WHEN regexp_matches(lower(t), '{p}') THEN {capture} ELSE t END AS t FROM ({sql})"
+    return rf"SELECT doc_id AS incident_id, description, regexp_replace(strip_accents(t), '[^\x00-\x7F]', '', 'g') AS description_rest FROM ({sql})"
+
+
+@query("f14_describe_tickets", _described_sql())
+def _(spark, d):
+    docs = documents(spark, d, "lang", "text").selectExpr("doc_id AS incident_id", "lang", f"{_LOGGED} AS request")
+    templates = spark.createDataFrame(_KNOWN, "lang string, template_id int, regex string")
+    return describe_tickets(docs, templates, ["lang"]).select("incident_id", "description", "description_rest")
+
+
 # Blank captures on the first, a middle and the last pattern stand among the forms.
 _TICKET = """CASE doc_id % 6 WHEN 0 THEN 'Omschrijving van de storing : ' || text || ' Inlognaam bas : a Applicatie : b'
   WHEN 1 THEN 'Omschrijving vraag : ' || text || ' Antwoord volgt'

@@ -37,31 +37,37 @@ def _(spark, d):
     return W.undo_difference(changes, series, 12)
 
 
-@query("e4_split_last", f"SELECT series_id, ts, y FROM ({MONTHLY}) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) <= 12")
+def _both(halves):
+    """Both halves of a split in one table."""
+    train, held = halves
+    return train.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
+
+
+@query("e4_split_last", f"SELECT series_id, ts, y, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) <= 12 AS held FROM ({MONTHLY})")
 def _(spark, d):
-    return W.split_last(monthly(spark, d), 12)[1]
+    return _both(W.split_last(monthly(spark, d), 12))
 
 
 @query(
     "e4_split_ratio",
-    f"""SELECT series_id, ts, y FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS k, count(*) OVER (PARTITION BY series_id) AS n FROM ({HOURLY}))
-        WHERE k <= floor(n * 0.66)""",
+    f"""SELECT series_id, ts, y, k > floor(n * 0.66) AS held
+        FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS k, count(*) OVER (PARTITION BY series_id) AS n FROM ({HOURLY}))""",
 )
 def _(spark, d):
-    return W.split_ratio(hourly(spark, d), 0.66)[0]
+    return _both(W.split_ratio(hourly(spark, d), 0.66))
 
 
-@query("e5_split_date", "SELECT o_orderkey FROM orders WHERE o_orderdate < DATE '1998-05-23'")
+@query("e5_split_date", "SELECT o_orderkey, o_orderdate >= DATE '1998-05-23' AS held FROM orders")
 def _(spark, d):
-    return W.split_date(table(spark, d, "orders"), "o_orderdate", "1998-05-23")[0].select("o_orderkey")
+    return _both(W.split_date(table(spark, d, "orders"), "o_orderdate", "1998-05-23")).select("o_orderkey", "held")
 
 
 @query(
     "e5_split_random",
-    "SELECT doc_id FROM documents WHERE NOT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':8'), 1, 8) AS BIGINT) < 644245094",
+    "SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':8'), 1, 8) AS BIGINT) < 644245094 AS held FROM documents",
 )
 def _(spark, d):
-    return W.split_random(table(spark, d, "documents").select("doc_id"), 0.15, "doc_id", 8)[0]
+    return _both(W.split_random(table(spark, d, "documents").select("doc_id"), 0.15, "doc_id", 8))
 
 
 @query("e6_persistence_forecast", f"SELECT series_id, ts, y, lag(y) OVER (PARTITION BY series_id ORDER BY ts) AS yhat FROM ({HOURLY})")

@@ -36,20 +36,23 @@ def read_many(
 
 
 def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
-    """One word per line, in order of first appearance, without repeats."""
-    lines = spark.read.text(path).select(
-        F.col("value").alias("word"), F.monotonically_increasing_id().alias("line")
-    )
+    """One word per line, without repeats; ``line`` orders them by first appearance, file by file in order of their names."""
+    lines = spark.read.text(path).select(F.col("value").alias("word"), _place().alias("line"))
     return lines.groupBy("word").agg(F.min("line").alias("line"))
 
 
+def _place() -> Column:
+    """Where a line stands: its file, the part of the file that its task reads, and the row of that task."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_wordmap(spark: SparkSession, path: str) -> DataFrame:
-    """``from=to`` lines, both sides trimmed; the first line of a word wins."""
+    """``from=to`` lines, both sides trimmed; the first line of a word wins, files in order of their names."""
     pair = F.split("value", "=")
     lines = spark.read.text(path).where(F.contains("value", F.lit("="))).select(
         F.trim(F.get(pair, F.lit(0))).alias("word"),
         F.trim(F.get(pair, F.lit(1))).alias("replacement"),
-        F.monotonically_increasing_id().alias("line"),
+        _place().alias("line"),
     )
     return lines.groupBy("word").agg(F.min_by("replacement", "line").alias("replacement"))
 

@@ -76,3 +76,53 @@ def test_keep_repeated_counts_only_marked_rows(spark):
 
 def test_histogram_of_one_value(spark):
     assert [tuple(r) for r in A.histogram(spark.range(3).selectExpr("5 AS v"), "v", 4).collect()] == [(0, 5.0, 3)]
+
+
+def test_quantiles_by_rounds(spark, monkeypatch):
+    """With a tiny limit every bracket is narrowed in rounds; constants and heavy values end them."""
+    from incidentkit.operators import ranking
+
+    rng = np.random.default_rng(3)
+    rows = [("even", float(v)) for v in rng.normal(size=6000)] + [("same", 7.0)] * 500 + [("heavy", float(v)) for v in np.concatenate([np.full(4000, 1.5), rng.normal(1.5, 1e-3, 4000)])]
+    df = spark.createDataFrame(rows, "k string, v double")
+    monkeypatch.setattr(ranking, "SORTED", 20)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.k: r.quantiles for r in exact_quantiles(df, "v", probs, ["k"], accuracy=40).collect()}
+    for key in ("even", "same", "heavy"):
+        assert np.allclose(got[key], np.quantile([v for k, v in rows if k == key], probs))
+    whole = exact_quantiles(df.select("v"), "v", probs, accuracy=40).first().quantiles
+    assert np.allclose(whole, np.quantile([v for _, v in rows], probs))
+
+
+def test_sample_by_rounds(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 1500).alias("id"), F.col("id").alias("row"))
+    want = {r.row for r in R.sample_n(df, 700, "id", 1).collect()}
+    monkeypatch.setattr(R, "RANKED", 0)
+    got = R.sample_n(df, 700, "id", 1).collect()
+    assert len(got) == 700 == len(want) and {r.id for r in got} == {r.id for r in R.sample_n(df.repartition(5), 700, "id", 1).collect()}
+    assert R.sample_n(df, 0, "id", 1).count() == 0 and R.sample_n(df.limit(0), 5, "id", 1).count() == 0
+
+
+def test_chi2_equals_the_whole_grid(spark):
+    from incidentkit.operators.features import chi2_terms
+
+    rng = np.random.default_rng(6)
+    labels = [(i, "abcd"[min(3, int(rng.integers(0, 5)))]) for i in range(120)] + [(500, "none")]
+    weights = [(i, f"w{rng.integers(0, 30)}" + (" x" if rng.random() < 0.4 else ""), float(rng.random())) for i, _ in labels[:-1] for _ in range(3)]
+    weights = list({(d, t): (d, t, w) for d, t, w in weights}.values())
+    w = spark.createDataFrame(weights, "doc int, term string, weight double")
+    l = spark.createDataFrame(labels, "doc int, label string")
+    got = {(r.label, r.words, r.rank): (r.term, r.chi2) for r in chi2_terms(w, l, "doc", "label", 4, 3).collect()}
+    of, observed, total = dict(labels), {}, {}
+    for d, t, x in weights:
+        observed[of[d], t] = observed.get((of[d], t), 0) + x
+        total[t] = total.get(t, 0) + x
+    want = {}
+    for c in set(of.values()):
+        share = sum(v == c for v in of.values()) / len(of)
+        for words, most in ((1, 4), (2, 3)):
+            terms = [t for t in total if len(t.split()) == words]
+            score = lambda t: (observed.get((c, t), 0) - share * total[t]) ** 2 / (share * (1 - share) * total[t])  # noqa: B023, E731
+            for rank, t in enumerate(sorted(terms, key=lambda t: (-round(score(t), 9), t))[:most], 1):
+                want[c, words, rank] = score(t)
+    assert got.keys() == want.keys() and all(np.isclose(got[k][1], want[k]) for k in want)

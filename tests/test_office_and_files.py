@@ -11,28 +11,28 @@ DHO16, DHO14 = B.JUDGED_SIZES
 
 def test_catalog_rules(spark):
     cat = [
-        ("laan", "Acer campestre Royal Ruby", DHO16, 90.0, 1), ("laan", "Acer campestre Royal Ruby", "20-25", 120.0, 2),
-        ("laan", "Acer campestre Elsrijk", DHO16, 90.0, 3), ("laan", "Acer campestre Huibers", "20-25", 500.0, 4),
-        ("laan", "Tilia cordata Rancho", DHO14, 50.0, 5), ("laan", "Quercus robur X", "20-25", 70.0, 6),
-        ("laan", "Crataegus lavalleei", DHO16, 10.0, 7),
+        ("laan", "Betula nova Red Velvet", DHO16, 90.0, 1), ("laan", "Betula nova Red Velvet", "20-25", 120.0, 2),
+        ("laan", "Betula nova Northwind", DHO16, 90.0, 3), ("laan", "Betula nova Southwind", "20-25", 500.0, 4),
+        ("laan", "Fagus nova Highway", DHO14, 50.0, 5), ("laan", "Alnus recta X", "20-25", 70.0, 6),
+        ("laan", "Sorbus fictiva", DHO16, 10.0, 7),
     ]
     catalog = spark.createDataFrame(cat, "group string, latin_name string, size_code string, price double, row_no int")
     names = spark.createDataFrame(
         [
-            ("laan", "Acer campestre Any Globes", 1), ("laan", "Tilia cordata Y", 2), ("laan", "Quercus robur Z", 3), ("fruit", "Malus 'Donald Wyman'", 4),
-            ("fruit", "Crataegus  Lavalleei", 5), ("laan", "Nieuw soort A", 6), ("laan", "Tilia cordata y", 7),
+            ("laan", "Betula nova Even Rounds", 1), ("laan", "Fagus nova Y", 2), ("laan", "Alnus recta Z", 3), ("fruit", "Pyrus 'Harbour Light'", 4),
+            ("fruit", "Sorbus  Fictiva", 5), ("laan", "Nieuw soort A", 6), ("laan", "Fagus nova y", 7),
         ],
         "group string, latin_name string, row_no int",
     )
     out = B.extend_catalog(names, catalog).collect()
     added = [r for r in out if (r.latin_name, r.size_code) not in {(c[1], c[2]) for c in cat}]
-    assert {(r.size_code, r.price, r.control) for r in added if r.latin_name == "Acer campestre Any Globes"} == {
-        (DHO16, 90.0, "Acer campestre Royal Ruby"), ("20-25", 120.0, "Acer campestre Royal Ruby")}
-    assert [(r.size_code, r.price) for r in added if r.latin_name.lower() == "tilia cordata y"] == [(DHO14, 50.0)]
-    for name in ("Quercus robur Z", "Malus 'Donald Wyman'", "Nieuw soort A"):
+    assert {(r.size_code, r.price, r.control) for r in added if r.latin_name == "Betula nova Even Rounds"} == {
+        (DHO16, 90.0, "Betula nova Red Velvet"), ("20-25", 120.0, "Betula nova Red Velvet")}
+    assert [(r.size_code, r.price) for r in added if r.latin_name.lower() == "fagus nova y"] == [(DHO14, 50.0)]
+    for name in ("Alnus recta Z", "Pyrus 'Harbour Light'", "Nieuw soort A"):
         rows = [r for r in added if r.latin_name == name]
         assert sorted(r.size_code for r in rows) == sorted(B.STANDARD_SIZES) and all(r.price is None and r.control is None for r in rows)
-    assert not any("Lavalleei" in r.latin_name for r in added)
+    assert not any("Fictiva" in r.latin_name for r in added)
     assert [(r.group, r.latin_name, r.size_code) for r in out] == sorted((r.group, r.latin_name, r.size_code) for r in out)
 
 

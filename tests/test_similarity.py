@@ -107,3 +107,60 @@ def test_link_candidates(spark):
     assert got == {"I1": ("P1", "P1", 1), "I2": ("P2", "I3", 2)}
     report = match_report(claims, problems, tickets.withColumn("link_kind", F.lit("RK")))
     assert len(report.columns) == 16 and report.count() == 2
+
+
+def clustered(seed, groups, size, dims=12):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(groups, dims))
+    return np.repeat(middles, size, axis=0) + 0.05 * rng.normal(size=(groups * size, dims))
+
+
+def test_block_pairs_grow_less_than_quadratically(spark):
+    """Four times as many groups: sixteen times as many pairs of rows, but few more pairs of blocks per row."""
+
+    def pairs(groups):
+        v = clustered(3, groups, 40)
+        df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id int, v array<double>")
+        left, right = df.where("id % 2 = 0").withColumnRenamed("id", "a"), df.where("id % 2 = 1").withColumnRenamed("id", "b")
+        return S._prepared(left, right, "a", "b", "v", 0.95, None, 16, None)[-1].count()
+
+    assert pairs(80) < 10 * pairs(20)
+
+
+def test_pivots_and_blocks_do_not_change_the_pairs(spark):
+    v = clustered(5, 8, 30)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id int, v array<double>")
+    left, right = df.where("id < 100").withColumnRenamed("id", "a"), df.where("id >= 100").withColumnRenamed("id", "b")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for threshold in (0.3, 0.9):
+        want = {(i, j) for i in range(100) for j in range(100, 240) if unit[i] @ unit[j] > threshold}
+        for pivots, block in ((None, 2048), (None, 8), (25, 4), (1, 50)):
+            rows = S.cosine_join(left, right, "a", "b", "v", threshold, pivots=pivots, block=block).collect()
+            assert {(r.a, r.b) for r in rows} == want and len(rows) == len(want)
+
+
+def test_order_column_must_be_whole_numbers(spark):
+    df = spark.createDataFrame([(1, "x", [1.0])], "a int, o string, v array<double>")
+    try:
+        S.cosine_join(df, df.withColumnRenamed("a", "b"), "a", "b", "v", 0.5, first="o")
+    except ValueError:
+        return
+    raise AssertionError("a text column was taken as an order")
+
+
+def test_links_connect_what_pairs_connect(spark, monkeypatch):
+    names = [f"printer {k} in kamer {i % 40} doet het niet" for i in range(80) for k in ("a", "kleur", "zwart wit")]
+    names += [f"outlook start niet op {i}" for i in range(40)] + ["kort", ""]
+    df = spark.createDataFrame([(x,) for x in sorted(set(names))], "name string")
+    pairs = S.cosine_self_join(df, "name", "name")
+    want = {r.name: r.group for r in G.connected_groups(pairs).collect()}
+    for postings in (512, 3):
+        monkeypatch.setattr(S, "POSTINGS", postings)
+        links = S.cosine_links(df, "name", "name")
+        assert {r.name: r.group for r in G.connected_groups(links).collect()} == want
+        got = {(r.id1, r.id2) for r in S.cosine_self_join(df, "name", "name").collect()}
+        assert got == {(r.id1, r.id2) for r in pairs.collect()}
+    # Many copies of one sentence: a star has as many links as texts, not as many as pairs.
+    copies = spark.createDataFrame([(f"de printer op de derde verdieping van gebouw {i} geeft een melding",) for i in range(300)], "name string")
+    links = S.cosine_links(copies, "name", "name", threshold=0.15)
+    assert 0 < links.distinct().count() < 12 * 300 and len({r.group for r in G.connected_groups(links).collect()}) == 1

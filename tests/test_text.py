@@ -129,3 +129,41 @@ def test_hot_template_key_keeps_every_ticket(spark):
     assert got.count() == 3000
     hit = got.where("description IS NOT NULL")
     assert hit.count() == 1000 and hit.where("template_id <> 3").count() == 0
+
+
+def test_index_finds_what_patterns_match():
+    import random
+    import re
+
+    from incidentkit.operators.template_index import Index, fixed_parts
+
+    assert fixed_parts(r"^naam:.*?omschrijving\ storing:(.+?)telefoon:.*?$") == ["naam:", "omschrijving storing:", "telefoon:"]
+    assert fixed_parts("^a:(.+?)b:.*?z?$") == [] and fixed_parts(r"\d+") == [] and fixed_parts("^(.+?)$") == [] and fixed_parts("a|b") == []
+    assert fixed_parts(r"kosten \$5\.") == ["kosten $5."]
+    rng = random.Random(1)
+    words = [f"veld {i}:" for i in range(12)] + ["naam:", "omschrijving:"]
+    patterns = ["^" + ".*?".join(rng.sample(words, rng.randint(1, 3))) + "(.+?)" + rng.choice(words) + ".*?$" for _ in range(200)] + ["^(.+?)x?$", "^(.+?)slot:.*?$"]
+    index = Index(patterns)
+    automaton = index.automaton()
+    for _ in range(300):
+        text = " ".join(rng.choices(words + ["iets", "slot:"], k=rng.randint(0, 8)))
+        may = index.candidates(text, automaton)
+        assert may == sorted(may) and {i for i, p in enumerate(patterns) if re.search(p, text)} <= set(may)
+    assert len(index.candidates("naam: iets omschrijving: meer", automaton)) < 20
+
+
+def test_many_templates_find_the_same(spark):
+    tickets = spark.range(400).selectExpr("id AS incident_id", "IF(id % 3 = 0, null, concat('Kop', id % 7, ': a Omschrijving ', id % 11, ': iets ', id, ' Slot: z')) AS request")
+    rows = [(i, f"^kop{i % 9}:.*?omschrijving {i % 13}:(.+?)slot:.*?{'.*?' * (i % 3)}$") for i in range(1000)]
+    templates = spark.createDataFrame(rows, "template_id int, regex string")
+    got = {r.incident_id: (r.template_id, r.description) for r in J.match_any_template(tickets, templates).collect()}
+    assert len(got) == 400
+    import re
+
+    ordered = sorted(rows, key=lambda t: (-len(t[1]), t[0]))
+    for r in tickets.collect():
+        text = (r.request or "").lower()
+        hit = next(((i, re.search(p, text)[1].strip()) for i, p in ordered if r.request and re.search(p, text)), (None, None))
+        assert got[r.incident_id] == hit
+    none = spark.createDataFrame([], "template_id int, regex string")
+    assert J.match_any_template(tickets, none).where("description IS NOT NULL").count() == 0
