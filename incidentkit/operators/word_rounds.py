@@ -168,8 +168,11 @@ def word_vectors(
         averaged = moved.groupBy("kind", "number").agg(F.sum("weight").alias("weight"), vector_to_array(mean, "float32").alias("moved"))
         inner, outer = inner.copy(), outer.copy()
         # Two vectors per word of the vocabulary at most.
-        for r in averaged.toLocalIterator():
-            (inner, outer)[r.kind][r.number] = np.array(r.moved, dtype=np.float32) / np.float32(r.weight)
+        found = averaged.toArrow().combine_chunks()
+        kinds, numbers_of, weights = (found[c].to_numpy() for c in ("kind", "number", "weight"))
+        rows_of = found["moved"].combine_chunks().flatten().to_numpy().reshape(-1, size) / weights[:, None]
+        for kind, table in enumerate((inner, outer)):
+            table[numbers_of[kinds == kind]] = rows_of[kinds == kind]
         held.unpersist()
     found = pd.DataFrame({"word": [r.word for r in rows], "vector": list(inner)})
     return spark.createDataFrame(found, "word string, vector array<float>")

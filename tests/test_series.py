@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from incidentkit.operators import arima as A, series as S
+from incidentkit.operators import arima as A, innovations as inn, series as S
 from incidentkit.plans.tickets import forecast_scores, monthly_forecast
 
 
@@ -170,3 +170,55 @@ def test_p_values_match_the_critical_values(spark):
             assert abs(p - share) < 0.002
     ends = spark.range(1).select(S.p_value(F.lit(-30.0)), S.p_value(F.lit(5.0)), S.p_value(F.lit(None).cast("double")))
     assert tuple(ends.first()) == (0.0, 1.0, None)
+
+
+def simulated(seed, n, ar=(), ma=()):
+    rng = np.random.default_rng(seed)
+    e = rng.normal(size=n + 200)
+    w = np.zeros(n + 200)
+    for t in range(len(w)):
+        w[t] = e[t] + sum(f * w[t - i] for i, f in ar if t >= i) + sum(f * e[t - j] for j, f in ma if t >= j)
+    return w[200:]
+
+
+def test_refined_estimates_are_near_the_truth():
+    """1,500 values a series: coefficients within 0.1, and no series ends with a larger sum of squares than it started."""
+    cases = [(((1, 0.6),), ((1, 0.5),)), ((), ((1, -0.8),)), (((1, 0.5), (2, -0.3)), ((1, 0.4),)), ((), ((1, 0.4), (12, 0.5)))]
+    for ar, ma in cases:
+        lags, shocks = [i for i, _ in ar], [j for j, _ in ma]
+        series = [simulated(s, 1500, ar, ma) for s in range(5)]
+        w, size = A._stacked(series)
+        start = np.zeros((5, len(ar) + len(ma)))
+        before = (inn._recursion(w, size, lags, shocks, False, start, False)[0] ** 2).sum(axis=1)
+        beta, sums, _ = inn.refined(w, size, lags, shocks, False, start)
+        truth = np.array([f for _, f in (*ar, *ma)])
+        assert np.abs(beta - truth).max() < 0.1 and (sums <= before).all()
+
+
+def test_long_orders_and_awkward_series():
+    """(6,1,2) and (6,0,6) end, and never worse than their regression; constants, short and explosive starts do no harm."""
+    rng = np.random.default_rng(0)
+    for ar, ma in (([1, 2, 3, 4, 5, 6], [1, 2]), ([1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6])):
+        series = [simulated(s, n, ((1, 0.5),), ((1, 0.3),)) for s, n in ((1, 72), (2, 400))] + [np.zeros(60), np.sin(np.arange(90.0)), rng.normal(size=3)]
+        order = A.Order(len(ar), 0, len(ma))
+        beta, sums, shocks, n, enough = A._fit_stacked(series, order)
+        assert np.isfinite(beta[:2]).all() and np.isfinite(sums[:2]).all() and not enough[4]
+        w, size = A._stacked(series[:2])
+        start = np.full((2, len(ar) + len(ma)), 3.0)
+        again, cost, _ = inn.refined(w, size, ar, ma, False, start)
+        assert np.isfinite(again).all()
+
+
+def test_saved_fit_forecasts_like_its_own_innovations(spark):
+    y = np.cumsum(simulated(5, 300, ((1, 0.4),), ((1, 0.5),)))
+    df = spark.createDataFrame([("s", month(t), float(v)) for t, v in enumerate(y)], "series_id string, ts date, y double")
+    order = A.Order(1, 1, 1)
+    fit = A.arima_fit(df, order)
+    row = fit.first()
+    rows = A.apply_fit(df, fit, order).orderBy("ts").collect()
+    assert abs(row.coef[0] - 0.4) < 0.2 and abs(row.coef[1] - 0.5) < 0.2 and len(rows) == 298
+    # The innovation that the fit keeps is the residual of the last row, and the next forecast follows from both.
+    assert abs(row.last_e[0] - rows[-1].residual) < 1e-9
+    ahead = A.arima_forecast(fit, order, 1).first().yhat
+    w = np.diff(y)
+    assert abs(ahead - (y[-1] + row.coef[0] * w[-1] + row.coef[1] * rows[-1].residual)) < 1e-9
