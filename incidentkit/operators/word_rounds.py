@@ -1,26 +1,32 @@
 """Word vectors trained in rounds over partitions, with averaged parameters.
 
-Documents are encoded once as word numbers and dealt into parts of about
-PART_TOKENS tokens. In every round each part is trained by its own task, from
-the same vectors; the vectors of a word are then averaged over the parts,
-weighed by how often the part has trained them. A task holds one part's tokens
-and the vectors of the vocabulary, which ``max_words`` bounds.
+Documents are encoded once as word numbers and dealt into parts of PART_TOKENS
+tokens or more, MOST_PARTS at most. In every round each part is trained by its
+own task, from the same vectors, a block of documents after the other; the
+vectors of a word are then averaged over the parts, weighed by how often the
+part has trained them. So what a round shuffles is bounded by the vocabulary
+(``max_words``) times MOST_PARTS, however long the texts are. A task holds one
+block's tokens and the vectors of the vocabulary.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from incidentkit.operators.ranking import global_rank
 from incidentkit.operators.rows import unfold
 from incidentkit.session import checkpoint
 
-#: Tokens of a part, and positions that are trained together.
+#: Tokens of a block, and positions that are trained together.
 PART_TOKENS, TOGETHER = 100_000, 256
+#: Parts at most: each sends the vectors of the words that it has trained once a round.
+MOST_PARTS = 12
+#: Words whose vectors travel in one row, and trained words that a task lists before it counts them.
+TOGETHER_SENT, LISTED = 4096, 1_000_000
 #: Steps of one word in a batch that are taken in full; more are scaled down to as many.
 REPEATS = 16
 #: Noise words that the pairs of a batch share.
@@ -40,6 +46,8 @@ class _Trainer:
         share = counts / counts.sum()
         self.stays = np.minimum(1.0, np.sqrt(OFTEN / share) + OFTEN / share)
         self.met: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        self.listed = 0
+        self.times = np.zeros((2, len(inner)), np.int64)
 
     def run(self, documents: list[np.ndarray], rate: float) -> None:
         kept = [d[self.rng.random(len(d)) < self.stays[d]] for d in documents]
@@ -70,8 +78,9 @@ class _Trainer:
             return
         row, _ = np.nonzero(valid)
         words = context[valid]
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        hidden = np.add.reduceat(self.inner[words], first, axis=0) / np.diff(np.append(first, len(row)))[:, None]
+        used, at = np.unique(words, return_inverse=True)
+        share = _counted(row, at, len(centers), len(used)) / valid.sum(axis=1, dtype=np.float32)[:, None]
+        hidden = share @ self.inner[used]
         self._update(centers, hidden, rate, row, words)
 
     def _update(self, centers: np.ndarray, hidden: np.ndarray, rate: float, row: np.ndarray, words: np.ndarray) -> None:
@@ -86,11 +95,21 @@ class _Trainer:
         self.met[0].append(words)
         self.met[1].append(centers)
         self.met[1].append(noise)
+        self.listed += len(words)
+        if self.listed > LISTED:
+            self._count()
+
+    def _count(self) -> None:
+        for kind, met in enumerate(self.met):
+            if met:
+                self.times[kind] += np.bincount(np.concatenate(met), minlength=len(self.inner))
+                met.clear()
+        self.listed = 0
 
     def trained(self, kind: int) -> np.ndarray:
         """How often each word's vector was trained."""
-        met = self.met[kind]
-        return np.bincount(np.concatenate(met), minlength=len(self.inner)).astype(np.float64) if met else np.zeros(len(self.inner))
+        self._count()
+        return self.times[kind]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -99,12 +118,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _add(table: np.ndarray, places: np.ndarray, rows: np.ndarray, row: np.ndarray | None = None) -> None:
     """Add rows (or rows[row]) to places of a table, repeated places together."""
-    order = np.argsort(places, kind="stable")
-    first = np.flatnonzero(np.diff(places[order], prepend=-1))
-    moved = rows[order if row is None else row[order]]
+    used, at, often = np.unique(places, return_inverse=True, return_counts=True)
     # All steps of a batch start from the same vector: a word that occurs very often in it must not overshoot.
-    often = np.diff(np.append(first, len(places)))
-    table[places[order][first]] += np.add.reduceat(moved, first, axis=0) * np.minimum(1.0, REPEATS / often).astype(np.float32)[:, None]
+    scale = np.minimum(1.0, REPEATS / often).astype(np.float32)
+    steps = _counted(at, np.arange(len(places)) if row is None else row, len(used), len(rows))
+    table[used] += (steps * scale[:, None]) @ rows
+
+
+def _counted(rows: np.ndarray, columns: np.ndarray, height: int, width: int) -> np.ndarray:
+    """How often each (row, column) is met, as a table."""
+    return np.bincount(rows * width + columns, minlength=height * width).reshape(height, width).astype(np.float32)
 
 
 def vocabulary(df: DataFrame, tokens: str, min_count: int = 2, max_words: int = 100_000) -> DataFrame:
@@ -138,46 +161,68 @@ def word_vectors(
             yield pd.DataFrame({"words": found})
 
     encoded = df.select(tokens).mapInPandas(encode, "words array<int>")
-    parts = max(1, -(-int(counts.sum()) // PART_TOKENS))
+    parts = min(MOST_PARTS, max(1, -(-int(counts.sum()) // PART_TOKENS)))
     # A hash of the words deals documents evenly and repeats; equal documents may lie together.
     dealt = checkpoint(encoded.where("size(words) > 1").repartition(parts, F.xxhash64("words", F.monotonically_increasing_id())))
     rng = np.random.default_rng(seed)
     inner = ((rng.random((len(rows), size)) - 0.5) / size).astype(np.float32)
     outer = np.zeros((len(rows), size), np.float32)
+
+    def average(key, group):
+        total, times = np.zeros((TOGETHER_SENT, size)), np.zeros(TOGETHER_SENT)
+        for r in group.sort_values("part").itertuples():
+            at, often = np.frombuffer(r.at, "int32"), np.frombuffer(r.times, "int64")
+            total[at] += np.frombuffer(r.vectors, "float32").reshape(-1, size) * often[:, None]
+            times[at] += often
+        used = np.flatnonzero(times)
+        mean = (total[used] / times[used, None]).astype("float32")
+        return pd.DataFrame({"kind": [key[0]], "block": [key[1]], "at": [used.astype("int32").tobytes()], "vectors": [mean.tobytes()]})
+
     for turn in range(rounds):
         held = spark.sparkContext.broadcast((inner, outer))
         now = rate * max(1 - turn / rounds, 0.02)
 
         def train(batches, held=held, now=now, turn=turn):
-            documents = [np.asarray(ws, dtype=np.int64) for batch in batches for ws in batch["words"]]
-            if not documents:
-                return
             trainer = _Trainer(*held.value, counts, window, negative, bag, seed * 1000 + turn)
-            trainer.run(documents, now)
+            for documents in _blocks(batches):
+                trainer.run(documents, now)
+            part = TaskContext.get().partitionId()
             for kind, table in enumerate((trainer.inner, trainer.outer)):
-                weight = trainer.trained(kind)
-                used = np.flatnonzero(weight)
-                weight = weight[used]
-                for at in range(0, len(used), 4096):
-                    some = used[at : at + 4096]
-                    w = weight[at : at + 4096]
-                    yield pd.DataFrame({"kind": np.full(len(some), kind, "int8"), "number": some.astype("int32"), "weight": w, "moved": list((table[some] * w[:, None]).astype(np.float64))})
-
-        moved = dealt.mapInPandas(train, "kind byte, number int, weight double, moved array<double>")
-        mean = Summarizer.sum(array_to_vector("moved"))
-        averaged = moved.groupBy("kind", "number").agg(F.sum("weight").alias("weight"), vector_to_array(mean, "float32").alias("moved"))
+                times = trainer.trained(kind)
+                for block, low in enumerate(range(0, len(times), TOGETHER_SENT)):
+                    at = np.flatnonzero(times[low : low + TOGETHER_SENT])
+                    if len(at):
+                        sent = [at.astype("int32").tobytes()], [times[low + at].tobytes()], [table[low + at].tobytes()]
+                        yield pd.DataFrame({"part": [part], "kind": [kind], "block": [block], "at": sent[0], "times": sent[1], "vectors": sent[2]})
+
+        moved = dealt.mapInPandas(train, "part int, kind int, block int, at binary, times binary, vectors binary")
+        averaged = moved.groupBy("kind", "block").applyInPandas(average, "kind int, block int, at binary, vectors binary")
         inner, outer = inner.copy(), outer.copy()
         # Two vectors per word of the vocabulary at most.
-        found = averaged.toArrow().combine_chunks()
-        kinds, numbers_of, weights = (found[c].to_numpy() for c in ("kind", "number", "weight"))
-        rows_of = found["moved"].combine_chunks().flatten().to_numpy().reshape(-1, size) / weights[:, None]
-        for kind, table in enumerate((inner, outer)):
-            table[numbers_of[kinds == kind]] = rows_of[kinds == kind]
-        held.unpersist()
-    found = pd.DataFrame({"word": [r.word for r in rows], "vector": list(inner)})
+        for r in averaged.collect():
+            at = np.frombuffer(r.at, "int32") + r.block * TOGETHER_SENT
+            (inner, outer)[r.kind][at] = np.frombuffer(r.vectors, "float32").reshape(-1, size)
+        held.destroy()
+    # An Arrow table needs no setting of the session, unlike rows of numpy numbers.
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype="int32") * size), pa.array(inner.ravel()))
+    found = pa.table({"word": pa.array([r.word for r in rows], pa.string()), "vector": vectors})
     return spark.createDataFrame(found, "word string, vector array<float>")
 
 
+def _blocks(batches):
+    """Documents as arrays of word numbers, in blocks of about PART_TOKENS tokens."""
+    block, tokens = [], 0
+    for batch in batches:
+        for ws in batch["words"]:
+            block.append(np.asarray(ws, dtype=np.int64))
+            tokens += len(block[-1])
+            if tokens >= PART_TOKENS:
+                yield block
+                block, tokens = [], 0
+    if block:
+        yield block
+
+
 def most_similar(vectors: DataFrame, word: str, n: int = 10) -> DataFrame:
     """(word, similarity): the n words with the highest cosine to a word."""
     from incidentkit.operators.similarity import cosine

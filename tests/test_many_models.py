@@ -153,3 +153,22 @@ def test_planted_synonyms_are_neighbours(spark, monkeypatch, bag):
 
 def test_no_words_no_vectors(spark):
     assert WR.word_vectors(spark.createDataFrame([([],), (["once"],)], "words array<string>"), "words").count() == 0
+
+
+def test_word_vectors_need_no_arrow_setting_and_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(WR, "PART_TOKENS", 500)
+    monkeypatch.setattr(WR, "TOGETHER_SENT", 16)
+    parts = []
+    repartition = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, n, *by: (parts.append(n), repartition(df, n, *by))[1])
+    name = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        df = spark.createDataFrame(synonym_texts(n=800), "words array<string>")
+        rows = WR.word_vectors(df, "words", size=8, window=3, rounds=2).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(rows) == 65 and all(len(r.vector) == 8 and any(r.vector) for r in rows)
+    # 12,800 tokens would be 26 parts of 500.
+    assert parts == [WR.MOST_PARTS]
