@@ -27,6 +27,8 @@ SENT_WORDS, SENT_NUMBERS = 100_000, 16_000_000
 SHOWN = 16
 #: Words of a document that are summed together.
 SUMMED = 65_536
+#: Numbers by which terms are counted together to show which of them can be among the most frequent.
+CELLS = 1 << 20
 
 
 def term_counts(df: DataFrame, doc: str, tokens: str | Column) -> DataFrame:
@@ -72,25 +74,64 @@ def tfidf(
     idf = ln((1 + docs) / (1 + docs with term)) + 1; tf is the count or 1 + ln count;
     ``max_features`` keeps the terms with the highest total count.
     """
-    counts = term_counts(df, doc, tokens)
-    terms = (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
-        .where(F.col("df") >= min_df)
-    )
     if max_features:
-        terms = terms.orderBy(F.col("total").desc(), "term").limit(max_features)
+        terms, counts = _top_counts(df, doc, tokens, max_features, min_df)
+    else:
+        counts = term_counts(df, doc, tokens)
+        terms = _totals(counts).where(F.col("df") >= min_df)
     docs = df.agg(F.count(F.lit(1)).cast("double")).scalar()
     idf = terms.select("term", (F.log((docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     tf = 1 + F.log("n") if sublinear else F.col("n").cast("double")
     # The counts are read twice out of one shuffle. A capped vocabulary is small by its limit.
-    weighed = counts.join(idf, "term") if max_features else beside(counts, idf, ["term"])
+    weighed = counts.join(F.broadcast(idf), "term") if max_features else beside(counts, idf, ["term"])
     raw = weighed.select(doc, "term", (tf * F.col("idf")).alias("w"))
     # The distinct terms of one document: bounded by its length.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return raw.select(doc, "term", (F.col("w") / length).alias("weight"))
 
 
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+
+
+def _top_counts(df: DataFrame, doc: str, tokens: str | Column, most: int, min_df: int) -> tuple[DataFrame, DataFrame]:
+    """(term, df, total) of the ``most`` terms with the highest totals, and their (doc, term, n).
+
+    Terms that one document in SHOWN names are counted one by one, all others by
+    cell, which holds the terms of one hash. So totals come from rows reduced
+    before the shuffle, and a cell bounds the total of each of its terms. Only
+    terms that reach a floor, looked for in the cells that reach it too, are
+    counted by document; the floor falls until no term below it can be among the best.
+    """
+    every = unfold(df, tokens, "term", doc)
+    shown = every.where(F.pmod(F.xxhash64(doc), F.lit(SHOWN)) == 0).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    shown = checkpoint(shown.orderBy(F.desc("n"), "term").limit(4 * most).select("term", F.lit(True).alias("shown")))
+    cell = F.when(F.col("shown").isNull(), F.pmod(F.xxhash64("term"), F.lit(CELLS)))
+    known = every.select("term").join(F.broadcast(shown), "term", "left")
+    totals = known.select(F.when(F.col("shown"), F.col("term")).alias("term"), cell.alias("cell"))
+    totals = checkpoint(totals.groupBy("term", "cell").agg(F.count(F.lit(1)).alias("total")))
+    named = totals.where("cell IS NULL").select("term", "total")
+    wanted = most if min_df <= 1 else most + max(most // 4, 50)
+    while True:
+        row = named.orderBy(F.desc("total")).limit(wanted).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).first()
+        floor = row.least if row.n == wanted else 0
+        above = totals.where((F.col("cell") >= 0) & (F.col("total") >= floor)).select("cell")
+        high = named.where(F.col("total") >= floor)
+        if not above.isEmpty():
+            others = every.select("term").withColumn("cell", F.pmod(F.xxhash64("term"), F.lit(CELLS))).join(F.broadcast(above), "cell", "left_semi")  # CELLS at most
+            others = others.join(F.broadcast(shown), "term", "left_anti").groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+            high = high.unionByName(others.where((F.col("total") >= floor) & (F.col("total") >= min_df)))
+        high = checkpoint(high)
+        listed = F.broadcast(high) if high.count() <= SENT_WORDS else high
+        counts = checkpoint(every.join(listed.select("term"), "term", "left_semi").groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n")))
+        terms = checkpoint(_totals(counts).where(F.col("df") >= min_df).orderBy(F.col("total").desc(), "term").limit(most))
+        last = terms.agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).first()
+        if floor <= min_df or (last.n == most and last.least >= floor):
+            break
+        wanted *= 4
+    return terms, counts.join(F.broadcast(terms.select("term")), "term", "left_semi")
+
+
 def tfidf_ngrams(df: DataFrame, doc: str, tokens: str, low=2, high=3, max_features=5000) -> DataFrame:
     return tfidf(df, doc, T.word_ngrams(F.col(tokens), low, high), max_features)
 

@@ -56,3 +56,38 @@ def test_document_frequencies_count_keys_once(spark):
     want = Counter(w for ws in merged(docs).values() for w in set(ws))
     assert {r.term: r.df for r in FE.document_frequencies(df, "id", "words").collect()} == want
     assert {r.term: r.df for r in FE.document_frequencies(df.where("id > 3"), "id", "words").collect()} == Counter(w for k, ws in merged(docs).items() if k is not None and k > 3 for w in set(ws))
+
+
+def top_weights(docs, most, min_df, sublinear):
+    of = merged(docs)
+    counts = {k: Counter(ws) for k, ws in of.items()}
+    df, total = Counter(w for c in counts.values() for w in c), Counter(w for ws in of.values() for w in ws)
+    kept = sorted((w for w in df if df[w] >= min_df), key=lambda w: (-total[w], w))[:most]
+    out = {}
+    for k, c in counts.items():
+        w = {t: (1 + np.log(c[t]) if sublinear else c[t]) * (np.log((1 + len(docs)) / (1 + df[t])) + 1) for t in kept if c[t]}
+        size = np.sqrt(sum(x * x for x in w.values()))
+        out.update({(k, t): x / size for t, x in w.items()})
+    return out
+
+
+@pytest.mark.parametrize("most, min_df, cells", [(10, 1, 1 << 20), (10, 8, 3), (25, 3, 7), (500, 1, 50), (500, 300, 50)])
+def test_top_terms_with_few_cells(spark, monkeypatch, most, min_df, cells):
+    monkeypatch.setattr(FE, "CELLS", cells)
+    # A word that one document repeats has a high total and is in few documents.
+    docs = rows(5) + [(900, ["loud"] * 400), (901, ["rare", "rarer"])]
+    df = spark.createDataFrame(docs, "id int, words array<string>").repartition(3)
+    got = {(r.id, r.term): r.weight for r in FE.tfidf(df, "id", "words", most, min_df, True).collect()}
+    want = top_weights(docs, most, min_df, True)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_seldom_terms_are_not_counted_by_document(spark, monkeypatch):
+    """Only the terms that can be among the most frequent are counted one by one."""
+    seen = []
+    plain = FE._totals
+    monkeypatch.setattr(FE, "_totals", lambda counts: (seen.append(counts.count()), plain(counts))[1])
+    docs = [(i, [f"often{k}" for k in range(80)] + [f"own{i}x{k}" for k in range(20)]) for i in range(300)]
+    df = spark.createDataFrame(docs, "id int, words array<string>")
+    assert FE.tfidf(df, "id", "words", 20).select("term").distinct().count() == 20
+    assert seen == [80 * 300]
