@@ -31,6 +31,10 @@ def cosine(a: Column, b: Column) -> Column:
 MOST_PIVOTS = 2048
 #: Steps into which angles from 0 to a half turn are counted.
 BANDS = 256
+#: A reach from which on pivots leave out hardly a pair but multiply the rows that are sent to them.
+WIDE = math.pi / 3
+#: Rows of a block at most where all blocks meet, block pairs that are enough for many cores, and left rows that are compared at a time.
+MOST_ROWS, ENOUGH, STRIPE = 4096, 64, 512
 
 
 def _unit(df: DataFrame, key: str, vector: str, order: str | None = None) -> DataFrame:
@@ -221,6 +225,71 @@ def cosine_join(
     return l_blocks.groupBy(*keys).cogroup(r_blocks.groupBy(*keys)).applyInPandas(product, out)
 
 
+def _two_units(df: DataFrame, key: str, one: str, two: str, order: str | None) -> DataFrame:
+    """(id, o, v, w): both vectors at length one, null where a vector is missing or all zeros."""
+    rank = F.col(order) if order else F.lit(0)
+    vectors = [F.col(c).cast("array<double>").alias(name) for c, name in ((one, "v"), (two, "w"))]
+    given = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), rank.cast("bigint").alias("o"), *vectors)
+    sized = given.withColumns({"lv": F.sqrt(dot(F.col("v"), F.col("v"))), "lw": F.sqrt(dot(F.col("w"), F.col("w")))})
+    unit = lambda c: F.when(F.col(f"l{c}") > 0, F.transform(c, lambda x: x / F.col(f"l{c}"))).alias(c)
+    return sized.select("id", "o", unit("v"), unit("w")).where("v IS NOT NULL OR w IS NOT NULL")
+
+
+def _stacked(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, zeros for missing ones, and which are there."""
+    there = vectors.notna().to_numpy()
+    out = np.zeros((len(vectors), len(vectors.iloc[there.argmax()]) if there.any() else 0))
+    if there.any():
+        out[there] = np.stack(vectors[there].to_numpy())
+    return out, there
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, short: str, request: str, threshold: float, first: str | None) -> DataFrame:
+    """What :func:`score_pairs` gives, from one meeting of every left block with every right block.
+
+    At a low threshold the share of pairs above it does not fall with the rows,
+    so the work is the product of both sides. Blocks are dealt by a hash. A
+    block pair gives both scores of its pairs at once, so pairs are neither
+    shuffled nor joined back to their vectors, and its memory is bounded.
+    """
+    lefts, rights = checkpoint(_two_units(left, left_id, short, request, first)), checkpoint(_two_units(right, right_id, short, request, None))
+    n, m, rows = lefts.count(), rights.count(), MOST_ROWS
+    while rows > STRIPE and -(-n // rows) * -(-m // rows) < ENOUGH:
+        rows //= 2
+    lb, rb = max(1, -(-n // rows)), max(1, -(-m // rows))
+
+    def blocks(df: DataFrame, own: str, k: int, other: str, others: int) -> DataFrame:
+        number = F.pmod(F.xxhash64("id", "v", "w"), F.lit(k)).cast("int")
+        return df.select(number.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), "id", "o", "v", "w")
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values(["o", "id"]) if first else a
+        found, left_ids, right_ids = [(np.empty(0), np.empty(0))], [a["id"].to_numpy()[:0]], [b["id"].to_numpy()[:0]]
+        if len(a) and len(b):
+            (bv, b1), (bw, b2), free = _stacked(b["v"]), _stacked(b["w"]), np.ones(len(b), bool)
+            for at in range(0, len(a), STRIPE):
+                some = a.iloc[at : at + STRIPE]
+                (av, a1), (aw, a2) = _stacked(some["v"]), _stacked(some["w"])
+                scores = [x @ y.T if x.shape[1] and y.shape[1] else np.zeros((len(x), len(y))) for x, y in ((av, bv), (aw, bw))]
+                above = ((scores[0] > threshold) & a1[:, None] & b1) | ((scores[1] > threshold) & a2[:, None] & b2)
+                if first:
+                    j = np.nonzero(above.any(axis=0) & free)[0]
+                    i = above.argmax(axis=0)[j]
+                    free[j] = False
+                else:
+                    i, j = np.nonzero(above)
+                found.append((scores[0][i, j], scores[1][i, j]))
+                left_ids.append(some["id"].to_numpy()[i])
+                right_ids.append(b["id"].to_numpy()[j])
+        one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({left_id: np.concatenate(left_ids), right_id: np.concatenate(right_ids), "score_short": one, "score_request": two})
+
+    kinds = (df.schema["id"].dataType.simpleString() for df in (lefts, rights))
+    out = "{} {}, {} {}, score_short double, score_request double".format(*sum(zip((left_id, right_id), kinds, strict=True), ()))
+    l_blocks, r_blocks = blocks(lefts, "lb", lb, "rb", rb), blocks(rights, "rb", rb, "lb", lb)
+    return l_blocks.groupBy("lb", "rb").cogroup(r_blocks.groupBy("lb", "rb")).applyInPandas(product, out)
+
+
 def score_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -235,8 +304,11 @@ def score_pairs(
 
     Both tables carry the two vector columns; an all-zero vector scores zero.
     With ``first`` the pairs hold, for every right row, its first left row by
-    that column, see :func:`cosine_join`.
+    that column, see :func:`cosine_join`. Below a threshold of a half all blocks
+    meet, see :func:`_all_pairs`.
     """
+    if math.acos(max(-1.0, min(1.0, threshold))) > WIDE:
+        return _all_pairs(left, right, left_id, right_id, short, request, threshold, first)
     by_short, by_request = (
         cosine_join(left, right, left_id, right_id, c, threshold, first=first).drop("score") for c in (short, request)
     )

@@ -164,3 +164,29 @@ def test_links_connect_what_pairs_connect(spark, monkeypatch):
     copies = spark.createDataFrame([(f"de printer op de derde verdieping van gebouw {i} geeft een melding",) for i in range(300)], "name string")
     links = S.cosine_links(copies, "name", "name", threshold=0.15)
     assert 0 < links.distinct().count() < 12 * 300 and len({r.group for r in G.connected_groups(links).collect()}) == 1
+
+
+def test_low_threshold_meets_every_pair_once(spark):
+    rng = np.random.default_rng(4)
+    v, w = rng.normal(size=(120, 6)), rng.normal(size=(120, 4))
+    v[3], w[3], w[50], v[70] = 0, 0, 0, 0
+    rows = [(i, (i * 7) % 120, v[i].tolist(), w[i].tolist() if i != 90 else None) for i in range(120)]
+    df = spark.createDataFrame(rows + [rows[1], rows[2]], "id int, row_no int, short_vector array<double>, request_vector array<double>")
+    left, right = df.where("id % 3 = 0").withColumnRenamed("id", "a"), df.where("id % 3 <> 0").withColumnRenamed("id", "b").drop("row_no")
+    w[90] = 0
+    unit = [x / np.where((n := np.linalg.norm(x, axis=1)) > 0, n, 1)[:, None] for x in (v, w)]
+    want = Counter()
+    for i in range(0, 120, 3):
+        for j in (j for j in range(120) if j % 3):
+            s = [float(x[i] @ x[j]) for x in unit]
+            if max(s) > 0.35:
+                want[i, j, round(s[0], 9), round(s[1], 9)] += 1 + (j in (1, 2))
+    pairs = S.score_pairs(left, right, "a", "b", threshold=0.35)
+    assert Counter((r.a, r.b, round(r.score_short, 9) + 0.0, round(r.score_request, 9) + 0.0) for r in pairs.collect()) == want and len(want) > 500
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # pairs are neither made distinct nor joined back to their vectors
+    few = S.score_pairs(left, right, "a", "b", threshold=0.35, first="row_no").collect()
+    number = {i: (i * 7) % 120 for i in range(120)}
+    best = {j: min((number[i], i) for i, k, *_ in want if k == j)[1] for _, j, *_ in want}
+    assert {j: min((number[r.a], r.a) for r in few if r.b == j)[1] for j in best} == best
+    assert S.score_pairs(left.limit(0), right, "a", "b", threshold=0.35).count() == 0
