@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -156,7 +156,25 @@ def tfidf_model(
     they become the scaling vector, so vectors stay sparse all the way.
     """
     counter = count_vectorizer(df, tokens, max_features, min_df, f"{out}_count")
-    idf = IDF(inputCol=f"{out}_count", outputCol=f"{out}_idf").fit(counter.transform(df)).idf
+    return _weighing(counter, counter.transform(df), out)
+
+
+def tfidf_fitted(
+    df: DataFrame, tokens: str, max_features: int = 5000, min_df: float = 1.0, out: str = "features", keep: Callable = checkpoint
+) -> tuple[PipelineModel, DataFrame]:
+    """The stages of :func:`tfidf_model` and the rows they were fitted on with their weights, without the tokens.
+
+    The counts are kept by ``keep``, so whatever reads the weights, however
+    often, does not make the tokens again.
+    """
+    counter = count_vectorizer(df, tokens, max_features, min_df, f"{out}_count")
+    counts = keep(counter.transform(df).drop(tokens))
+    stages = _weighing(counter, counts, out)
+    return stages, PipelineModel(stages.stages[1:]).transform(counts)
+
+
+def _weighing(counter: Transformer, counts: DataFrame, out: str) -> PipelineModel:
+    idf = IDF(inputCol=f"{out}_count", outputCol=f"{out}_idf").fit(counts).idf
     scale = ElementwiseProduct(
         inputCol=f"{out}_count", outputCol=f"{out}_raw", scalingVec=Vectors.dense(idf.toArray() + 1.0)
     )

@@ -254,8 +254,8 @@ def _(spark, d):
 @query("g15_assign_cluster")
 def _(spark, d):
     docs = words(spark, d)
-    stages = FE.tfidf_model(docs, "tokens", TERMS, 10.0)
-    model = M.kmeans(stages.transform(docs), 14, 50)
+    stages, df = FE.tfidf_fitted(docs, "tokens", TERMS, 10.0)
+    model = M.kmeans(df, 14, 50)
     turns = table(spark, d, "conversations").select("conv_id", "turn", T.tokenize(F.lower("text"), r"\p{L}+").alias("tokens"))
     return M.assign_cluster(stages.transform(turns), model).groupBy("cluster").count()
 

@@ -172,3 +172,13 @@ def test_word_vectors_need_no_arrow_setting_and_few_parts(spark, monkeypatch):
     assert len(rows) == 65 and all(len(r.vector) == 8 and any(r.vector) for r in rows)
     # 12,800 tokens would be 26 parts of 500.
     assert parts == [WR.MOST_PARTS]
+
+
+def test_kept_weights_equal_the_stages(spark):
+    # No two terms are met equally often, as Spark's CountVectorizer leaves the order of such terms open.
+    docs = spark.createDataFrame([(i, [f"d{k}" for k in range(1, 8) if i % k == 0]) for i in range(1, 61)], "id int, tokens array<string>")
+    stages, kept = FE.tfidf_fitted(docs, "tokens", 10, 2.0)
+    plain = FE.tfidf_model(docs, "tokens", 10, 2.0)
+    of = lambda df: {r.id: r.features for r in df.collect()}
+    assert of(kept) == of(plain.transform(docs)) == of(stages.transform(docs)) and "tokens" not in kept.columns
+    assert "regexp" not in kept._jdf.queryExecution().optimizedPlan().toString()
