@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -21,6 +22,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from incidentkit.session import checkpoint
+
 
 def label_index(train: DataFrame, column: str, out: str = "label") -> StringIndexerModel:
     """Codes fitted on the training rows; an unseen label gets one code of its own."""
@@ -108,6 +111,26 @@ def assign_cluster(df: DataFrame, model: Transformer) -> DataFrame:
 
 #: Classes of a one-against-the-rest model that are fitted at the same time.
 CLASSES_AT_ONCE = 4
+#: Fits on the same rows that run at the same time.
+FITS_AT_ONCE = 4
+#: Rows of a task that are worth a task of their own, as long as cores are free.
+TASK_ROWS = 8192
+#: Numbers, features times rows, that a task of a fit holds: trees keep one of four bytes for every feature of a row.
+TASK_NUMBERS = 1 << 26
+
+
+def dealt(df: DataFrame, features: str = "features") -> DataFrame:
+    """The rows of a fit as a checkpoint, in as many parts as cores, or more where a part would hold over TASK_NUMBERS."""
+    rows, one = df.count(), df.select(features).first()
+    width = one[features].size if one and one[features] is not None else 1
+    parts = max(-(-rows * width // TASK_NUMBERS), min(df.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS))
+    return checkpoint(df.repartition(parts) if parts > 1 else df)
+
+
+def side_by_side(fits: Sequence) -> list:
+    """Results of independent fits, some of which run at the same time; a fit alone leaves cores idle between its many short jobs."""
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        return pool.map(lambda fit: fit(), fits, chunksize=1)
 
 
 def naive_bayes(features: str = "features", label: str = "label") -> NaiveBayes:

@@ -108,13 +108,16 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", *columns)
 
 
-def words(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with their lower-cased words."""
+def split_words(docs: DataFrame, *keep: str) -> DataFrame:
+    """Documents with their lower-cased words, and the columns to keep."""
     from incidentkit.functions import text as T
 
-    return documents(spark, folder, "lang", "source", "text").select(
-        "doc_id", "lang", "source", T.tokenize(F.lower("text"), WORD).alias("tokens")
-    )
+    return docs.select("doc_id", "lang", "source", T.tokenize(F.lower("text"), WORD).alias("tokens"), *keep)
+
+
+def words(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their lower-cased words."""
+    return split_words(documents(spark, folder, "lang", "source", "text"))
 
 
 WORDS = rf"SELECT doc_id, lang, source, regexp_extract_all(lower(text), '{WORD}') AS tokens FROM documents"

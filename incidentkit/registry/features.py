@@ -1,6 +1,8 @@
 """Text features, clustering and classification over documents and embeddings."""
 
 
+from functools import partial
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from incidentkit.operators import counted_bayes as CB, features as FE, many_kmea
 from incidentkit.operators.aggregates import word_counts
 from incidentkit.operators.rows import stable_hash, unfold
 from incidentkit.operators.windows import split_random
-from incidentkit.registry.common import WORDS, query, r, rounded, table, words
+from incidentkit.registry.common import WORDS, documents, query, r, rounded, split_words, table, words
 from incidentkit.registry.joins import NAMES, names
 from incidentkit.session import checkpoint
 
@@ -272,21 +274,22 @@ def _(spark, d):
 
 
 def labelled(spark, d):
-    """(training, validation) documents with a quality label."""
-    docs = words(spark, d).join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
-    return split_random(docs, 0.25, "doc_id")
+    """(training, validation) documents with a quality label. Only labelled texts are cut into words."""
+    docs = documents(spark, d, "lang", "source", "text").join(table(spark, d, "labels"), "doc_id")
+    return split_random(split_words(docs, "quality", "toxic", F.col("quality").cast("double").alias("label")), 0.25, "doc_id")
 
 
 def _weighed(spark, d):
-    """The same, and fitted weights of the training documents' terms."""
+    """Weights of the terms of the training documents, the validation documents, and the stages that weigh them."""
     train, valid = labelled(spark, d)
-    return train, valid, FE.tfidf_model(train, "tokens", TERMS, 5.0)
+    stages, weighed = FE.tfidf_fitted(train, "tokens", TERMS, 5.0, keep=lambda df: M.dealt(df, "features_count"))
+    return weighed, valid, stages
 
 
 def _scored(estimator):
     def run(spark, d):
         train, valid, stages = _weighed(spark, d)
-        model = estimator.fit(stages.transform(train))
+        model = estimator.fit(train)
         return M.accuracy(model.transform(stages.transform(valid)))
 
     return run
@@ -423,9 +426,8 @@ def _(spark, d):
 
 @query("g24_forest_search")
 def _(spark, d):
-    train, _, stages = _weighed(spark, d)
-    features = checkpoint(stages.transform(train).select("features", "label"))
-    return M.random_search(features, M.random_forest(trees=20), {"maxDepth": [3, 5, 8, 12], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}, n_iter=10, folds=3)[1]
+    train, _, _ = _weighed(spark, d)
+    return M.random_search(train.select("features", "label"), M.random_forest(trees=20), {"maxDepth": [3, 5, 8, 12], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}, n_iter=10, folds=3)[1]
 
 
 @query(
@@ -449,7 +451,7 @@ def _(spark, d):
 def _(spark, d):
     train, valid, stages = _weighed(spark, d)
     index = M.label_index(train, "lang", "lang_code")
-    model = Pipeline(stages=[M.naive_bayes(label="lang_code")]).fit(index.transform(stages.transform(train)))
+    model = Pipeline(stages=[M.naive_bayes(label="lang_code")]).fit(index.transform(train))
     scored = model.transform(index.transform(stages.transform(valid)))
     return M.prediction_table(scored, index.labels, ["doc_id", "lang"], "lang_code")
 
@@ -471,11 +473,12 @@ def _(spark, d):
 def _(spark, d):
     """Accuracy of the multinomial model without and with class weights, over the penalties of the grid."""
     train, valid, stages = _weighed(spark, d)
-    weighed = checkpoint(M.balanced_weights(stages.transform(train).select("features", "label"), "label"))
+    weighed = M.dealt(M.balanced_weights(train.select("features", "label"), "label"))
     judged = checkpoint(stages.transform(valid).select("features", "label"))
-    rows = []
-    for weight in (None, "weight"):
-        for reg in (0.0, 0.001, 0.01, 0.1):
-            model = M.logistic(reg=reg, weight=weight).fit(weighed)
-            rows.append((weight or "none", reg, float(M.accuracy(model.transform(judged)).first().accuracy or 0.0)))
+
+    def fit(weight, reg):
+        model = M.logistic(reg=reg, weight=weight).fit(weighed)
+        return weight or "none", reg, float(M.accuracy(model.transform(judged)).first().accuracy or 0.0)
+
+    rows = M.side_by_side([partial(fit, weight, reg) for weight in (None, "weight") for reg in (0.0, 0.001, 0.01, 0.1)])
     return spark.createDataFrame(rows, "class_weight string, penalty double, accuracy double")

@@ -2,14 +2,16 @@
 
 import math
 import random
+import threading
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from incidentkit.operators import counted_bayes as CB, features as FE, many_kmeans as MK, word_rounds as WR
+from incidentkit.operators import counted_bayes as CB, features as FE, many_kmeans as MK, models as M, word_rounds as WR
 from incidentkit.operators.rows import stable_hash
+from incidentkit.registry.features import labelled
 
 
 def points(seed=1, n=300, dims=5):
@@ -182,3 +184,17 @@ def test_kept_weights_equal_the_stages(spark):
     of = lambda df: {r.id: r.features for r in df.collect()}
     assert of(kept) == of(plain.transform(docs)) == of(stages.transform(docs)) and "tokens" not in kept.columns
     assert "regexp" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fits_run_side_by_side():
+    meet = threading.Barrier(2, timeout=30)
+    assert M.side_by_side([lambda k=k: (meet.wait(), k)[1] for k in range(2)]) == [0, 1]
+
+
+def test_only_labelled_texts_are_cut_into_words(spark, tmp_path):
+    spark.createDataFrame([(i, "en", "s", f"een tekst {i}") for i in range(6)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    train, valid = labelled(spark, str(tmp_path))
+    assert {r.doc_id: r.label for r in train.unionByName(valid).collect()} == {1: 1.0, 4: 0.0}
+    plan = train._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.index("Join")
