@@ -133,6 +133,15 @@ def side_by_side(fits: Sequence) -> list:
         return pool.map(lambda fit: fit(), fits, chunksize=1)
 
 
+class OneVsRestOrOther(OneVsRest):
+    """One model per class; of the classes 0 and 1 alone one model, as the two would mirror each other."""
+
+    def _fit(self, dataset: DataFrame):
+        label = F.col(self.getLabelCol())
+        found = dataset.agg(F.max(label).alias("most"), F.count_if(label.isNull() | ~label.isin(0.0, 1.0)).alias("others")).first()
+        return self.getClassifier().fit(dataset) if found.most == 1 and not found.others else super()._fit(dataset)
+
+
 def naive_bayes(features: str = "features", label: str = "label") -> NaiveBayes:
     return NaiveBayes(modelType="multinomial", featuresCol=features, labelCol=label)
 
@@ -159,7 +168,7 @@ def extra_trees(features: str = "features", label: str = "label", trees: int = 2
 
 def boosted_trees(features: str = "features", label: str = "label", max_iter: int = 20, depth: int = 5, seed: int = 1) -> OneVsRest:
     inner = GBTClassifier(maxIter=max_iter, maxDepth=depth, seed=seed, featuresCol=features, labelCol=label)
-    return OneVsRest(classifier=inner, featuresCol=features, labelCol=label, parallelism=CLASSES_AT_ONCE)
+    return OneVsRestOrOther(classifier=inner, featuresCol=features, labelCol=label, parallelism=CLASSES_AT_ONCE)
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, OneVsRest
 from pyspark.sql import functions as F
 
 from incidentkit.operators import counted_bayes as CB, features as FE, many_kmeans as MK, models as M, word_rounds as WR
@@ -176,6 +177,34 @@ def test_word_vectors_need_no_arrow_setting_and_few_parts(spark, monkeypatch):
     assert parts == [WR.MOST_PARTS]
 
 
+def weighted_rows(spark, n=3000):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, 4))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * rng.normal(size=n) > 0.4).astype(float)
+    return M.as_vector(spark.createDataFrame([(float(k), [float(a) for a in row]) for k, row in zip(y, x)], "label double, v array<double>").coalesce(1), "v")
+
+
+def test_rows_of_a_fit_are_dealt_to_bounded_parts(spark, monkeypatch):
+    df = weighted_rows(spark).select("features", "label")
+    assert M.dealt(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "TASK_ROWS", 1024)
+    assert M.dealt(df).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(M, "TASK_NUMBERS", 1000)
+    kept = M.dealt(df)
+    sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 12 and max(sizes) <= 251 and sum(sizes) == 3000
+
+
+def test_one_model_for_two_classes_predicts_as_two(spark):
+    df = M.dealt(weighted_rows(spark).select("features", "label"))
+    ours, both = M.boosted_trees(max_iter=3, depth=3), OneVsRest(classifier=GBTClassifier(maxIter=3, maxDepth=3, seed=1))
+    one, two = ours.fit(df), both.fit(df)
+    assert isinstance(one, GBTClassificationModel) and len(two.models) == 2
+    assert [r.prediction for r in one.transform(df).collect()] == [r.prediction for r in two.transform(df).collect()]
+    three = df.unionByName(df.limit(50).withColumn("label", F.lit(2.0)))
+    assert len(ours.fit(three).models) == 3
+
+
 def test_kept_weights_equal_the_stages(spark):
     # No two terms are met equally often, as Spark's CountVectorizer leaves the order of such terms open.
     docs = spark.createDataFrame([(i, [f"d{k}" for k in range(1, 8) if i % k == 0]) for i in range(1, 61)], "id int, tokens array<string>")
