@@ -9,17 +9,21 @@ is left, few templates of very many, is matched as a pattern.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 #: A pattern as tokens: open runs, an escaped sign, a plain character, or anything else.
 _TOKEN = re.compile(r"(?P<open>\(\.[+*]\??\)|\.[+*]\??)|\\(?P<sign>[^0-9A-Za-z])|(?P<plain>[^.^$*+?{}\[\]\\|()])|(?P<other>.)", re.DOTALL)
 
 
+#: Texts of a batch that are Python strings at the same time.
+SLICE = 256
+
+
 def fixed_parts(pattern: str) -> list[str]:
     """Texts that every match of a pattern holds; none where the pattern is more than fixed text and open runs."""
     body = pattern.removeprefix("^")
@@ -72,14 +76,17 @@ class Index:
 
 
 def candidates(text: Column, index: Index) -> Column:
-    """Numbers of the templates that may match a text; the automaton is made once per task."""
-    made: list = []
-
-    @pandas_udf("array<int>")
-    def find(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(index.automaton())
-        return pd.Series([index.candidates(t, made[0]) for t in texts], index=texts.index)
+    """Numbers of the templates that may match a text; the automaton is made once per task.
+
+    The texts stay in their Arrow batch but for a slice of them, so a task holds them once.
+    """
+
+    @arrow_udf("array<int>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        made = index.automaton()
+        for texts in batches:
+            slices = (texts.slice(at, SLICE).to_pylist() for at in range(0, len(texts), SLICE))
+            yield pa.array((index.candidates(t, made) for some in slices for t in some), pa.list_(pa.int32()))
 
     return find(text)
 

@@ -167,3 +167,15 @@ def test_many_templates_find_the_same(spark):
         assert got[r.incident_id] == hit
     none = spark.createDataFrame([], "template_id int, regex string")
     assert J.match_any_template(tickets, none).where("description IS NOT NULL").count() == 0
+
+
+def test_candidates_take_few_texts_out_of_a_batch(spark, monkeypatch):
+    from incidentkit.operators import template_index as TI
+
+    monkeypatch.setattr(TI, "SLICE", 7)
+    index = TI.Index(["^naam:.*?klacht:(.+?)$", "^(.+?)telefoon:.*?$"])
+    texts = [None if i % 9 == 0 else ("naam: a klacht: b" if i % 2 else "b telefoon: 1") for i in range(50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    found = df.select("id", TI.candidates(F.col("text"), index).alias("may"))
+    assert [r.may for r in found.orderBy("id").collect()] == [[] if t is None else [0] if t.startswith("naam") else [1] for t in texts]
+    assert "ArrowEvalPython" in found._jdf.queryExecution().optimizedPlan().toString() and not hasattr(TI, "pandas_udf")
