@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, OneVsRest
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from incidentkit.operators import counted_bayes as CB, features as FE, many_kmeans as MK, models as M, word_rounds as WR
@@ -220,6 +221,52 @@ def test_fits_run_side_by_side():
     assert M.side_by_side([lambda k=k: (meet.wait(), k)[1] for k in range(2)]) == [0, 1]
 
 
+class Meeting:
+    """An estimator whose fits wait for each other."""
+
+    def __init__(self, meet, inner):
+        self.meet, self.inner = meet, inner
+
+    def fit(self, df):
+        self.meet.wait()
+        return self.inner.fit(df)
+
+
+def test_models_of_the_grid_are_fitted_side_by_side(spark):
+    df = weighted_rows(spark, 200).select("features", "label")
+    models, meet = {"logistic": M.logistic(reg=0.1), "random_forest": M.random_forest(trees=3)}, threading.Barrier(4, timeout=60)
+    sets = {name: SQLTransformer(statement="SELECT * FROM __THIS__") for name in ("one", "two")}
+    got = {(r.model, r.features): (r.train_accuracy, r.accuracy) for r in M.model_grid(df, df.limit(50), {k: Meeting(meet, v) for k, v in models.items()}, sets).collect()}
+    for name, est in models.items():
+        model = est.fit(df)
+        want = tuple(M.accuracy(model.transform(x)).first().accuracy for x in (df, df.limit(50)))
+        assert got.pop((name, "one")) == want and got.pop((name, "two")) == want
+    assert not got
+
+
+def test_few_rows_of_trees_come_in_one_part(spark):
+    df = weighted_rows(spark).select("features", "label").repartition(4)
+    assert M.dealt(df).rdd.getNumPartitions() == 4
+    kept = M.dealt(df, together=True)
+    assert kept.rdd.getNumPartitions() == 1 and kept.exceptAll(df).isEmpty() and kept.count() == 3000
+
+
+def test_tokens_in_one_part_are_spread(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"w{i}"] * 5 if i % 7 else None) for i in range(200)], "id int, tokens array<string>").coalesce(1)
+    assert FE.spread(docs, "tokens").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(FE, "TASK_TOKENS", 100)
+    kept = FE.spread(docs, "tokens")
+    assert kept.rdd.getNumPartitions() == 8 and sorted(kept.collect(), key=lambda r: r.id) == docs.collect()
+    assert FE.spread(docs.where("tokens is null"), "tokens").count() == 29 and FE.spread(docs.limit(0), "tokens").isEmpty()
+
+
+def test_weights_from_ready_counts_equal_those_from_tokens(spark):
+    docs = spark.createDataFrame([(i, [f"d{k}" for k in range(1, 8) if i % k == 0]) for i in range(1, 61)], "id int, tokens array<string>")
+    counts = FE.count_vectorizer(docs, "tokens", 10, 2.0, "counted").transform(docs).drop("tokens")
+    of = lambda df: {r.id: r.features for r in df.collect()}
+    assert of(FE.tfidf_model(counts, "tokens", 10, 2.0, counted="counted").transform(counts)) == of(FE.tfidf_model(docs, "tokens", 10, 2.0).transform(docs))
+
+
 def test_only_labelled_texts_are_cut_into_words(spark, tmp_path):
     spark.createDataFrame([(i, "en", "s", f"een tekst {i}") for i in range(6)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (4, 0, 1), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

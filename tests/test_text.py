@@ -96,6 +96,12 @@ def test_ngrams(spark):
     assert row.c == ["ab", "bc", "cd", "abc", "bcd"]
 
 
+def test_character_ngrams_are_of_code_points(spark):
+    df = spark.createDataFrame([("a\n𝒳é𝒴",), ("a",), ("",), (None,)], "t string")
+    got = [r.c for r in df.select(T.char_ngrams(F.col("t"), 1, 3).alias("c")).collect()]
+    assert got == [["a", "\n", "𝒳", "é", "𝒴", "a\n", "\n𝒳", "𝒳é", "é𝒴", "a\n𝒳", "\n𝒳é", "𝒳é𝒴"], ["a"], [], None]
+
+
 def test_dates(spark):
     df = spark.createDataFrame([("2-3-2020 08:15",), ("31/12/2019",), ("onzin",), (None,)], "t string")
     got = [r.x and r.x.isoformat() for r in df.select(parse_day_first(F.col("t")).alias("x")).collect()]
