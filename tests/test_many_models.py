@@ -251,6 +251,15 @@ def test_few_rows_of_trees_come_in_one_part(spark):
     assert kept.rdd.getNumPartitions() == 1 and kept.exceptAll(df).isEmpty() and kept.count() == 3000
 
 
+def test_rows_of_a_linear_fit_come_in_more_parts(spark, monkeypatch):
+    df = weighted_rows(spark).select("features", "label")
+    assert M.for_rounds(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "ROUND_ROWS", 512)
+    more = M.for_rounds(df)
+    assert more.rdd.getNumPartitions() == 4 and more.exceptAll(df).isEmpty() and more.count() == 3000
+    assert M.for_rounds(df.repartition(6)).rdd.getNumPartitions() == 6
+
+
 def test_tokens_in_one_part_are_spread(spark, monkeypatch):
     docs = spark.createDataFrame([(i, [f"w{i}"] * 5 if i % 7 else None) for i in range(200)], "id int, tokens array<string>").coalesce(1)
     assert FE.spread(docs, "tokens").rdd.getNumPartitions() == 1
