@@ -3,6 +3,7 @@
 import math
 import random
 import threading
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -283,3 +284,63 @@ def test_only_labelled_texts_are_cut_into_words(spark, tmp_path):
     assert {r.doc_id: r.label for r in train.unionByName(valid).collect()} == {1: 1.0, 4: 0.0}
     plan = train._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("regexp_extract_all") < plan.index("Join")
+
+
+def plain_bag(t, tokens, begins, ends, wide, noise, rate):
+    """One batch of a continuous bag of words, word by word."""
+    inner, outer = t.inner.astype(float), t.outer.astype(float)
+    steps, often = {}, Counter()
+
+    def add(kind, word, step):
+        steps[kind, word] = steps.get((kind, word), 0) + step
+        often[kind, word] += 1
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for i, word in enumerate(tokens):
+        around = [j for j in range(max(begins[i], i - wide[i]), min(ends[i], i + wide[i] + 1)) if j != i]
+        hidden = inner[tokens[around]].mean(axis=0)
+        near = rate * (1 - sigmoid(hidden @ outer[word]))
+        far = {k: rate * t.negative / WR.SHARED * sigmoid(hidden @ outer[w]) for k, w in enumerate(noise) if w != word}
+        back = near * outer[word] - sum(x * outer[noise[k]] for k, x in far.items())
+        add(1, word, near * hidden)
+        for k, w in enumerate(noise):
+            add(1, w, -far.get(k, 0) * hidden)
+        for j in around:
+            add(0, tokens[j], back)
+    for w in noise:  # a noise word counts once a batch
+        often[1, w] -= len(tokens) - 1
+    for (kind, word), step in steps.items():
+        (inner, outer)[kind][word] += step * min(1, WR.REPEATS / often[kind, word])
+    return inner, outer, often
+
+
+@pytest.mark.parametrize("sizes", [[2, 5, 70], [3], [40, 2, 2, 33]])
+def test_word_vector_steps_equal_plain_ones(sizes):
+    rng = np.random.default_rng(3)
+    counts = np.array([900, 500, 300] + [40] * 30)
+    documents = [rng.integers(0, len(counts), n) ** 2 // len(counts) for n in sizes]
+    inner, outer = rng.normal(size=(2, len(counts), 6)).astype("float32")
+    t = WR._Trainer(inner, outer, counts, 4, 5, True, 1)
+    t.stays[:] = 1
+    draws = np.random.default_rng(1)
+    tokens = np.concatenate(documents)
+    draws.random(len(tokens))
+    wide = draws.integers(1, 5, len(tokens))
+    noise = np.searchsorted(t.noise, draws.random(WR.SHARED))
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    expected = plain_bag(t, tokens, ends - np.repeat(sizes, sizes), ends, wide, noise, 0.05)
+    t.run(documents, 0.05)
+    assert np.allclose(t.inner, expected[0], atol=1e-5) and np.allclose(t.outer, expected[1], atol=1e-5)
+    assert all(t.times[kind, word] == n for (kind, word), n in expected[2].items()) and t.times.sum() == sum(expected[2].values())
+
+
+def test_word_vector_steps_need_no_table_of_words_by_positions():
+    n = 5000
+    t = WR._Trainer(np.zeros((n, 4), "float32"), np.zeros((n, 4), "float32"), np.ones(n, np.int64), 10, 5, True, 1)
+    documents = [np.random.default_rng(1).permutation(n)[: WR.TOGETHER]]
+    t.run(documents, 0.05)
+    tracemalloc.start()
+    t.run(documents, 0.05)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < WR.TOGETHER**2 * 8
