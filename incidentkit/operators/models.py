@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, StringIndexerModel, Word2Vec
+from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorSlicer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -121,6 +121,8 @@ TASK_ROWS = 8192
 ROUND_ROWS, ROUND_PARTS = 2048, 4
 #: Numbers, features times rows, that a task of a fit holds: trees keep one of four bytes for every feature of a row.
 TASK_NUMBERS = 1 << 26
+#: Share of all variance up to which a principal component is taken for rounding.
+ROUNDING = 1e-12
 
 
 def dealt(df: DataFrame, features: str = "features", together: bool = False) -> DataFrame:
@@ -167,6 +169,25 @@ def logistic(features: str = "features", label: str = "label", max_iter: int = 4
     return est.setWeightCol(weight) if weight else est
 
 
+def decorrelated_logistic(train: DataFrame, features: str = "features", label: str = "label") -> PipelineModel:
+    """The logistic model without a penalty, fitted on the principal components of dense features.
+
+    Turned and scaled features have the same best fit. Where features go
+    together, as the numbers of mean vectors do, rounds on the features
+    themselves are thousands of jobs and may end before it. Rows that do not
+    vary are fitted as they are.
+    """
+    kept = []
+    if len(some := train.select(features).take(2)) == 2:
+        turned = pca(train, features, some[0][features].size, "components")
+        kept = [i for i, share in enumerate(turned.stages[1].explainedVariance.toArray()) if share > ROUNDING]
+    if not kept:
+        return Pipeline(stages=[logistic(features, label)]).fit(train)
+    stages = [*turned.stages, VectorSlicer(inputCol="components", outputCol="varying", indices=kept)]
+    rows = checkpoint(PipelineModel(stages).transform(train).select("varying", label))
+    return PipelineModel([*stages, logistic("varying", label).fit(rows)])
+
+
 def linear_svm(features: str = "features", label: str = "label", max_iter: int = 100, reg: float = 0.0) -> OneVsRest:
     """Linear margin per class against the rest; no kernel."""
     inner = LinearSVC(maxIter=max_iter, regParam=reg, featuresCol=features, labelCol=label)

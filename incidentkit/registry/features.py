@@ -471,7 +471,7 @@ def _(spark, d):
         found = FE.mean_embedding(df.select("doc_id", "tokens"), "doc_id", "tokens", vectors, 150)
         return M.as_vector(found.join(df.select("doc_id", "label"), "doc_id"), "embedding")
 
-    return M.accuracy(M.logistic().fit(checkpoint(means(train))).transform(means(valid)))
+    return M.accuracy(M.decorrelated_logistic(checkpoint(means(train))).transform(means(valid)))
 
 
 @query("g17_logistic_class_weights")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, OneVsRest
 from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from incidentkit.operators import counted_bayes as CB, features as FE, many_kmeans as MK, models as M, word_rounds as WR
@@ -344,3 +345,25 @@ def test_word_vector_steps_need_no_table_of_words_by_positions():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < WR.TOGETHER**2 * 8
+
+
+def test_logistic_on_correlated_features_ends_in_few_rounds(spark):
+    rng = np.random.default_rng(5)
+    hidden = rng.normal(size=(600, 6))
+    label = (hidden[:, 0] - hidden[:, 5] + rng.logistic(size=600) > 0).astype(float)
+    together = hidden @ (rng.normal(size=(6, 6)) * [1, 0.3, 0.1, 0.03, 0.01, 0.003]).T
+    vectors = np.hstack([together, np.ones((600, 1)), together[:, :1]])
+    df = spark.createDataFrame([(Vectors.dense(v.tolist()), float(y)) for v, y in zip(vectors, label)], ["features", "label"]).repartition(3).cache()
+    model = M.decorrelated_logistic(df)
+    even = spark.createDataFrame([(Vectors.dense(v.tolist()), float(y)) for v, y in zip(hidden, label)], ["features", "label"])
+    best, plain = M.logistic().fit(even).summary, M.logistic(max_iter=100).fit(df).summary
+    found = model.stages[-1].summary
+    assert found.totalIterations < 40 and math.isclose(found.objectiveHistory[-1], best.objectiveHistory[-1], rel_tol=1e-4)
+    assert found.objectiveHistory[-1] <= plain.objectiveHistory[-1] + 1e-6 and model.stages[-1].numFeatures == 6
+    assert M.accuracy(model.transform(df)).first().accuracy == pytest.approx(best.accuracy, abs=0.005)
+
+
+def test_logistic_on_rows_that_do_not_vary(spark):
+    for rows in ([(1.0, 1.0)], [(1.0, 1.0), (1.0, 1.0), (1.0, 0.0)]):
+        df = spark.createDataFrame([(Vectors.dense([x, 0.0]), y) for x, y in rows], ["features", "label"])
+        assert M.accuracy(M.decorrelated_logistic(df).transform(df)).first().accuracy == pytest.approx(1 if len(rows) == 1 else 2 / 3)
